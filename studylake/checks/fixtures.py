@@ -235,7 +235,7 @@ FIXTURES["matrix_line"] = """
 select o_orderkey as doc_id, ln as line_no, txt as text from (
  select o_orderkey, 0 as ln, '| GZQD | Period I | Treatment | Comments | |' as txt from orders
  union all select o_orderkey, 1, '| Part A1 | SCR | | Treatm | |' from orders where o_orderkey % 3 = 0
- union all select o_orderkey, 2, '|  | -35 to | | | |' from orders where o_orderkey % 2 = 0
+ union all select o_orderkey, 2, '|  | | -35 to | | |' from orders where o_orderkey % 2 = 0
  union all select o_orderkey, 3, case when o_orderkey % 5 = 0 then '| Days in study | -2 | 1 | 8 |' else '| Study day | -2 | 1 | 8 |' end from orders
  union all select o_orderkey, 4, '|---|---|---|---|---|' from orders
  union all select o_orderkey, 5, '| Laboratory tests and sa | mple co | llect | ions | |' from orders where o_orderkey % 4 = 0
@@ -245,9 +245,9 @@ select o_orderkey as doc_id, ln as line_no, txt as text from (
    case when cast(l_quantity as int) % 3 = 0 then 'X' else '' end, ' | ', case when l_returnflag='R' then 'X' else '' end, ' | ', case when l_linestatus = 'O' then 'fasted' else '' end, ' |')
   from item join part on l_partkey=p_partkey
  union all select l_orderkey, 11 + l_linenumber * 2, '| and follow-up | | | | see note |' from item where l_linenumber % 3 = 1
- union all select o_orderkey, 40, '| GZQD note block | Q1 | Q2 | | |' from orders where o_orderkey % 6 = 0
- union all select o_orderkey, 41, '| GZQD note block | Q1 | | Q2 | |' from orders where o_orderkey % 6 = 0
- union all select o_orderkey, 42, '| GZQD note block | | Q1 | Q2 | |' from orders where o_orderkey % 6 = 0
+ union all select o_orderkey, 46, '| GZQD note block | Q1 | Q2 | | |' from orders where o_orderkey % 6 = 0
+ union all select o_orderkey, 47, '| GZQD note block | Q1 | | Q2 | |' from orders where o_orderkey % 6 = 0
+ union all select o_orderkey, 48, '| GZQD note block | | Q1 | Q2 | |' from orders where o_orderkey % 6 = 0
  union all select o_orderkey, 50, '| Table 2 Second part | | |' from orders
  union all select o_orderkey, 51, '| Part B | | |' from orders where o_orderkey % 3 = 0
  union all select o_orderkey, 52, case when o_orderkey % 7 = 0 then '| Visit | -2 | 1 | 8 |' else '| Visit | 15 | 22 |' end from orders
@@ -256,6 +256,14 @@ select o_orderkey as doc_id, ln as line_no, txt as text from (
 ) t
 """
 
+FIXTURES["mark"] = """
+select l_orderkey as doc_id, l_linenumber % 2 as table_ord, l_linenumber as row_ord, p_type as label, v as visit_ord,
+ case v when 0 then 'Visit 1' when 1 then case when l_linenumber % 2 = 0 then 'Visit 2' else 'Visit 3' end else 'Visit 9' end as visit,
+ case v when 0 then case when l_returnflag = 'R' then 'X' else '' end when 1 then case when l_linestatus = 'O' then 'X' else '' end else case when l_returnflag = 'A' then l_linestatus else '' end end as mark,
+ case when l_tax > 0.05 then l_returnflag else '' end as comment
+from item join part on l_partkey = p_partkey cross join (select 0 as v union all select 1 union all select 2) n
+"""
+
 FIXTURES["visit_cell"] = """
 select o_orderkey as doc_id, row_no, col_no, text from (
  select o_orderkey, 0 as row_no, 0 as col_no, 'Procedure' as text from orders
@@ -299,10 +307,10 @@ select o_orderkey as doc_id, ln as line_no, txt as text from (
  union all select o_orderkey, 2, 'Weeks from Randomization      0      4      8' from orders
  union all select o_orderkey, 3, concat(rpad('Hematology', 30, ' '), 'X      ', case when o_orderkey % 2 = 0 then 'X' else ' ' end, '      X  fasted') from orders
  union all select l_orderkey, 3 + l_linenumber, concat(rpad(p_type, 30, ' '), case when l_returnflag = 'R' then 'X' else ' ' end, '      ', case when l_linestatus = 'O' then 'X' else ' ' end) from item join part on l_partkey = p_partkey
- union all select o_orderkey, 20, '  17  ' from orders
- union all select o_orderkey, 21, 'Visit Number                  1      2      3' from orders
- union all select o_orderkey, 22, concat(rpad('Hematology', 30, ' '), '       X') from orders
- union all select o_orderkey, 23, concat(rpad('Lipids', 30, ' '), 'X') from orders
+ union all select o_orderkey, 30, '  17  ' from orders
+ union all select o_orderkey, 31, 'Visit Number                  1      2      3' from orders
+ union all select o_orderkey, 32, concat(rpad('Hematology', 30, ' '), '       X') from orders
+ union all select o_orderkey, 33, concat(rpad('Lipids', 30, ' '), 'X') from orders
  union all select o_orderkey, 40, '  Clinical Laboratory Tests       Comments' from orders
  union all select l_orderkey, 40 + l_linenumber, concat(p_name, case when l_returnflag = 'R' then '     local lab   only' else '' end) from item join part on l_partkey = p_partkey
  union all select o_orderkey, 60, 'CONFIDENTIAL' from orders

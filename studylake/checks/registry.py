@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from hashlib import md5
 from typing import NamedTuple
@@ -10,6 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from studylake.checks.fixtures import BASE, FIXTURES, STORED, needed
+from studylake.functions.stage import shared_folder
 
 
 class Check(NamedTuple):
@@ -20,14 +20,6 @@ class Check(NamedTuple):
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = _WRITTEN.setdefault((spark.sparkContext.applicationId, "", ""), tempfile.mkdtemp(prefix="spark-"))
-    return folder.rstrip("/")
-
-
 class Tables:
     """Base and derived tables of one data folder, as DataFrames."""
 
@@ -51,7 +43,7 @@ class Tables:
     def _stored(self, name: str) -> DataFrame:
         app = self.spark.sparkContext.applicationId
         if (app, self.dir, name) not in _WRITTEN:
-            path = f"{_shared_folder(self.spark)}/studylake/{app}/{md5(self.dir.encode()).hexdigest()[:8]}/{name}"
+            path = f"{shared_folder(self.spark)}/{md5(self.dir.encode()).hexdigest()[:8]}/{name}"
             self._derived(name).write.mode("overwrite").parquet(path)
             _WRITTEN[app, self.dir, name] = path
         return self.spark.read.parquet(_WRITTEN[app, self.dir, name])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions.fixed import CHANGE_LOG, PAGE_NOISE, QUESTION_SECTIONS
 from studylake.functions.sequence import carry, neighbours, range_join
+from studylake.functions.stage import stage
 from studylake.functions.text import any_of, clip, let, normalize_ws, strip
 
 DOC = ["doc_id"]
@@ -293,16 +294,19 @@ def appendix_block(text: Column) -> Column:
 
 def split_row(text: Column) -> Column:
     """Trimmed cells of a pipe row, without the outer empty ones."""
-    cells = F.transform(F.split(text, r"\|", -1), strip)
-    head = F.when(cells[0] == "", 1).otherwise(0)
-    tail = F.when((F.size(cells) > head) & (F.element_at(cells, -1) == ""), 1).otherwise(0)
-    return F.slice(cells, head + 1, F.size(cells) - head - tail)
+
+    def inner(cells: Column) -> Column:
+        head = F.when(cells[0] == "", 1).otherwise(0)
+        tail = F.when((F.size(cells) > head) & (F.element_at(cells, -1) == ""), 1).otherwise(0)
+        return F.slice(cells, head + 1, F.size(cells) - head - tail)
+
+    return let(F.transform(F.split(text, r"\|", -1), strip), inner)
 
 
 def pipe_rows(lines: DataFrame) -> DataFrame:
-    """``(doc_id, table_no, line_no, is_header, cells)`` of pipe tables of two or more lines.
+    """``(doc_id, table_no, line_no, is_header, header, cells)`` of pipe tables of two or more lines.
 
-    ``table_no`` is the header's line number. The separator row and blank rows are left out;
+    ``table_no`` is the header's line number and ``header`` its cells. The separator row and blank rows are left out;
     rows are padded or cut to the header's width.
     """
     row = strip(F.col("text"))
@@ -320,7 +324,7 @@ def pipe_rows(lines: DataFrame) -> DataFrame:
         DOC,
         "line_no",
         {
-            "_head": ("first", F.when(member, F.struct("line_no", F.size("_c").alias("width"))), gap),
+            "_head": ("first", F.when(member, F.struct("line_no", "_c")), gap),
             "_n": ("sum", member.cast("int"), gap),
             "_next": ("first", member, "after"),
         },
@@ -328,10 +332,15 @@ def pipe_rows(lines: DataFrame) -> DataFrame:
     is_header = F.col("_n") == 1
     lone = is_header & ~F.coalesce(F.col("_next"), F.lit(False))
     rule = (F.col("_n") == 2) & F.col("_rule")
-    width = F.col("_head.width")
+    width = F.size("_head._c")
     padded = F.slice(F.concat("_c", F.array_repeat(F.lit(""), width)), F.lit(1), width)
     return placed.where(~lone & ~rule & (is_header | F.exists("_c", lambda c: c != ""))).select(
-        "doc_id", F.col("_head.line_no").alias("table_no"), "line_no", is_header.alias("is_header"), padded.alias("cells")
+        "doc_id",
+        F.col("_head.line_no").alias("table_no"),
+        "line_no",
+        is_header.alias("is_header"),
+        F.col("_head._c").alias("header"),
+        padded.alias("cells"),
     )
 
 
@@ -426,15 +435,14 @@ def split_qa_pipe(rows: DataFrame) -> DataFrame:
     """``(doc_id, line_no, q, sub_section, element, detail)`` from pipe tables whose header has
     a sub-section and a detail column; columns are found by header name."""
     wanted = {"q": "q", "sub_section": "sub section", "element": "design element", "detail": "design detail"}
-    place = lambda name: F.array_position(
-        F.transform("cells", lambda c: F.lower(c).contains(name)), True
-    )
-    heads = rows.where("is_header").select(
-        "doc_id", "table_no", *[F.nullif(place(w), F.lit(0)).cast("int").alias(f"_{n}") for n, w in wanted.items()]
-    )
-    heads = heads.where(F.col("_sub_section").isNotNull() & F.col("_detail").isNotNull())
-    body = rows.where(~F.col("is_header")).join(heads, ["doc_id", "table_no"])
-    cell = lambda n: F.coalesce(F.try_element_at("cells", F.col(f"_{n}")), F.lit("")).alias(n)
+
+    def cell(name: str) -> Column:
+        names = F.transform("header", lambda c: F.lower(c).contains(wanted[name]))
+        at = F.nullif(F.array_position(names, True), F.lit(0)).cast("int")
+        return F.coalesce(F.try_element_at("cells", at), F.lit("")).alias(name)
+
+    has = lambda name: F.exists("header", lambda c: F.lower(c).contains(wanted[name]))
+    body = rows.where(~F.col("is_header") & has("sub_section") & has("detail"))
     return body.select("doc_id", "line_no", *[cell(n) for n in wanted])
 
 
@@ -472,11 +480,10 @@ def split_qa_lines(lines: DataFrame) -> DataFrame:
 def question_rows(lines: DataFrame) -> DataFrame:
     """Question rows of documents in either form."""
     header = F.col("text").rlike(r"(?i)^\|\s*\S?\s*Q\s*#\s*\|\s*Sub\s*Section\s*\|\s*Design\s*Element\s*\|\s*Design\s*Detail")
-    piped = split_qa_pipe(pipe_rows(lines))
-    with_header = lines.where(header).select("doc_id").distinct()
-    done = piped.join(with_header, "doc_id", "left_semi")
-    rest = lines.join(done.select("doc_id").distinct(), "doc_id", "left_anti")
-    return done.unionByName(split_qa_lines(rest))
+    headed = lines.join(lines.where(header).select("doc_id").distinct(), "doc_id", "left_semi")
+    piped = stage(split_qa_pipe(pipe_rows(headed)))
+    rest = lines.join(piped.select("doc_id").distinct(), "doc_id", "left_anti")
+    return piped.unionByName(split_qa_lines(rest))
 
 
 # --- aligned text ----------------------------------------------------------------------------------------
