@@ -605,68 +605,66 @@ TISSUE_WORDS = [
 def keyword_windows(text: Column, keywords: list[str], n: int = 500, k: int = 8, width: int = 1100) -> Column:
     """Array of at most ``k`` clipped windows of ±``n`` characters round keyword hits, keyword by
     keyword in text order; windows with the same opening 150 characters count once."""
-    low = F.lower(text)
-    windows = []
-    for word in keywords:
-        size = len(word)
-        pieces = F.split(low, F.lit(f"\\Q{word.lower()}\\E"), -1)
-        # Start of hit i: lengths of the pieces before it plus the hits before it.
-        ends = F.aggregate(
-            F.slice(pieces, F.lit(1), F.size(pieces) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-            lambda acc, p: F.struct(
-                (acc["at"] + F.length(p) + size).alias("at"),
-                F.array_append(acc["all"], acc["at"] + F.length(p)).alias("all"),
+    def windows(t: Column) -> Column:
+        parts = []
+        for word in keywords:
+            # The text before a hit is n characters, or all of it near the start; it is looked
+            # for only where the word has matched.
+            before = rf"(?<=(\A.{{0,{n - 1}}}|.{{{n}}})\Q{word}\E)"
+            hit = F.lit(rf"(?si)(\Q{word}\E){before}(?=(.{{0,{n}}}))")
+            groups = [F.regexp_extract_all(t, hit, F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)]
+            parts.append(F.transform(F.arrays_zip(*groups), lambda g: clip(F.concat(g["g2"], g["g1"], g["g3"]), width)))
+        return F.concat(*parts)
+
+    def distinct(hits: Column) -> Column:
+        return let(
+            F.transform(hits, lambda h: F.lower(F.substring(h, 1, 150))),
+            lambda keys: F.transform(
+                F.slice(F.array_distinct(keys), 1, k), lambda key: F.get(hits, (F.array_position(keys, key) - 1).cast("int"))
             ),
-            lambda acc: acc["all"],
         )
-        windows.append(
-            F.transform(
-                ends,
-                lambda at: clip(
-                    F.substring(
-                        text,
-                        F.greatest(at - n, F.lit(0)) + 1,
-                        F.least(at + size + n, F.length(text)) - F.greatest(at - n, F.lit(0)),
-                    ),
-                    width,
-                ),
-            )
-        )
-    hits = F.concat(*windows)
-    keys = F.transform(hits, lambda h: F.lower(F.substring(h, 1, 150)))
-    fresh = F.filter(hits, lambda h, i: F.array_position(keys, F.lower(F.substring(h, 1, 150))) == i + 1)
-    return F.slice(fresh, 1, k)
+
+    return let(let(text, windows), distinct)
 
 
 def longest_matching_section(text: Column) -> Column:
     """``struct(heading, body)``: the tissue section with the longest body, else keyword windows."""
-    clean = normalize_ws(text)
-    found = F.regexp_extract_all(clean, F.lit(rf"(?is)(?:{TISSUE_HEADING}).*?(?={TISSUE_STOP})"), F.lit(0))
-    parts = F.transform(
-        found,
-        lambda m: F.struct(
-            F.regexp_extract(m, rf"(?is)^({TISSUE_HEADING})", 1).alias("heading"),
-            F.regexp_extract(m, rf"(?is)^(?:{TISSUE_HEADING})(.*)$", 1).alias("body"),
-        ),
-    )
-    longest = F.array_max(F.transform(parts, lambda p: F.length(p["body"])))
-    best = F.filter(parts, lambda p: F.length(p["body"]) == longest)[0]
-    windows = keyword_windows(clean, TISSUE_WORDS, 700)
-    return (
-        F.when(
-            F.size(found) > 0,
-            F.struct(
-                clip(best["heading"], 160).alias("heading"),
-                clip(F.concat(best["heading"], F.lit(" "), best["body"]), 2500).alias("body"),
+
+    def pick(clean: Column, found: Column) -> Column:
+        parts = F.transform(
+            found,
+            lambda m: F.struct(
+                F.regexp_extract(m, rf"(?is)^({TISSUE_HEADING})", 1).alias("heading"),
+                F.regexp_extract(m, rf"(?is)^(?:{TISSUE_HEADING})(.*)$", 1).alias("body"),
             ),
         )
-        .when(
-            F.size(windows) > 0,
-            F.struct(
-                F.lit("Keyword-based tumor tissue excerpts").alias("heading"),
-                F.array_join(windows, "\n\n---\n\n").alias("body"),
+        # The longest body; of equal ones the first.
+        best = let(
+            parts,
+            lambda p: F.aggregate(
+                p, p[0], lambda acc, x: F.when(F.length(x["body"]) > F.length(acc["body"]), x).otherwise(acc)
             ),
         )
-        .otherwise(F.struct(F.lit("No clear tumor tissue section found").alias("heading"), F.lit("").alias("body")))
-    )
+        section = let(
+            best,
+            lambda b: F.struct(
+                clip(b["heading"], 160).alias("heading"), clip(F.concat(b["heading"], F.lit(" "), b["body"]), 2500).alias("body")
+            ),
+        )
+        return F.when(F.size(found) > 0, section).otherwise(
+            let(
+                keyword_windows(clean, TISSUE_WORDS, 700),
+                lambda w: F.when(
+                    F.size(w) > 0,
+                    F.struct(
+                        F.lit("Keyword-based tumor tissue excerpts").alias("heading"),
+                        F.array_join(w, "\n\n---\n\n").alias("body"),
+                    ),
+                ).otherwise(
+                    F.struct(F.lit("No clear tumor tissue section found").alias("heading"), F.lit("").alias("body"))
+                ),
+            )
+        )
+
+    whole = F.lit(rf"(?is)(?:{TISSUE_HEADING}).*?(?={TISSUE_STOP})")
+    return let(normalize_ws(text), lambda clean: let(F.regexp_extract_all(clean, whole, F.lit(0)), lambda found: pick(clean, found)))
