@@ -379,6 +379,7 @@ def milestones_text(text: Column) -> Column:
         before = F.regexp_extract_all(text, F.lit(rf"(?is)(.{{0,120}}?)\(\s*{_label(key)}\s*\)"), F.lit(1))
         dated = F.transform(before, lambda w: F.try_element_at(F.regexp_extract_all(w, F.lit(WRITTEN_DATE), F.lit(0)), F.lit(-1)))
         glossed = F.try_element_at(F.filter(dated, lambda d: d.isNotNull()), F.lit(1))
+        glossed = F.when(text.rlike(rf"(?i)\(\s*{_label(key)}\s*\)"), glossed)
         pairs.append(F.struct(F.lit(key).alias("key"), F.coalesce(strict, loose, strip(glossed)).alias("value")))
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 

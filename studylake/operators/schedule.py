@@ -202,6 +202,7 @@ def with_headers(rows: DataFrame) -> DataFrame:
     struct of its line and visit labels, prefixed by the group title. A row that only looks
     like a header counts as one while no other header has been seen."""
     above = F.struct("kind", "label", "cells")
+    rows = stage(rows)
     placed = carry(
         rows,
         DOC,
