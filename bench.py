@@ -7,18 +7,17 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from studylake.session import session
 
 HEADLINE = [
-    "b1_html_to_text", "b4_normalize_content", "c1_explode_lines", "c5_extract_section", "c7_section_lines",
-    "c14_parse_pipe_table", "c16_best_table_schedule", "d4_drop_nonlab_keep_first", "d13_assign_table_key",
-    "d15_merge_rows_by_label", "d26_consolidated_schedule", "e7_assemble_studies", "e10_lookup_fields", "f2_protocol_number",
-    "f9_enrollment_first", "f12_country_check_row", "g2_evidence_catalog", "h1_resolve", "h15_corpus_coverage",
-    "i5_form_record", "i10_plan_column_inserts", "l2_idle_sessions", "m1_document_findings",
+    "b1_html_to_text", "c1_explode_lines", "c5_extract_section", "c14_parse_pipe_table", "c16_best_table_schedule",
+    "d13_assign_table_key", "d26_consolidated_schedule", "e7_assemble_studies", "f2_protocol_number", "f12_country_check_row",
+    "g2_evidence_catalog", "h1_resolve", "i5_form_record", "i10_plan_column_inserts", "l2_idle_sessions", "m1_document_findings",
 ]
-INPUTS = ["protocol_line", "design_line", "visit_cell", "matrix_line", "mapper_line", "form_cell", "specimen_cell"]
+INPUTS = ["protocol_line", "matrix_line", "mapper_line", "form_cell", "specimen_cell"]
 
 
 def main() -> None:
@@ -38,6 +37,7 @@ def main() -> None:
         start = time.perf_counter()
         REGISTRY[name].run(tables).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        print(name, times[name], file=sys.stderr)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
     spark.stop()

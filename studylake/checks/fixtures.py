@@ -233,7 +233,7 @@ from item
 
 FIXTURES["matrix_line"] = """
 select o_orderkey as doc_id, ln as line_no, txt as text from (
- select o_orderkey, 0 as ln, '| GZQD | Period I | Treatment | Comments | |' as txt from orders
+ select o_orderkey, 0 as ln, '| QXRD | Period I | Treatment | Comments | |' as txt from orders
  union all select o_orderkey, 1, '| Part A1 | SCR | | Treatm | |' from orders where o_orderkey % 3 = 0
  union all select o_orderkey, 2, '|  | | -35 to | | |' from orders where o_orderkey % 2 = 0
  union all select o_orderkey, 3, case when o_orderkey % 5 = 0 then '| Days in study | -2 | 1 | 8 |' else '| Study day | -2 | 1 | 8 |' end from orders
@@ -245,9 +245,9 @@ select o_orderkey as doc_id, ln as line_no, txt as text from (
    case when cast(l_quantity as int) % 3 = 0 then 'X' else '' end, ' | ', case when l_returnflag='R' then 'X' else '' end, ' | ', case when l_linestatus = 'O' then 'fasted' else '' end, ' |')
   from item join part on l_partkey=p_partkey
  union all select l_orderkey, 11 + l_linenumber * 2, '| and follow-up | | | | see note |' from item where l_linenumber % 3 = 1
- union all select o_orderkey, 46, '| GZQD note block | Q1 | Q2 | | |' from orders where o_orderkey % 6 = 0
- union all select o_orderkey, 47, '| GZQD note block | Q1 | | Q2 | |' from orders where o_orderkey % 6 = 0
- union all select o_orderkey, 48, '| GZQD note block | | Q1 | Q2 | |' from orders where o_orderkey % 6 = 0
+ union all select o_orderkey, 46, '| QXRD note block | Q1 | Q2 | | |' from orders where o_orderkey % 6 = 0
+ union all select o_orderkey, 47, '| QXRD note block | Q1 | | Q2 | |' from orders where o_orderkey % 6 = 0
+ union all select o_orderkey, 48, '| QXRD note block | | Q1 | Q2 | |' from orders where o_orderkey % 6 = 0
  union all select o_orderkey, 50, '| Table 2 Second part | | |' from orders
  union all select o_orderkey, 51, '| Part B | | |' from orders where o_orderkey % 3 = 0
  union all select o_orderkey, 52, case when o_orderkey % 7 = 0 then '| Visit | -2 | 1 | 8 |' else '| Visit | 15 | 22 |' end from orders

@@ -29,6 +29,9 @@ _FOLDS = {
 }
 
 
+_REVERSED = {"first": "last", "last": "first"}
+
+
 def _over(kind: str, value: Column, window) -> Column:
     if kind == "last":
         return F.last(value, ignorenulls=True).over(window)
@@ -76,6 +79,10 @@ def carry(
         summed = blocked
 
     by_block = Window.partitionBy(*keys).orderBy(_B)
+    # Following rows are read as preceding ones in reverse order: a frame that shrinks with every
+    # row would be evaluated anew for each.
+    back_inside = Window.partitionBy(*keys, _B).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    back_by_block = Window.partitionBy(*keys).orderBy(F.col(_B).desc()).rowsBetween(Window.unboundedPreceding, -1)
     parts, carried = [], []
     for n, (kind, _, frame) in specs.items():
         value, part = F.col(f"_v_{n}"), f"_p_{n}"
@@ -96,10 +103,11 @@ def carry(
         if frame == "all":
             window = by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         elif frame == "after":
-            window = by_block.rowsBetween(1, Window.unboundedFollowing)
+            window = back_by_block
         else:
             window = by_block.rowsBetween(Window.unboundedPreceding, -1)
-        carried.append(_over(kind, F.col(f"_p_{n}"), window).alias(f"_c_{n}"))
+        seen = _REVERSED.get(kind, kind) if frame == "after" else kind
+        carried.append(_over(seen, F.col(f"_p_{n}"), window).alias(f"_c_{n}"))
     joined = blocked.join(summary.select(*keys, _B, *carried), [*keys, _B])
 
     out = []
@@ -112,7 +120,7 @@ def carry(
         elif frame == "all":
             out.append(far.alias(n))
         elif frame == "after":
-            near = _over(kind, value, inside.rowsBetween(1, Window.unboundedFollowing))
+            near = _over(_REVERSED.get(kind, kind), value, back_inside)
             out.append(combine(near, far).alias(n) if kind in ("first", "last") else combine(far, near).alias(n))
         else:
             last = 0 if frame == "upto" else -1

@@ -145,12 +145,15 @@ def rejoin_label(cells: Column) -> Column:
             ),
         )
 
-    return let(
+    joined = let(
         F.aggregate(F.slice(cells, 2, 4), start, step),
         lambda f: F.concat(
             F.array(f["label"]), F.array_repeat(F.lit(""), f["used"]), F.slice(cells, f["used"] + 2, F.size(cells))
         ),
     )
+    # Most rows have a mark or nothing right of the label and need no such pass.
+    second = F.coalesce(F.get(cells, F.lit(1)), F.lit(""))
+    return F.when(second.isin("", "X", "x"), cells).otherwise(joined)
 
 
 def matrix_rows(lines: DataFrame) -> DataFrame:
@@ -201,7 +204,8 @@ def with_headers(rows: DataFrame) -> DataFrame:
     """Adds to each row of :func:`matrix_rows` the header it stands under: ``header`` is a
     struct of its line and visit labels, prefixed by the group title. A row that only looks
     like a header counts as one while no other header has been seen."""
-    above = F.struct("kind", "label", "cells")
+    # Only a row without a label can be part of a header, so only its cells are carried on.
+    above = F.struct("kind", "label", F.when(F.col("label") == "", F.col("cells")).alias("cells"))
     rows = stage(rows)
     placed = carry(
         rows,
@@ -249,7 +253,7 @@ def drop_dividers(rows: DataFrame) -> DataFrame:
     folds a few flags per row.
     """
     cont = F.col("blank_raw") & is_continuation(F.col("label_raw"))
-    base = rows.withColumn("label_raw", strip(F.coalesce(F.try_element_at("raw", F.lit(1)), F.lit("")))).withColumn(
+    base = rows.withColumn("_headed", F.col("header").isNotNull()).withColumn("label_raw", strip(F.coalesce(F.try_element_at("raw", F.lit(1)), F.lit("")))).withColumn(
         "blank_raw",
         (F.col("kind") != "separator")
         & ~F.exists(F.slice("raw", F.lit(2), F.greatest(F.size("raw"), F.lit(1))), lambda c: c != ""),
@@ -267,7 +271,7 @@ def drop_dividers(rows: DataFrame) -> DataFrame:
     opens = (
         (F.col("kind") == "other")
         & ~F.coalesce(F.col("is_header"), F.lit(False))
-        & F.col("header").isNotNull()
+        & F.col("_headed")
         & F.col("blank")
         & (F.col("label") != "")
         & is_category_header(whole, F.lit(False))

@@ -94,3 +94,36 @@ def test_query_equals_its_sql(spark, name):
     a = sorted(tuple(plain(r[c]) for c in cols) for r in got.collect())
     b = sorted(tuple(plain(r[i]) for i in order) for r in want.fetchall())
     assert a == b
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
+    from studylake.sources.readers import PAGE, read_pages, read_study_tables
+
+    ddl = {
+        "study": "alias string, phase_raw string, area string, pediatric_raw string, unused string",
+        "study_country": "alias string, country string, abbr string, status string, unused string",
+        "enrollment": "alias string, enrollment_type string, plan_kind string, total int, unused string",
+        "milestone": "alias string, milestone_type string, milestone_date date, unused string",
+    }
+    for name, columns in ddl.items():
+        spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.createDataFrame([], PAGE).write.parquet(f"{tmp_path}/pages")
+    tables = read_study_tables(spark, str(tmp_path))
+    capsys.readouterr()
+    tables["enrollment"].explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(plan_kind,Planned)" in plan and "IsNotNull(alias)" in plan and "unused" not in plan
+    read_pages(spark, f"{tmp_path}/pages", [2, 5]).select("doc_id", "page").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "In(page, [2,5])" in plan and "blocks" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_ordered_steps_do_not_shuffle_by_document_alone(spark, capsys):
+    from studylake.operators.structure import pipe_rows
+
+    lines = spark.createDataFrame([(1, i, "| a | b |") for i in range(20)], "doc_id bigint, line_no int, text string")
+    capsys.readouterr()
+    pipe_rows(lines).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "hashpartitioning(doc_id" in plan and "_block" in plan

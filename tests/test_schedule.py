@@ -9,7 +9,7 @@ from studylake.operators import schedule as D
 
 LINES = {
     1: [
-        "| GZQD | Period I | Treatment | Comments |", "| Part A1 | SCR | | Tr |", "| | | -35 to | |", "| Study day | -2 | 1 | 8 |", "|---|---|---|---|",
+        "| QXRD | Period I | Treatment | Comments |", "| Part A1 | SCR | | Tr |", "| | | -35 to | |", "| Study day | -2 | 1 | 8 |", "|---|---|---|---|",
         "| Laboratory tests and sa | mple co | llect | ions |", "| Hematology panel with differential | X | | X | fasted |", "| and smear | | | |",
         "| Clinical chemistry of the serum | | X | |", "text between", "| Randomization and | | | |", "| dosing-related | | | |", "| activities | | | |",
         "| Zinc in serum, long name | X | X | X | late | again |", "| note block row | Q | | |", "| note block row | | Q | |", "| note block row | Q | | |",
