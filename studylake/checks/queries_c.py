@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from studylake.checks.registry import check
-from studylake.checks.sqltext import cells_, quote, strip_
+from studylake.checks.sqltext import cells_, quote, squeeze_, strip_
 from studylake.functions.fixed import CHANGE_LOG, QUESTION_SECTIONS, SCHEDULE_END, SCHEDULE_START
 from studylake.operators import structure as S
 
@@ -265,7 +265,11 @@ def _(t):
     return S.parse_aligned_matrix(t.aligned_line)
 
 
-@check("c23_longest_matching_section")
+@check(
+    "c23_longest_matching_section",
+    f"select doc_id, '9.1. Tumor Tissue Samples' as heading, {squeeze_('substring(text, 1, instr(text, chr(10) || ' + quote('9.2.') + ') - 1)')} as body from tissue",
+    "tissue",
+)
 def _(t):
     return t.tissue.select("doc_id", S.longest_matching_section(F.col("text")).alias("s")).select("doc_id", "s.heading", "s.body")
 
