@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import decontaminate, html_text, line_dedup, ngram_join, sentence_pieces, token_files, url_filter
+from studylake.llm import decontaminate, html_text, line_dedup, ngram_join, quality, sentence_pieces, token_files, url_filter, vector_search
 from studylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_files.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_back(files, docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op4_vector_search")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vector_search.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
