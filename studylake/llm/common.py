@@ -30,6 +30,21 @@ def store(df: DataFrame) -> Stored:
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
+NAMED_ROWS = 500_000  # at most so many rows of up to three longs are broadcast
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` stored, with a broadcast hint if their count allows it; else joins with them are shuffled."""
+    kept = store(rows).df
+    return F.broadcast(kept) if kept.count() <= NAMED_ROWS else kept
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone`` (one column); rows without doc_id stay."""
+    gone = named(gone.toDF("__gone").filter("__gone is not null").distinct())
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

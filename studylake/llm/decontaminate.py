@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import store
+from studylake.llm.common import store, without
 from studylake.llm.shingles import K, mix, shingle_hashes, slices, text_shingles, words
 
 PERCENT = 80
@@ -132,5 +132,4 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k
 def without_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
     """``docs`` without documents that contain an item; all columns stay. Documents without a doc_id
     stay: they cannot be named."""
-    gone = store(contained_items(docs, items, percent, k).select(F.col("doc_id").alias("__gone")).distinct()).df
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, contained_items(docs, items, percent, k).select("doc_id"))

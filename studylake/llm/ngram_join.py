@@ -32,12 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from studylake.llm.common import partitions_of, store
+from studylake.llm.common import named, partitions_of, store, without
 from studylake.llm.components import components
 from studylake.llm.shingles import K, slices, text_shingles, words
 
 PERCENT = 80
-BROADCAST_ROWS = 500_000  # of 24 bytes
 _ALL = float(1 << 64)
 _MARK, _SILENT = np.uint32((1 << 32) - 1), np.uint32((1 << 32) - 2)
 
@@ -245,10 +244,10 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     first = store(verified(stars, sets, percent))
     roots = store(components(first.df))
 
-    named = lists.df.join(roots.df.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    named = store(named)
-    mixed = named.df.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "h")
-    open_lists = store(named.df.join(mixed, ["band", "h"], "left_semi"))
+    rooted = lists.df.join(roots.df.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    rooted = store(rooted)
+    mixed = rooted.df.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "h")
+    open_lists = store(rooted.df.join(mixed, ["band", "h"], "left_semi"))
     x, y = open_lists.df.alias("x"), open_lists.df.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
     # what two members can have in common from this position on must reach what they need
@@ -257,7 +256,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     rest = x.join(y, same & (F.col("x.root") < F.col("y.root")) & fits("x.n", "y.n") & (left("x") >= need("y")) & (left("y") >= need("x")))
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
     second = store(verified(rest, sets, percent))
-    for s in (lists, roots, named, open_lists):
+    for s in (lists, roots, rooted, open_lists):
         s.drop()
     return first.df.unionByName(second.df)
 
@@ -277,9 +276,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     counted = store(rows.select("doc_id", "n", "c1", "c2"))
     sent.drop()
 
-    wanted = store(classes.df.filter("sharing").select(F.col("doc").alias("doc_id"), "c1", "c2")).df
-    if wanted.count() <= BROADCAST_ROWS:  # else a shuffled join
-        wanted = F.broadcast(wanted)
+    wanted = named(classes.df.filter("sharing").select(F.col("doc").alias("doc_id"), "c1", "c2"))
     sets = store(docs.join(wanted, "doc_id").mapInArrow(set_members(k), "doc long, n long, members binary"))
     links = class_links(sets.df.dropDuplicates(["doc", "members"]), percent)
     # rows that share a doc_id tie their classes together
@@ -288,8 +285,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     tied = tied.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     roots = components(links.unionByName(tied))
     sets.drop()
-    named = classes.df.select("c1", "c2", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("c1", "c2", "doc", F.coalesce("root", "doc").alias("root"))
-    out = counted.df.join(named, ["c1", "c2"], "left")
+    placed = classes.df.select("c1", "c2", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("c1", "c2", "doc", F.coalesce("root", "doc").alias("root"))
+    out = counted.df.join(placed, ["c1", "c2"], "left")
     own = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("root"))).otherwise(F.col("doc_id"))
     same = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("doc"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), same.alias("class_id"))
@@ -298,6 +295,4 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
 def keep_one(docs: DataFrame, percent: int = PERCENT, k: int = K) -> DataFrame:
     """``docs`` without the members of a component other than its smallest doc_id; all columns stay. Of rows that share that
     doc_id all stay. Rows without doc_id stay."""
-    gone = link_components(docs, percent, k).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = store(gone).df
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, link_components(docs, percent, k).filter("component_id <> doc_id").select("doc_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import store
+from studylake.llm.common import store, without
 from studylake.llm.shingles import slices, words
 
 FEATURES, SUMS, BINS = 256, 16, 1000
@@ -195,5 +195,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` that are not rejected; all columns stay. Rows that share a doc_id go only if all are rejected; rows without doc_id stay."""
     judged = score(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("good")).filter("good = 0")
-    gone = store(judged.select(F.col("doc_id").alias("__gone"))).df
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return without(docs, judged.select("doc_id"))

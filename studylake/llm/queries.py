@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import decontaminate, html_text, line_dedup, ngram_join, quality, sentence_pieces, token_files, url_filter, vector_search
+from studylake.llm import decontaminate, html_text, line_dedup, ngram_join, personal_data, quality, sentence_pieces, token_files, url_filter, vector_search
 from studylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -129,3 +129,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_quality")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(table(spark, sf_dir, "documents"))
