@@ -86,7 +86,7 @@ def url_verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow", bloc
     )
 
     sweep = Window.partitionBy("domain", "block").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = starts.unionByName(points).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
+    swept = starts.unionByName(points).repartition("domain", "block").withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
     still = F.filter("open", lambda r: F.startswith(F.col("path"), r["path"]))
     answers = swept.select("host", "path", "domain", F.try_element_at(still, F.lit(-1)).alias("r")).filter("r is not null")
     answer = F.struct(F.concat("domain", F.col("r.path")).alias("rule"), F.col("r.verdict").alias("verdict"))
