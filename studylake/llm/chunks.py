@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-LIMIT = 400_000
+LIMIT = 500_000
 
 
 class ChunkTable:
@@ -24,19 +24,15 @@ class ChunkTable:
         distinct: set[str] = set()
         for chunks in texts:
             distinct.update(chunks)
-        found: dict[str, bytes] = {}
         missing = []
-        for c in distinct:
-            ids = self.new.get(c)
+        for c in distinct.difference(self.new):
+            ids = self.old.get(c)
             if ids is None:
-                ids = self.old.get(c)
-                if ids is None:
-                    missing.append(c)
-                    continue
-            found[c] = ids
-        found.update(zip(missing, self.segment(missing), strict=True))
-        out = [b"".join(map(found.__getitem__, chunks)) for chunks in texts]
-        self.new.update(found)
+                missing.append(c)
+            else:
+                self.new[c] = ids
+        self.new.update(zip(missing, self.segment(missing), strict=True))
+        out = [b"".join(map(self.new.__getitem__, chunks)) for chunks in texts]
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         return out

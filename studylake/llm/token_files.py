@@ -35,12 +35,14 @@ from pyspark.sql import functions as F
 from studylake.functions.stage import stage_path
 from studylake.llm.chunks import ChunkTable
 from studylake.llm.common import store
+from studylake.llm.shingles import slices
 
 MAGIC = b"TOKSHRD1"
 HEAD = "<8sIQQII"
-APART = re.compile(r"\s\s|^ | $")
+RUN = re.compile(r"\s\s")
 BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
-SPLIT_SAFE = re.compile("[\x00\x1c-\x1f\x85᠎]")
+UNSURE = "\x00\x1c\x1d\x1e\x1f\x85\u180e"  # white space to Python or to the tokenizer only, and the cutting mark
+MARK_ALONE = re.compile(r"[.,](?<![^\W\d_].)[ \n]")  # a mark that does not follow a letter
 
 
 class Encoder:
@@ -66,9 +68,13 @@ class Encoder:
     def _chunks(self, text: str) -> list[str]:
         if not self.apart:
             return [text]
-        if APART.search(text) or SPLIT_SAFE.search(text):
-            return [text] if SPLIT_SAFE.search(text) else BEFORE_WORD.split(text)
-        return text.replace(" ", "\x00 ").split("\x00") if text else []
+        if not text or any(c in text for c in UNSURE):
+            return [text] if text else []
+        if text[0] == " " or text[-1] == " " or RUN.search(text):
+            return BEFORE_WORD.split(text)
+        if not MARK_ALONE.search(text):  # a mark between a letter and white space is a pre-token of its own
+            text = text.replace(". ", "\x00. ").replace(", ", "\x00, ").replace(".\n", "\x00.\n")
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
 
 
 @lru_cache(2)
@@ -89,7 +95,7 @@ def pack_rows(file: str, width: int, end_id: int, shard_bytes: int):
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 6 << 20)):
             texts = batch.column("text").to_pylist()
             for key, packed in zip(batch.column("doc_id").to_pylist(), encoder(file, width).encode(texts), strict=True):
                 keys.append(key)
