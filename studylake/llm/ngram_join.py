@@ -12,8 +12,9 @@ n - ceil(t n) of them in a partner. All steps are exact; none depends on a group
    the prefix that must meet a partner is indexed, with its position.
 4. Answers from similar sets. Every member of a list is compared with the list's leader only. Members that link to it
    have one answer as far as components go, so pairs inside a component are never compared again.
-5. Block skipping. Lists that hold one component are skipped whole. In the others only pairs of different components
-   are compared, if size and position leave them enough room. No pair that could link two components is left out.
+5. Block skipping. Lists that hold one component are skipped whole. In the others only pairs of different components are
+   compared, if their sizes and their positions in the list leave them enough room. No pair that could link two components
+   is left out.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a row without doc_id gets its
 set's size and a null component and links with nothing; equal rows are equal sets; rows that share a doc_id are one node.
@@ -217,6 +218,16 @@ def _missing(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100)
 
 
+def _room(percent: int) -> Column:
+    """Whether list members x and y can link if this list's hash is the first that they have in common: what stands before it in
+    one is not in the other, and what stands behind it must reach the overlap that their sizes ask for."""
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    spare = lambda s: F.col(f"{s}.n") - overlap
+    left = lambda s: F.col(f"{s}.looked") - F.col(f"{s}.pos") + 1
+    before = (F.col("x.pos") - 1 <= spare("x")) & (F.col("y.pos") - 1 <= spare("y"))
+    return before & (left("y") >= F.col("x.looked") - spare("x")) & (left("x") >= F.col("y.looked") - spare("y"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
@@ -227,7 +238,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between different sets (doc, n, members), enough for all components: a, b."""
-    fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     whole = {r.band for r in sets.mapInArrow(thin_bands(percent), "band int").distinct().collect()}  # a few dozen bands at most
     entries = store(sets.mapInArrow(index_entries(percent, whole), "band int, h long, doc long, n long, looked long"))
     seen = entries.df.groupBy("band", "h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -239,8 +249,9 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     lists = store(found.filter(F.col("rank") + alone <= prefix).select("band", "h", "doc", "n", (F.col("rank") + alone).alias("pos"), "looked"))
     entries.drop()
 
-    leaders = lists.df.groupBy("band", "h").agg(F.min(F.struct("doc", "n")).alias("leader")).select("band", "h", F.col("leader.doc").alias("a"), F.col("leader.n").alias("na"))
-    stars = lists.df.join(leaders, ["band", "h"]).filter((F.col("a") < F.col("doc")) & fits("na", "n")).select("a", F.col("doc").alias("b")).distinct()
+    leaders = lists.df.groupBy("band", "h").agg(F.min(F.struct("doc", "n", "pos", "looked")).alias("y")).select("band", "h", "y.*")
+    stars = lists.df.alias("x").join(leaders.alias("y"), ["band", "h"]).filter((F.col("y.doc") < F.col("x.doc")) & _room(percent))
+    stars = stars.select(F.col("y.doc").alias("a"), F.col("x.doc").alias("b")).distinct()
     first = store(verified(stars, sets, percent))
     roots = store(components(first.df))
 
@@ -250,10 +261,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     open_lists = store(rooted.df.join(mixed, ["band", "h"], "left_semi"))
     x, y = open_lists.df.alias("x"), open_lists.df.alias("y")
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
-    # what two members can have in common from this position on must reach what they need
-    left = lambda s: F.col(f"{s}.looked") - F.col(f"{s}.pos") + 1
-    need = lambda s: F.col(f"{s}.looked") - _missing(F.col(f"{s}.n"), percent)
-    rest = x.join(y, same & (F.col("x.root") < F.col("y.root")) & fits("x.n", "y.n") & (left("x") >= need("y")) & (left("y") >= need("x")))
+    rest = x.join(y, same & (F.col("x.root") < F.col("y.root")) & _room(percent))
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
     second = store(verified(rest, sets, percent))
     for s in (lists, roots, rooted, open_lists):
