@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-LIMIT = 500_000
+LIMIT = 300_000
+AT_ONCE = 3_000_000
 
 
 class ChunkTable:
@@ -19,8 +20,20 @@ class ChunkTable:
         self.old: dict[str, bytes] = {}
         self.new: dict[str, bytes] = {}
 
-    def join(self, texts: list[list[str]]) -> list[bytes]:
-        """The packed ids of each text, given as its chunks."""
+    def encode(self, texts: list[str | None], chunks: Callable[[str], list[str]]) -> list[bytes]:
+        """The packed ids of each text; ``chunks`` cuts a text. Texts of about ``AT_ONCE`` characters are cut at a time."""
+        out: list[bytes] = []
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(chunks(text or ""))
+            size += len(text or "")
+            if size >= AT_ONCE:
+                out += self._join(group)
+                group, size = [], 0
+        return out + self._join(group)
+
+    def _join(self, texts: list[list[str]]) -> list[bytes]:
         distinct: set[str] = set()
         for chunks in texts:
             distinct.update(chunks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,9 +26,24 @@ class Stored(NamedTuple):
         remove_stored(self.df.sparkSession, self.path)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Jobs started inside pass at most ``rows`` rows at once to Python, so that long texts need little memory."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def store(df: DataFrame) -> Stored:
     spark, path = df.sparkSession, stage_path(df.sparkSession)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 

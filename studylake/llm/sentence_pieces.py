@@ -59,10 +59,10 @@ class Pieces:
         end = np.int32(self.end).tobytes()
         if not self.apart:
             return [np.asarray(ids, "<i4").tobytes() + end for ids in self.library.encode([t or "" for t in texts], num_threads=1)]
-        return [ids + end for ids in self.table.join([self._words(t) for t in texts])]
+        return [ids + end for ids in self.table.encode(texts, self._words)]
 
     @staticmethod
-    def _words(text: str | None) -> list[str]:
+    def _words(text: str) -> list[str]:
         if not text:
             return []
         marked = MARK + text.replace(" ", MARK)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions.stage import stage_path
 from studylake.llm.chunks import ChunkTable
-from studylake.llm.common import store
+from studylake.llm.common import small_batches, store
 from studylake.llm.shingles import slices
 
 MAGIC = b"TOKSHRD1"
@@ -63,7 +63,7 @@ class Encoder:
                 yield array(self.kind, e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return self.table.join([self._chunks(t or "") for t in texts])
+        return self.table.encode(texts, self._chunks)
 
     def _chunks(self, text: str) -> list[str]:
         if not self.apart:
@@ -95,7 +95,7 @@ def pack_rows(file: str, width: int, end_id: int, shard_bytes: int):
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
-        for batch in (part for whole in batches for part in slices(whole, "text", 6 << 20)):
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             texts = batch.column("text").to_pylist()
             for key, packed in zip(batch.column("doc_id").to_pylist(), encoder(file, width).encode(texts), strict=True):
                 keys.append(key)
@@ -176,7 +176,8 @@ def write(docs: DataFrame, file: str, end_id: int = 0, shard_bytes: int = 16 <<
     dealt = docs.withColumn("tie", tie).repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     packed = dealt.mapInArrow(pack_rows(file, width, end_id, shard_bytes), "data binary")
     path = stage_path(spark)
-    packed.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    with small_batches(spark):
+        packed.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
     rows = store(documents(spark, path, digests=False)).df
     sizes = rows.groupBy("task", "place").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"))
