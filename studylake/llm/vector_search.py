@@ -78,14 +78,14 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def learn_radius(x: np.ndarray, code: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
-    """Smallest radius that holds ``recall`` of the true k neighbours among the sample."""
+def learn_radius(x: np.ndarray, code: np.ndarray, asked: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
+    """Smallest radius round the codes of queries (``asked``) that holds ``recall`` of the true k neighbours among the sample."""
     distances = []
     for q in range(min(queries, len(x))):
         scores = x @ x[q]
         scores[q] = -np.inf
         near = top(scores, np.arange(len(x)), min(k, len(x) - 1))
-        distances.append(np.bitwise_count(code[near] ^ code[q]))
+        distances.append(np.bitwise_count(code[near] ^ asked[q]))
     found = np.concatenate(distances or [np.zeros(0)])
     return int(np.quantile(found, recall, method="higher")) if len(found) else BITS
 
@@ -148,7 +148,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, radius: int | None
     x = np.stack(sample["embedding"].to_numpy()).astype(np.float64)
     rotation = learn_rotation(lengthened(x, norm), BITS)
     if radius is None:
-        radius = learn_radius(x, codes(lengthened(x, norm), rotation), k, RECALL)
+        radius = learn_radius(x, codes(lengthened(x, norm), rotation), codes(lengthened(x, 0.0), rotation), k, RECALL)
     blocks, query_blocks = max(1, -(-total // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
     found = store(search(index, queries, rotation, norm, radius, blocks, query_blocks, k)).df
     full = found.groupBy("query_id").count().filter(F.col("count") >= min(k, total - 1)).select(F.col("query_id").alias("vec_id"))
