@@ -54,7 +54,7 @@ class Encoder:
 
         self.library, self.kind = Tokenizer.from_file(file), "H" if width == 2 else "I"
         self.apart = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
-        self.table = ChunkTable(self._segment)
+        self.table = ChunkTable(self._segment, 200_000)
 
     def _segment(self, chunks: list[str]) -> Iterator[bytes]:
         step = 20_000
