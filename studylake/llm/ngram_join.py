@@ -42,7 +42,7 @@ _ALL = float(1 << 64)
 _MARK, _SILENT = np.uint32((1 << 32) - 1), np.uint32((1 << 32) - 2)
 
 
-FILTER, INDEX = (0.25, 16), (0.3, 32)  # share of the hash space that sets of n members look at: a + b / n, falls with n
+FILTER, INDEX = (0.25, 16), (0.3, 128)  # share of the hash space that sets of n members look at: a + b / n, falls with n
 
 
 def _under(u: np.ndarray, n: float, look: tuple[float, int]) -> int:
