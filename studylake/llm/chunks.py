@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 LIMIT = 300_000
-AT_ONCE = 3_000_000
+AT_ONCE = 2_000_000
 
 
 class ChunkTable:

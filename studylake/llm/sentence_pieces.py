@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.llm.chunks import ChunkTable
+from studylake.llm.shingles import slices
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -40,7 +41,7 @@ class Pieces:
         self.end = self.library.eos_id()
         self.apart = all(MARK not in p.lstrip(MARK) for p in names) and self.library.encode("a b  c", out_type=str)[0].startswith(MARK)
         self.apart &= self.library.decode(self.library.encode("  a  ")) == "  a  " and self.library.normalize(" Å ﬁ") == f"{MARK}{MARK}Å{MARK}ﬁ"
-        self.table = ChunkTable(self._segment)
+        self.table = ChunkTable(self._segment, 100_000)
         # bytes of each piece; None where only the library knows
         self.bytes: list[bytes | None] = [
             None if self.library.is_unknown(i) else b"" if self.library.is_control(i) else bytes([int(p[3:-1], 16)]) if self.library.is_byte(i) else p.replace(MARK, " ").encode()
@@ -111,10 +112,24 @@ def _each(arrays: pa.Array) -> Iterable[np.ndarray | None]:
     return (values[offsets[i] : offsets[i + 1]] if valid[i] else None for i in range(len(arrays)))
 
 
+def both_ways(model: str):
+    """Ids of each text and the text they decode to, in small batches."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pieces(model)
+        for batch in (part for whole in batches for part in slices(whole, "text", 2 << 20)):
+            packed = p.encode(batch.column("text").to_pylist())
+            offsets = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+            decoded = pa.array([p.decode(np.frombuffer(x, "<i4")) for x in packed], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded], names=["doc_id", "ids", "decoded"])
+
+    return rows
+
+
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """Encodes and decodes ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ids = docs.select("doc_id", encode(F.col("text"), model).alias("ids"))
-    both = ids.select("doc_id", "ids", decode(F.col("ids"), model).alias("decoded"))
+    both = docs.select("doc_id", "text").mapInArrow(both_ways(model), "doc_id long, ids array<int>, decoded string")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
