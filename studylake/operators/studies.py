@@ -94,8 +94,9 @@ def assemble_studies(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def new_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored; of several rows with one key, one is kept."""
-    return rows.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    """Rows whose key is not stored; of several rows with one key the largest is kept, so that a retry keeps the same."""
+    one = rows.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*rows.columns)).alias("__row")).select("__row.*")
+    return one.join(stored.select(key), key, "left_anti").select(rows.columns)
 
 
 def run_summary(rows: DataFrame, stored: DataFrame, key: str = "alias") -> DataFrame:

@@ -112,9 +112,12 @@ def read_field_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def existing_keys(spark: SparkSession, path: str, key: str, schema: str = "string") -> DataFrame:
-    """Non-blank keys already stored; none if the table does not exist yet."""
+    """Non-blank keys already stored; none if the table does not exist yet. A stored table without the key is an error."""
     try:
-        stored = spark.read.parquet(path).select(F.col(key))
-    except AnalysisException:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or no file in it
+            raise
         return spark.createDataFrame([], f"{key} {schema}")
+    stored = table.select(F.col(key))
     return stored.where(F.col(key).isNotNull() & (F.col(key) != "")).distinct()
