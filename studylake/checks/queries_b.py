@@ -67,7 +67,7 @@ def _(t):
 @check(
     "b6_strip_json_suffix",
     """with w as (select *, lead(text) over v as n1, lead(text, 2) over v as n2, max(line_no) over (partition by doc_id) as last from protocol_line window v as (partition by doc_id order by line_no)),
-    c as (select *, max(case when trim(text) = '{' and line_no > greatest(5, last + 1 - 5000) and (contains(text, '"pages"') or contains(n1, '"pages"') or contains(n2, '"pages"')) then line_no end) over (partition by doc_id) as cut from w)
+    c as (select *, max(case when trim(text) = '{' and line_no > 5 and (contains(text, '"pages"') or contains(n1, '"pages"') or contains(n2, '"pages"')) then line_no end) over (partition by doc_id) as cut from w)
     select doc_id, line_no, text from c where cut is null or line_no < cut""",
     "protocol_line",
 )

@@ -119,7 +119,7 @@ def _(t):
 _RANGES = """f as (select doc_id, min(case when contains(upper(text), 'LABORATORY') and contains(upper(text), 'SAMPLE') then line_no end) as schedule_start,
   coalesce(min(case when contains(upper(text), 'APPENDIX') and contains(upper(text), 'LABORATORY') then line_no end), min(case when contains(text, 'CLINICAL LABORATORY TESTS') then line_no end)) as lab_start, max(line_no) + 1 as n from mapper_line group by doc_id),
 rg as (select f.doc_id, schedule_start, (select min(line_no) from mapper_line m where m.doc_id = f.doc_id and line_no > schedule_start and (contains(upper(text), 'PHARMACOKINETICS') or contains(upper(text), 'PK SAMPLES'))) as schedule_end,
-  lab_start, case when lab_start is not null then least(lab_start + 600, n) end as lab_end from f)"""
+  lab_start, case when lab_start is not null then n end as lab_end from f)"""
 
 
 @check("c11_detect_line_ranges", f"with {_RANGES} select * from rg", "mapper_line")
@@ -239,7 +239,7 @@ def _(t):
 
 @check("c20_crop", "select doc_id, case when instr(lower(text), 'tion') > 0 then substring(text, instr(lower(text), 'tion'), 3000) else '' end as text from documents")
 def _(t):
-    return t.documents.select("doc_id", S.crop(F.col("text"), "tion").alias("text"))
+    return t.documents.select("doc_id", S.crop(F.col("text"), "tion", 3000).alias("text"))
 
 
 @check(

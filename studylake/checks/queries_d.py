@@ -114,8 +114,7 @@ hd as (select h.doc_id, line_no, merged, title, names from hl h join first_ok o
 @check("d7_merge_header_fragment", f"with {_HEAD} select doc_id, line_no, array_to_string(names, ';') as visits from hd", "matrix_line")
 def _(t):
     rows = D.with_headers(D.matrix_rows(t.matrix_line)).where("is_header")
-    plain = F.transform("header.visits", lambda v: F.regexp_replace(v, r"^Part [^:]*: ", ""))
-    return rows.select("doc_id", "line_no", F.array_join(plain, ";").alias("visits"))
+    return rows.select("doc_id", "line_no", F.array_join("header.visits", ";").alias("visits"))
 
 
 @check(
@@ -124,7 +123,7 @@ def _(t):
     "matrix_line",
 )
 def _(t):
-    rows = D.with_headers(D.matrix_rows(t.matrix_line)).where("is_header")
+    rows = D.namespace_groups(D.drop_dividers(D.with_headers(D.matrix_rows(t.matrix_line)))).where("is_header")
     return rows.select("doc_id", "line_no", F.array_join("header.visits", ";").alias("visits"))
 
 
@@ -243,7 +242,7 @@ def _(t):
 _SCHED = rf"""{_RANGES}, sl as (select m.doc_id, line_no, text, list_filter(list_transform(regexp_split_to_array(trim(text), '\s{{2,}}'), lambda x: trim(x)), lambda x: x <> '') as p from mapper_line m join rg on m.doc_id = rg.doc_id and line_no >= schedule_start and line_no < schedule_end),
 vn as (select doc_id, line_no as at_, list_transform(list_filter(p, lambda x: regexp_matches(x, '^\d+$')), lambda x: cast(x as int)) as v from sl where contains(upper(text), 'VISIT NUMBER')),
 st as (select sl.doc_id, p[1] as name, line_no, list_filter(list_transform(p[2:], lambda x, i: case when regexp_matches(x, '\bX\b') then v[i] end), lambda x: x is not null) as visits, list_filter(p[2:], lambda x: regexp_matches(x, '\bX\b')) as xs
- from sl join vn on sl.doc_id = vn.doc_id where len(p) >= 2 and line_no <= at_ + 15 and not regexp_matches(p[1], '(?i)^(visit\s*number|weeks?)') and not contains(p[1], 'Laboratory tests and sample') and length(p[1]) > 2),
+ from sl join vn on sl.doc_id = vn.doc_id where len(p) >= 2 and not regexp_matches(p[1], '(?i)^(visit\s*number|weeks?)') and not contains(p[1], 'Laboratory tests and sample') and length(p[1]) > 2),
 tests as (select doc_id, name, max(line_no) as line_no, regexp_matches(lower(name), 'hematology|chemistry|lipids|urinalysis|panel|serology|hormones|antibody|testing') as is_panel, max_by(visits, line_no) as visits from st where len(xs) > 0 group by doc_id, name)"""
 
 

@@ -277,17 +277,38 @@ SCHEMA = {
 }
 
 
-@check("h16_flatten_schema")
+# Schemas of the orders: unions either way round, arrays of objects, nesting of several levels, names from the data.
+_SCHEMA_TEXT = """select o_orderkey as schema_id, concat('{"type":"object","required":["study","o', o_custkey, '"],"properties":{"study":{"required":["alias"],"properties":{"alias":{"type":"string"},"phase":{"anyOf":[{"type":"null"},{"type":"string","enum":["', o_orderstatus, '","2"]}]},',
+ '"sites":{"oneOf":[{"type":"array","items":{"type":"object","required":["name"],"properties":{"name":{"type":"string"},"deep":{"type":"object","properties":{"x":{}}}}}},{"type":"null"}]},',
+ '"stage":{"type":"object","required":["', o_orderpriority, '"],"properties":{"', o_orderpriority, '":{"type":"integer","nullable":true},"more":{"type":"object","properties":{"last":{"type":"array","items":{"type":"string"}}}}}}}},',
+ '"o', o_custkey, '":', case when o_orderkey % 3 = 0 then '{"type":"string"}' when o_orderkey % 3 = 1 then '{"type":"object","properties":{}}' else '{"properties":{"v":{"oneOf":[{"type":"null"}]}}}' end, '}}') as json from orders"""
+_FLAT = f"""with recursive node as (
+ select schema_id, cast(null as varchar) as section, '' as path, 'schema' as within, cast(json as json) as node from ({_SCHEMA_TEXT}) s
+ union all select schema_id, section, inner_path, opens, case when opens = 'items' then chosen->'items' else chosen end from (#FIELDS#) f where opens is not null)
+select schema_id, section, field_name, type, required, nullable, enum, parent_path from (#FIELDS#) f where opens is null"""
+_FIELDS = """select schema_id, case when top then k else section end as section, name as field_name, coalesce(chosen->>'type', 'string') as type, list_contains(needed, k) as required,
+ coalesce(cast(given->>'nullable' as boolean), false) or len(list_filter(alts, lambda a: (a->>'type') = 'null')) > 0 as nullable, array_to_string(cast(chosen->'enum' as varchar[]), ';') as enum, path as parent_path, chosen,
+ case when top then '' else name end as inner_path, case when within = 'items' then null when coalesce(chosen->>'type', case when top then 'object' end) = 'object' and (chosen->'properties') is not null then 'object'
+ when not top and (chosen->>'type') = 'array' and (chosen->'items'->'properties') is not null then 'items' end as opens
+ from (select *, within = 'schema' as top, case when path = '' then k when within = 'items' then path || '[].' || k else path || '.' || k end as name, coalesce(list_filter(alts, lambda a: coalesce(a->>'type', '') <> 'null')[1], given) as chosen
+ from (select *, list_concat(coalesce(cast(given->'anyOf' as json[]), []), coalesce(cast(given->'oneOf' as json[]), [])) as alts
+ from (select *, coalesce(cast(node->'required' as varchar[]), []) as needed, node->'properties'->k as given from (select *, unnest(json_keys(node->'properties')) as k from node) a) b) c) d"""
+_FLAT = _FLAT.replace("#FIELDS#", _FIELDS)
+
+
+def _schemas(t):
+    t.orders.createOrReplaceTempView("orders")
+    return H.flatten_schemas(t.spark.sql(_SCHEMA_TEXT))
+
+
+@check("h16_flatten_schema", _FLAT)
 def _(t):
-    fields = H.flatten_schema(t.spark, SCHEMA)
-    # How often each leaf of the catalog is answered in the records.
-    docs = _json_records(t).select(F.try_parse_json("json").alias("v"))
-    counts = docs.agg(
-        F.count(F.try_variant_get("v", "$.study.alias", "string")).alias("alias"),
-        F.count(F.try_variant_get("v", "$.study.phase", "string")).alias("phase"),
-        F.count(F.try_variant_get("v", "$.note", "string")).alias("note"),
-    ).unpivot([], ["alias", "phase", "note"], "field_name", "answered")
-    return fields.drop("enum").join(counts, "field_name", "left")
+    return _schemas(t).withColumn("enum", F.array_join("enum", ";"))
+
+
+@check("h16_schema_summary", f"select schema_id, section, count(*) as fields, count(*) filter (where required) as required from ({_FLAT}) x group by schema_id, section")
+def _(t):
+    return H.schema_summary(_schemas(t))
 
 
 def _json_records(t):

@@ -157,7 +157,7 @@ def compound(text: Column) -> Column:
             Rule(r"(?:Drug|Agent|Product)(?:\s+under\s+investigation)?:\s*([^;\n]+)"),
         ],
     )
-    opening = F.substring(text, 1, 3000)
+    opening = text
     in_title = tier_value(
         opening,
         Rule(
@@ -223,14 +223,14 @@ def area_hits(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def indication(text: Column) -> Column:
     from_title = tier_value(title(text), Rule(r"(?i)in\s+Patients\s+with\s+(.+?)(?:\.|$)"))
-    title_line = tier_value(F.substring(text, 1, 3000), Rule(r"Protocol\s+Title\s*:\s*(.+?)(?:\n|$)"))
+    title_line = tier_value(text, Rule(r"Protocol\s+Title\s*:\s*(.+?)(?:\n|$)"))
     in_line = F.rtrim(tier_value(title_line, Rule(r"\bin\s+(.+?)\s*$")), F.lit("."))
     found = F.coalesce(tiered_extract(text, INDICATION), from_title, in_line)
     return F.rtrim(squeeze(found), F.lit("."))
 
 
 def enrollment_first(text: Column) -> Column:
-    return first_number(F.substring(text, 1, 80000), [f"(?i){p}" for p in ENROLLMENT], 2, 100000)
+    return first_number(text, [f"(?i){p}" for p in ENROLLMENT], 2, 100000)
 
 
 def enrollment_highest(text: Column, planned: Column | None = None) -> Column:

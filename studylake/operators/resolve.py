@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studylake.functions.fixed import LABEL_DEFAULTS
+from studylake.functions.stage import stage
 
 # Keys of a structured override that are no fields.
 META_KEYS = ("protocol_fields", "design_fields", "rfp_engine_fields", "schema_version", "defaults_applied", "intermediate")
@@ -161,59 +162,78 @@ def corpus_coverage(findings: DataFrame) -> DataFrame:
 # --- schemas ----------------------------------------------------------------------------------------
 
 
-def _node(val: Mapping) -> dict:
-    """The first branch that is not null, marked nullable if another one is."""
-    for key in ("anyOf", "oneOf"):
-        branches = val.get(key)
-        if branches:
-            real = [b for b in branches if b.get("type") != "null"]
-            if real:
-                return {**real[0], **({"nullable": True} if len(real) < len(branches) else {})}
-    return dict(val)
+def _stands_for(node: Mapping) -> Mapping:
+    """What a node stands for: of a union its first alternative other than null."""
+    alternatives = [*node.get("anyOf", ()), *node.get("oneOf", ())]
+    return next((a for a in alternatives if a.get("type") != "null"), node)
 
 
-def _nullable(val: Mapping) -> bool:
-    return bool(val.get("nullable")) or any(b.get("type") == "null" for k in ("anyOf", "oneOf") for b in val.get(k, []))
+def _at(node: str, name: str, kind: str) -> Column:
+    return F.try_variant_get(node, f"$.{name}", kind)
 
 
-def schema_fields(schema: Mapping) -> list[tuple]:
-    """``(section, field_name, type, required, nullable, enum, parent_path)`` of each leaf."""
-    out: list[tuple] = []
+def flatten_schemas(schemas: DataFrame) -> DataFrame:
+    """Leaf fields of JSON schemas ``(schema_id, json)``: ``(schema_id, section, field_name, type, required, nullable,
+    enum, parent_path)``.
 
-    def leaf(section: str, name: str, val: Mapping, required: bool, parent: str) -> None:
-        node = _node(val)
-        out.append((section, name, node.get("type", "string"), required, _nullable(val), node.get("enum"), parent))
-
-    def walk(section: str, node: Mapping, parent: str) -> None:
-        needed = set(node.get("required", []))
-        for key, val in node.get("properties", {}).items():
-            child, path = _node(val), f"{parent}.{key}" if parent else key
-            items = child.get("items", {})
-            if child.get("type") == "object" and "properties" in child:
-                walk(section, child, path)
-            elif child.get("type") == "array" and "properties" in items:
-                for k, v in items["properties"].items():
-                    leaf(section, f"{path}[].{k}", v, k in items.get("required", []), path)
-            else:
-                leaf(section, path, val, key in needed, parent)
-
-    for name, val in schema.get("properties", {}).items():
-        node = _node(val)
-        if node.get("type", "object") == "object" and "properties" in node:
-            walk(name, node, "")
-        else:
-            leaf(name, name, val, name in schema.get("required", []), "")
-    return out
-
-
-def flatten_schema(spark: SparkSession, schema: Mapping) -> DataFrame:
-    """The leaf fields of a JSON schema as a table; the schema is a small configuration."""
-    ddl = "section string, field_name string, type string, required boolean, nullable boolean, enum array<string>, parent_path string"
-    return spark.createDataFrame(schema_fields(schema), ddl)
+    Each step opens the objects found by the step before, until none is left, so nesting is free; the steps' rows are
+    stored. Top-level objects are sections. The fields of objects in an array are leaves named ``path[].name``. Texts
+    that are no JSON, or without properties, have no leaves.
+    """
+    open_nodes = schemas.select(
+        "schema_id", F.lit(None).cast("string").alias("section"), F.lit("").alias("path"), F.lit("schema").alias("within"),
+        F.try_parse_json("json").alias("node"),
+    )
+    leaves: DataFrame | None = None
+    while True:
+        fields = stage(_schema_fields(open_nodes))
+        found = fields.where("opens is null").select(
+            "schema_id", "section", "field_name", "type", "required", "nullable", "enum", "parent_path"
+        )
+        leaves = found if leaves is None else leaves.unionByName(found)
+        open_nodes = fields.where("opens is not null").select(
+            "schema_id", "section", F.col("inner_path").alias("path"), F.col("opens").alias("within"), F.col("inner").alias("node")
+        )
+        if open_nodes.isEmpty():
+            return leaves
+
+
+def _schema_fields(open_nodes: DataFrame) -> DataFrame:
+    """The fields of open nodes; ``opens`` tells how a field is to be opened (null: a leaf)."""
+    none = F.array().cast("array<variant>")
+    alternatives = F.concat(F.coalesce(_at("given", "anyOf", "array<variant>"), none), F.coalesce(_at("given", "oneOf", "array<variant>"), none))
+    is_null = lambda a: F.coalesce(F.try_variant_get(a, "$.type", "string") == "null", F.lit(False))
+    given = open_nodes.select(
+        "schema_id", "section", "path", "within", F.coalesce(_at("node", "required", "array<string>"), F.array().cast("array<string>")).alias("_needed"),
+        F.explode(_at("node", "properties", "map<string,variant>")).alias("key", "given"),
+    )
+    chosen = given.withColumn("_any", alternatives).select(
+        "*", F.coalesce(F.get(F.filter("_any", lambda a: ~is_null(a)), F.lit(0)), F.col("given")).alias("inner")
+    )
+    kind, top, item = _at("inner", "type", "string"), F.col("within") == "schema", F.col("within") == "items"
+    has_fields = F.col("inner").isNotNull() & _at("inner", "properties", "map<string,variant>").isNotNull()
+    items = _at("inner", "items", "variant")
+    rows = ~top & (kind == "array") & _at("inner", "items.properties", "map<string,variant>").isNotNull()
+    path = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.when(item, "[].").otherwise("."), "key"))
+    opens = F.when(item, None).when(F.coalesce(kind, F.when(top, "object")) == "object", F.when(has_fields, "object")).when(rows, "items")
+    return chosen.select(
+        "schema_id",
+        F.when(top, F.col("key")).otherwise(F.col("section")).alias("section"),
+        path.alias("field_name"),
+        F.coalesce(kind, F.lit("string")).alias("type"),
+        F.array_contains("_needed", F.col("key")).alias("required"),
+        (F.coalesce(_at("given", "nullable", "boolean"), F.lit(False)) | F.exists("_any", is_null)).alias("nullable"),
+        _at("inner", "enum", "array<string>").alias("enum"),
+        F.col("path").alias("parent_path"),
+        opens.alias("opens"),
+        F.when(top, "").otherwise(path).alias("inner_path"),
+        F.when(opens == "items", items).otherwise(F.col("inner")).alias("inner"),
+    )
 
 
 def schema_summary(fields: DataFrame) -> DataFrame:
-    return fields.groupBy("section").agg(F.count("*").alias("fields"), F.count_if("required").alias("required"))
+    """``(schema_id, section, fields, required)``: counts per section."""
+    return fields.groupBy("schema_id", "section").agg(F.count("*").alias("fields"), F.count_if("required").alias("required"))
 
 
 def validate_records(records: DataFrame, schema: Mapping) -> DataFrame:
@@ -221,7 +241,7 @@ def validate_records(records: DataFrame, schema: Mapping) -> DataFrame:
     The checks are one expression per record, unfolded from the schema."""
 
     def errors(value: Column, node: Mapping, path: Column) -> list[Column]:
-        eff = _node(node)
+        eff = _stands_for(node)
         kind, props = eff.get("type", "string"), eff.get("properties", {})
         out: list[Column] = []
         if kind == "object":
@@ -245,7 +265,7 @@ def validate_records(records: DataFrame, schema: Mapping) -> DataFrame:
             items = eff.get("items", {})
             rows = F.try_variant_get(value, "$", "array<variant>")
             flagged = F.array(F.concat(F.lit("Expected array at "), path))
-            if _node(items).get("type") == "object" or "properties" in _node(items):
+            if _stands_for(items).get("type") == "object" or "properties" in _stands_for(items):
                 each = F.flatten(
                     F.transform(
                         rows,
@@ -268,7 +288,7 @@ def validate_records(records: DataFrame, schema: Mapping) -> DataFrame:
 
 def struct_of(schema: Mapping) -> T.DataType:
     """Spark type of a JSON schema; leaves are strings."""
-    node = _node(schema)
+    node = _stands_for(schema)
     if node.get("type") == "object" and "properties" in node:
         return T.StructType([T.StructField(k, struct_of(v)) for k, v in node["properties"].items()])
     if node.get("type") == "array":
@@ -280,7 +300,7 @@ def empty_record(schema: Mapping) -> Column:
     """A record shaped by the schema: null leaves, empty arrays."""
 
     def build(node: Mapping) -> Column:
-        eff = _node(node)
+        eff = _stands_for(node)
         if eff.get("type") == "object" and "properties" in eff:
             return F.struct(*[build(v).alias(k) for k, v in eff["properties"].items()])
         if eff.get("type") == "array":

@@ -202,21 +202,12 @@ def merge_header_fragment(cells: Column, above: Column) -> Column:
 
 def with_headers(rows: DataFrame) -> DataFrame:
     """Adds to each row of :func:`matrix_rows` the header it stands under: ``header`` is a
-    struct of its line and visit labels, prefixed by the group title. A row that only looks
-    like a header counts as one while no other header has been seen."""
+    struct of its line and visit labels, without group titles (:func:`namespace_groups`). A row that
+    only looks like a header counts as one while no other header has been seen."""
     # Only a row without a label can be part of a header, so only its cells are carried on.
     above = F.struct("kind", "label", F.when(F.col("label") == "", F.col("cells")).alias("cells"))
     rows = stage(rows)
-    placed = carry(
-        rows,
-        DOC,
-        "line_no",
-        {
-            "_above": ("last", above, "before"),
-            "_title": ("last", F.when(F.col("kind") == "title", F.col("label")), "upto"),
-        },
-    )
-    placed = stage(placed)
+    placed = stage(carry(rows, DOC, "line_no", {"_above": ("last", above, "before")}))
     fragment = (
         (F.col("_above.kind") == "other")
         & (F.col("_above.label") == "")
@@ -226,10 +217,7 @@ def with_headers(rows: DataFrame) -> DataFrame:
     placed = placed.withColumn("_merged", F.transform(merged, strip))
     last_filled = F.size("_merged") - F.array_position(F.reverse(F.transform("_merged", lambda c: c != "")), True)
     names = F.slice("_merged", F.lit(2), last_filled.cast("int"))
-    titled = F.when(
-        F.col("_title").isNotNull(), F.transform(names, lambda v: F.concat_ws(": ", F.col("_title"), v))
-    ).otherwise(names)
-    head = F.struct(F.col("line_no").alias("line"), titled.alias("visits"))
+    head = F.struct(F.col("line_no").alias("line"), names.alias("visits"))
     usable = last_filled >= 1
     by_label = (F.col("kind") == "day") & usable
     by_shape = (F.col("kind") == "other") & F.col("day_like") & usable
@@ -304,6 +292,21 @@ def drop_dividers(rows: DataFrame) -> DataFrame:
     )
 
 
+def namespace_groups(rows: DataFrame) -> DataFrame:
+    """Puts the group title above a header in front of its visits, for rows of :func:`drop_dividers`:
+    a title that is part of a divider's label is none. Only headers and titles, a few rows per
+    document, are put in order; the join back is on the header's line."""
+    title = F.when((F.col("kind") == "title") & ~F.col("divider"), F.col("label"))
+    few = rows.select("doc_id", "line_no", "is_header", title.alias("_own")).where(F.col("is_header") | F.col("_own").isNotNull())
+    heads = carry(few, DOC, "line_no", {"_title": ("last", F.col("_own"), "upto")}).where(F.col("is_header") & F.col("_title").isNotNull())
+    named = rows.withColumn("_line", F.col("header.line")).join(
+        heads.select("doc_id", F.col("line_no").alias("_line"), "_title"), ["doc_id", "_line"], "left"
+    )
+    visits = F.transform("header.visits", lambda v: F.concat_ws(": ", F.col("_title"), v))
+    header = F.when(F.col("_title").isNull(), F.col("header")).otherwise(F.struct(F.col("header.line").alias("line"), visits.alias("visits")))
+    return named.withColumn("header", header).select(*rows.columns)
+
+
 def drop_repeated(rows: DataFrame, times: int = 3) -> DataFrame:
     """Adds ``repeated``: the filled cells occur at least ``times`` times in the document.
     Counts combine map-side; only counts that reach the limit are joined back."""
@@ -318,7 +321,7 @@ def schedule_rows(lines: DataFrame) -> DataFrame:
 
     Rows under equal headers form one table; ``table_ord`` is the line of its first header.
     """
-    rows = stage(drop_repeated(drop_dividers(stage(with_headers(matrix_rows(lines))))))
+    rows = stage(drop_repeated(namespace_groups(stage(drop_dividers(stage(with_headers(matrix_rows(lines))))))))
     key = F.array_join("header.visits", "\u0001")
     heads = rows.where("is_header").groupBy("doc_id", key.alias("table_key")).agg(F.min("line_no").alias("table_ord"))
     end = F.size("header.visits")
@@ -492,7 +495,6 @@ def parse_schedule_lines(lines: DataFrame) -> DataFrame:
         .select("doc_id", "line_no", name.alias("name"), marks.alias("_x"))
         .where(F.size("_x") > 0)
         .join(visits, "doc_id", "left")
-        .where(F.col("_at").isNull() | (F.col("line_no") <= F.col("_at") + 15))
     )
     at = F.array_distinct(
         F.filter(

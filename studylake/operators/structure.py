@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from studylake.functions.fixed import CHANGE_LOG, PAGE_NOISE, QUESTION_SECTIONS
 from studylake.functions.sequence import carry, neighbours, range_join
 from studylake.functions.stage import stage
-from studylake.functions.text import any_of, clip, let, normalize_ws, strip
+from studylake.functions.text import any_of, clip, let, normalize_ws, squeeze, strip
 
 DOC = ["doc_id"]
 HEADING = r"^(#{1,6})?\s*(\d+(?:\.\d+)*)\.\s"
@@ -120,7 +120,7 @@ def between_landmarks(text: Column, start: str, end: str | None = None) -> Colum
     return F.when((begin > 0) & (stop > 0), F.substring(tail, F.lit(1), stop - 1)).when(begin > 0, tail)
 
 
-def crop(text: Column, keyword: str, n: int = 3000) -> Column:
+def crop(text: Column, keyword: str, n: int) -> Column:
     """``n`` characters from the first ``keyword`` on, empty without it."""
     begin = F.locate(keyword.lower(), F.lower(text))
     return F.when(begin > 0, F.substring(text, begin, F.lit(n))).otherwise("")
@@ -263,7 +263,7 @@ def detect_line_ranges(lines: DataFrame) -> DataFrame:
         "schedule_start",
         "schedule_end",
         "lab_start",
-        F.when(F.col("lab_start").isNotNull(), F.least(F.col("lab_start") + 600, F.col("_n"))).alias("lab_end"),
+        F.when(F.col("lab_start").isNotNull(), F.col("_n")).alias("lab_end"),
     )
 
 
@@ -282,7 +282,7 @@ def appendix_block(text: Column) -> Column:
     for title in APPENDIX_TITLES:
         start = F.regexp_instr(text, F.lit(title))
         stop = F.regexp_instr(F.substring(text, start + 50, F.length(text)), F.lit(APPENDIX_STOP))
-        cut = F.substring(text, start, F.when(stop > 0, stop + 49).otherwise(5000))
+        cut = F.substring(text, start, F.when(stop > 0, stop + 49).otherwise(F.length(text)))
         lines = F.filter(F.transform(F.split(cut, "\n"), strip), lambda s: (s != "") & ~s.rlike(noise))
         tier = F.when((start > 0) & (F.size(lines) > 0), lines)
         block = tier if block is None else F.coalesce(block, tier)
@@ -602,9 +602,12 @@ TISSUE_WORDS = [
 ]
 
 
-def keyword_windows(text: Column, keywords: list[str], n: int = 500, k: int = 8, width: int = 1100) -> Column:
-    """Array of at most ``k`` clipped windows of ±``n`` characters round keyword hits, keyword by
-    keyword in text order; windows with the same opening 150 characters count once."""
+def keyword_windows(text: Column, keywords: list[str], n: int = 500, k: int | None = None, width: int | None = None) -> Column:
+    """Array of windows of ±``n`` characters round keyword hits, keyword by keyword in text order;
+    windows with the same opening 150 characters count once. On request the first ``k`` windows only,
+    or windows clipped to ``width``."""
+    trim = squeeze if width is None else lambda c: clip(c, width)
+
     def windows(t: Column) -> Column:
         parts = []
         for word in keywords:
@@ -613,14 +616,14 @@ def keyword_windows(text: Column, keywords: list[str], n: int = 500, k: int = 8,
             before = rf"(?<=(\A.{{0,{n - 1}}}|.{{{n}}})\Q{word}\E)"
             hit = F.lit(rf"(?si)(\Q{word}\E){before}(?=(.{{0,{n}}}))")
             groups = [F.regexp_extract_all(t, hit, F.lit(g)).alias(f"g{g}") for g in (1, 2, 3)]
-            parts.append(F.transform(F.arrays_zip(*groups), lambda g: clip(F.concat(g["g2"], g["g1"], g["g3"]), width)))
+            parts.append(F.transform(F.arrays_zip(*groups), lambda g: trim(F.concat(g["g2"], g["g1"], g["g3"]))))
         return F.concat(*parts)
 
     def distinct(hits: Column) -> Column:
         return let(
             F.transform(hits, lambda h: F.lower(F.substring(h, 1, 150))),
             lambda keys: F.transform(
-                F.slice(F.array_distinct(keys), 1, k), lambda key: F.get(hits, (F.array_position(keys, key) - 1).cast("int"))
+                F.array_distinct(keys) if k is None else F.slice(F.array_distinct(keys), 1, k), lambda key: F.get(hits, (F.array_position(keys, key) - 1).cast("int"))
             ),
         )
 
@@ -648,7 +651,7 @@ def longest_matching_section(text: Column) -> Column:
         section = let(
             best,
             lambda b: F.struct(
-                clip(b["heading"], 160).alias("heading"), clip(F.concat(b["heading"], F.lit(" "), b["body"]), 2500).alias("body")
+                squeeze(b["heading"]).alias("heading"), squeeze(F.concat(b["heading"], F.lit(" "), b["body"])).alias("body")
             ),
         )
         return F.when(F.size(found) > 0, section).otherwise(

@@ -1,148 +1,60 @@
-"""Schedule parsing against a row-by-row model on a small fixture."""
-
-import re
+"""Schedule parsing on hand-written documents."""
 
 from pyspark.sql import functions as F
 
-from studylake.functions import fixed as X
 from studylake.operators import schedule as D
 
-LINES = {
-    1: [
-        "| QXRD | Period I | Treatment | Comments |", "| Part A1 | SCR | | Tr |", "| | | -35 to | |", "| Study day | -2 | 1 | 8 |", "|---|---|---|---|",
-        "| Laboratory tests and sa | mple co | llect | ions |", "| Hematology panel with differential | X | | X | fasted |", "| and smear | | | |",
-        "| Clinical chemistry of the serum | | X | |", "text between", "| Randomization and | | | |", "| dosing-related | | | |", "| activities | | | |",
-        "| Zinc in serum, long name | X | X | X | late | again |", "| note block row | Q | | |", "| note block row | | Q | |", "| note block row | Q | | |",
-        "| Table 2 more | | |", "| Part B | | |", "| Visit | 15 | 22 |", "| Clinical chemistry of the serum | X | | |", "| Study day | -2 | 1 | 8 |", "| Urine sample collected by nurse | | | X |",
-    ],
-    2: ["| Days in study | -2 | 1 | 8 |", "| lower case first row | | | |", "| Iron in plasma of participants | X | | |", "| LIPID WORK | | | |", "| short | | | |", "| Study day | 3 | 4 |", "| Iron in plasma of participants | | X |"],
-    3: ["| no header here | X |", "| at all | X |"],
+# Documents, and the rows (visits, label, marks, comment) a reader finds in them.
+DOCUMENTS = {
+    "a divider takes in the title below it": (
+        ["| Visit | 1 | 2 |", "| LABORATORY TESTS | | |", "| PART B | | |", "| Visit | 3 | 4 |", "| Glucose in fasting plasma | X | |"],
+        [(("3", "4"), "Glucose in fasting plasma", ("X", ""), "")],
+    ),
+    "a title names the visits below it, cells beyond them are comments": (
+        ["| Part B | | |", "| Visit | 15 | 22 |", "| Clinical chemistry of the serum | X | | late | again |"],
+        [(("Part B: 15", "Part B: 22"), "Clinical chemistry of the serum", ("X", ""), "late again")],
+    ),
+    "a label goes on in the next row": (
+        ["| Study day | -2 | 1 |", "|---|---|---|", "| Hematology panel with differential | X | |", "| and smear | | |"],
+        [(("-2", "1"), "Hematology panel with differential and smear", ("X", ""), "")],
+    ),
+    "visits in two rows": (
+        ["| | | -35 to |", "| Study day | -2 | 1 |", "| Iron in plasma of participants | | X |"],
+        [(("-2", "-35 to 1"), "Iron in plasma of participants", ("", "X"), "")],
+    ),
+    "equal headers share a table": (
+        ["| Visit | 1 | 2 |", "| Zinc in serum, long name | X | |", "| Visit | 1 | 2 |", "| Iron in plasma of participants | | X |"],
+        [(("1", "2"), "Zinc in serum, long name", ("X", ""), ""), (("1", "2"), "Iron in plasma of participants", ("", "X"), "")],
+    ),
+    "rows that stand three times are page furniture": (
+        ["| Visit | 1 | 2 |", *["| note block row | Q | |"] * 3, "| Zinc in serum, long name | X | |"],
+        [(("1", "2"), "Zinc in serum, long name", ("X", ""), "")],
+    ),
+    "no header": (["| no header here | X |", "text between"], []),
 }
+DIVIDED = [
+    "| Study day | -2 | 1 | 8 |", "| Clinical chemistry of the serum | | X | |", "| Randomization and | | | |", "| dosing-related | | | |",
+    "| activities | | | |", "| Zinc in serum, long name | X | X | X |",
+]
 
 
-def cells_of(line):
-    parts = [p.strip() for p in line.strip().split("|")]
-    parts = parts[1:] if parts and parts[0] == "" else parts
-    return parts[:-1] if parts and parts[-1] == "" else parts
-
-
-def model(lines):
-    """(table visits, label, marks, comment) rows in order, one state at a time."""
-    day = re.compile(X.DAY_TOKEN)
-    rows = [(i, cells_of(t)) for i, t in enumerate(lines) if t.startswith("|")]
-    sig = lambda c: tuple(x for x in c if x)
-    seen = {}
-    for _, c in rows:
-        seen[sig(c)] = seen.get(sig(c), 0) + 1
-    cont = lambda s: bool(s) and (s[0].islower() or len(s) < 20)
-
-    def rejoin(c):
-        label, n = c[0], 0
-        while n < 4 and n + 1 < len(c):
-            p = c[n + 1]
-            if not p or p.upper() == "X" or day.match(p) or len(p) > 12 or len(label) + len(p) > 45:
-                break
-            label, n = label + p, n + 1
-        return [label] + [""] * n + c[n + 1 :]
-
-    def decorated(label, data):
-        filled = [x for x in data if x]
-        group = re.match(r"^[A-Za-z0-9]{2,8}$", label) and filled and all(re.sub(r"[/\s]+$", "", x).lower().startswith(tuple(X.CAPTION_WORDS)) for x in filled)
-        return bool(re.match(X.PAGE_CAPTION, label) or group)
-
-    def divides(label):
-        core = re.sub(r"\s*\([^)]*\)\s*$", "", label)
-        nonlab = re.search("(?i)" + "|".join(X.NON_LAB), label)
-        return (" " in core and bool(re.search(X.DIVIDER_ENDING, core))) or (label.isupper() and " " in label and 4 <= len(label) <= 50 and not nonlab)
-
-    tables, key, title, above, k = {}, None, None, None, 0
-    while k < len(rows):
-        _, raw = rows[k]
-        k += 1
-        if not raw or all(re.match(r"^[-:\s]*$", x) for x in raw) or decorated(raw[0], raw[1:]):
-            above = None
-            continue
-        c = rejoin(raw)
-        label, data = c[0], c[1:]
-        if re.match(X.GROUP_TITLE, label):
-            title, above = label, None
-            continue
-        filled = [x for x in data if x]
-        shaped = key is None and label and len(filled) >= 3 and sum(bool(day.match(x)) for x in filled) * 2 > len(filled)
-        if label.lower() in X.DAY_HEADER_LABELS or shaped:
-            m = list(c)
-            if above and above[0] == "" and any(above[1:]):
-                m += [""] * (len(above) - len(m))
-                m = [m[0]] + [f"{above[i] if i < len(above) else ''} {m[i]}".strip() for i in range(1, len(m))]
-            above = None
-            while m and not m[-1]:
-                m.pop()
-            if len(m) > 1:
-                key = tuple(f"{title}: {v}" if title else v for v in m[1:])
-                tables.setdefault(key, [])
-            continue
-        if key is not None and label and not filled:
-            whole, used = label, 0
-            while used < 3 and k + used < len(rows):
-                nxt = rows[k + used][1]
-                if not nxt or all(re.match(r"^[-:\s]*$", x) for x in nxt) or any(nxt[1:]) or not cont(nxt[0]):
-                    break
-                whole, used = f"{whole} {nxt[0]}", used + 1
-            if divides(whole):
-                above, k = None, k + used
-                continue
-        above = c
-        if key is None or not label or decorated(label, data) or seen[sig(raw)] >= 3:
-            continue
-        end = len(key)
-        marks = (data + [""] * end)[:end]
-        comment = " ".join(x for x in data[end:] if x)
-        table = tables[key]
-        if table and not any(marks) and cont(label):
-            last = table[-1]
-            last[0] = f"{last[0]} {label}"
-            last[2] = f"{last[2]} {comment}".strip()
-        else:
-            table.append([label, tuple(marks), comment])
-    return [(key, *r) for key, t in tables.items() for r in t]
-
-
-def lines_df(spark, lines=LINES):
-    data = [(d, i, t) for d, ts in lines.items() for i, t in enumerate(ts)]
-    return spark.createDataFrame(data, "doc_id bigint, line_no int, text string")
-
-
-def parsed(df):
-    rows = D.schedule_rows(df).orderBy("doc_id", "table_ord", "row_ord").collect()
-    out = {}
-    for r in rows:
-        out.setdefault(r.doc_id, []).append((tuple(r.visits), r.label, tuple(r.marks), r.comment))
-    return out
-
-
-def test_rows_equal_the_model(spark):
-    got = parsed(lines_df(spark))
-    for doc, lines in LINES.items():
-        assert got.get(doc, []) == model(lines), doc
-
+def lines_df(spark, documents):
+    data = [(d, i, t) for d, ts in documents.items() for i, t in enumerate(ts)]
+    return spark.createDataFrame(data, "doc_id string, line_no int, text string")
 
-def test_derived_rows_equal_the_model(spark):
-    from studylake.checks.registry import Tables
 
-    df = Tables(spark, "/root/testdata/sf0.001").matrix_line
-    docs = {}
-    for r in df.orderBy("doc_id", "line_no").collect():
-        docs.setdefault(r.doc_id, []).append(r.text)
-    got = parsed(df)
-    assert len(docs) > 1000
-    for doc, lines in docs.items():
-        assert got.get(doc, []) == model(lines), (doc, lines)
+def test_rows_of_documents(spark):
+    rows = D.schedule_rows(lines_df(spark, {d: lines for d, (lines, _) in DOCUMENTS.items()}))
+    got = {}
+    for r in rows.orderBy("doc_id", "table_ord", "row_ord").collect():
+        got.setdefault(r.doc_id, []).append((tuple(r.visits), r.label, tuple(r.marks), r.comment))
+    for doc, (_, expected) in DOCUMENTS.items():
+        assert got.get(doc, []) == expected, doc
 
 
-def test_divider_wraps_over_three_rows(spark):
-    rows = D.drop_dividers(D.with_headers(D.matrix_rows(lines_df(spark))))
-    hit = {(r.doc_id, r.line_no) for r in rows.where("divider").collect()}
-    assert {(1, 5), (1, 10), (1, 11), (1, 12)} <= hit
+def test_divider_wraps_over_rows(spark):
+    rows = D.drop_dividers(D.with_headers(D.matrix_rows(lines_df(spark, {"a": DIVIDED}))))
+    assert {r.line_no for r in rows.where("divider").collect()} == {2, 3, 4}
 
 
 def test_pivot_round_trip(spark):
