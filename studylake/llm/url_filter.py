@@ -10,7 +10,8 @@ innermost one left is the domain's answer, the longest over the domains is the U
 
 Each (domain, block) is swept on its own. Blocks bound the work for a domain with a third of all URLs:
 a domain with n URLs and r rules has n / max(r, block_rows) blocks, and its rules are repeated in
-each, so repeats never outnumber URLs plus rules.
+each, so repeats never outnumber URLs plus rules. The joins by which keys learn of a domain's rules and
+blocks are salted: a domain's keys are spread over ``spread`` parts, its one row repeated in each.
 
 Only built-in column functions are used.
 
@@ -61,20 +62,22 @@ def rule_stacks(rules: DataFrame) -> DataFrame:
     return nested.groupBy("host", "path").agg(F.array_sort(F.collect_list(entry)).alias("stack"))
 
 
-def url_verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow", block_rows: int = 1024) -> DataFrame:
+def url_verdicts(urls: DataFrame, rules: DataFrame, default: str = "allow", block_rows: int = 1024, spread: int = 64) -> DataFrame:
     """``urls`` (page_id, url) judged by ``rules`` (host, path, verdict): page_id, host, path, rule, verdict."""
     pages = urls.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
     rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = pages.filter("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("domain"))
+    salt = F.pmod(F.xxhash64("path", "host"), F.lit(spread)).alias("salt")
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    keys = pages.filter("host <> ''").distinct().select("host", "path", F.explode(suffixes).alias("domain"), salt)
     sizes = rules.groupBy(F.col("host").alias("domain")).agg(F.count("*").alias("n_rules"))
-    keys = keys.join(sizes.select("domain"), "domain", "left_semi")
+    keys = keys.join(salted(sizes.select("domain")), ["domain", "salt"], "left_semi")
 
     blocks = F.ceil(F.col("n") / F.greatest(F.col("n_rules"), F.lit(block_rows)))
     blocks = keys.groupBy("domain").agg(F.count("*").alias("n")).join(sizes, "domain").select("domain", blocks.alias("blocks"))
-    points = keys.join(blocks, "domain").select(
+    points = keys.join(salted(blocks), ["domain", "salt"]).select(
         "domain", F.pmod(F.xxhash64("host", "path"), F.col("blocks")).alias("block"),
         _key(F.col("domain"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.lit(None).alias("stack"), "host", "path",
     )
