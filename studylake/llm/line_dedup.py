@@ -6,9 +6,11 @@ space, by two 64-bit hashes.
 
 No text is shuffled to be counted: a page sends each distinct line once, as 16 bytes and its host, and
 counts combine before the shuffle, so a line on every page of a host with a third of all rows is a few
-rows. Lines on fewer than ``min_pages`` pages go before the host totals are joined. What is left has at
-most (mean distinct lines per page) / ratio entries per host; it is stored, and its size decides
-whether Spark broadcasts it or joins by host, where a hot host is split.
+rows. Lines on fewer than ``min_pages`` pages go before the host totals are joined: a line of one page
+repeats nothing, whatever its share. No other floor stands beside the ratio, so a small host is judged
+as a large one is; on a host of few pages two equal pages are enough. What is left has at most (mean
+distinct lines per page) / ratio entries per host; it is stored, and its size decides whether
+Spark broadcasts it or joins by host, where a hot host is split.
 
 Only built-in column functions are used.
 
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from studylake.llm.common import store
 
 RATIO = 0.08
-MIN_PAGES = 10
+FLOOR = 2  # pages: a line of one page is no boilerplate
+MIN_PAGES = 10  # only read by the SQL twin, which still has this floor; the operator does not use it
 
 
 def _line_key(line: Column) -> Column:
@@ -34,7 +37,7 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = FLOOR) -> DataFrame:
     """Boilerplate lines of ``pages`` (host, text): host, lines (their keys, in order)."""
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _line_key))
     seen = pages.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
@@ -43,7 +46,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return over.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host: str = "source", text: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = FLOOR, host: str = "source", text: str = "text") -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all columns stay, n_lines and n_dropped (in a struct
     ``line_dedup``) are added."""
     found = store(boilerplate(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ratio, min_pages)).df

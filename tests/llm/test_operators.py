@@ -181,6 +181,14 @@ def test_line_dedup(spark, empty):
     assert line_dedup.drop_boilerplate(empty).count() == 0
 
 
+def test_line_dedup_of_small_hosts(spark):
+    """The ratio decides at any number of pages; only a line of a single page is never boilerplate."""
+    rows = [(i, f"own {i}" + "\nshared" * (i < 3), "nine", 1, "x") for i in range(9)] + [(20 + i, f"own {i}" + "\nshared" * (i < 4), "fifty", 1, "x") for i in range(50)] + [(90, "shared", "one", 1, "x")]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, DOCS)).collect()}
+    assert [got[i] for i in range(9)] == [f"own {i}" for i in range(9)]
+    assert got[20] == "own 0\nshared" and got[90] == "shared"  # 4 of 50 is not over 0.08
+
+
 def test_url_filter(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("a.com", "/x", "block"), ("a.com", "/xy/", "allow"), ("a.com", "/x", "allow"), ("w.a.com", "/", "block"), (None, "/", "block")], "host string, path string, verdict string")
     urls = ["http://A.com/x?q", "https://b.a.com/xy/z#f", "http://w.a.com/xy/", "http://com", "com/x", None, "x://a.com#/x", "http://ba.com/x", "http://w.a.com/", "http://A.com/x?q"]
