@@ -1,22 +1,30 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped first: each block element's text becomes a line; comments, scripts and styles vanish;
-lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments weigh nothing;
-link text does not count. Over the lines' weights a window of ``WINDOW`` lines is summed. A run of lines
-starts at the surge, where the window ahead reaches the threshold, and ends at the dive, where the
-window behind falls under it; all weighted lines between stay. A line inside a declared article weighs at
-least the threshold, so that the distribution cannot dive within it, and lines outside weigh nothing
-then. Without a declared article the threshold is at most half of the page's fullest window, so that a
-short page still has its text.
+lines of menus, headers, footers, sidebars, notices, adverts and reader comments weigh nothing; link text
+does not count. Over the lines' weights a window of ``WINDOW`` lines is summed. A run of lines starts at
+the surge, where the window ahead reaches the threshold, and ends at the dive, where the window behind
+falls under it; all weighted lines between stay. The threshold is at most half of the page's fullest
+window, so that a short page still has its text.
+
+A declared article only adds weight to its lines: lines outside are decided by the same windows, and a
+list of links inside has a dive. Windows do not reach over an article's edge. An article marked as a
+comment is one, and so is an article inside of such a container.
+
+A container that is dropped by its kind or marks is taken back where it must be the page itself: a form
+with more text than all outside of it, a container round <main>, one with the page's only article, one
+that never closes from its first article on, and any but comments if nothing else has text.
 
 Row-local: one Arrow UDF, no shuffle. Defined cases: null or empty html gives an empty text; unclosed
-elements end with their container; unknown references stay as written; any length is read whole.
+elements end with their container or where HTML implies it; unknown references stay as written; any length is read whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,7 +35,8 @@ WINDOW = 3
 THRESHOLD = 80
 
 # Element names and words of class, id and role by their use in HTML.
-DROPPED = set("nav header footer aside form script style noscript template svg iframe select button object canvas dialog head title".split())
+HIDDEN = set("script style noscript template svg iframe select button canvas head title".split())
+DROPPED = HIDDEN | set("nav header footer aside form object dialog".split())
 ARTICLE = {"article", "main"}
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
@@ -46,80 +55,176 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-
-
-def page_lines(html: str) -> list[tuple[str, int, bool]]:
-    """(text, weight, in an article) of each block that is not dropped, in page order."""
-    lines: list[tuple[str, int, bool]] = []
+COMMENT = re.compile(r"(?<![a-z0-9])(comment|comments|disqus|replies)(?![a-z0-9])")
+LESSER = re.compile(r"(?<![^\s\"'])(comment|comments|reply|replies|teaser|related|promo|ad|advert|sponsored)(?![^\s\"'])")  # whole words of an outer article
+IN_HEAD = set("base link meta noscript script style template title".split())
+# A start tag ends these open elements, up to the nearest of those.
+CELLS = {"td", "th"}
+ROWS = CELLS | {"tr", "caption"}
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}), "td": (CELLS, {"tr", "table"}), "th": (CELLS, {"tr", "table"}), "tr": (ROWS, {"table"}),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (ROWS | {"thead", "tbody", "tfoot"}, {"table"})),
+}
+EDGES = {"table", "td", "th", "caption"}
+TABLE = EDGES | {"tr", "thead", "tbody", "tfoot"}
+PLAIN, FORM, NOISY, COMMENTS, NEVER = range(5)
+
+
+class _Open:
+    """An open element; kind: what its lines are. inner: the line of its first article; main: that is a <main>.
+    until: the line from which on its lines are plain."""
+
+    __slots__ = ("name", "kind", "article", "inner", "main", "until")
+
+    def __init__(self, name: str, kind: int, article: bool):
+        self.name, self.kind, self.article, self.inner, self.main, self.until = name, kind, article, None, False, None
+
+
+def _kind(name: str, attrs: str, inner: bool) -> int:
+    """inner: inside an article or a dropped element."""
+    if name in HIDDEN:
+        return NEVER
+    if name in ("html", "body", "main"):
+        return PLAIN
+    marks = [x.lower() for x in MARKS.findall(attrs)]
+    if any((LESSER if name == "article" and not inner else NOISE).search(x) for x in marks):
+        return COMMENTS if any(COMMENT.search(x) for x in marks) else NOISY
+    return FORM if name == "form" else NOISY if name in DROPPED else PLAIN
+
+
+def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, weight, in an article, kind) of each block, in page order."""
+    found: list[tuple[str, int, bool, tuple[_Open, ...]]] = []
     parts: list[str] = []
-    linked = at = skip_depth = article = link = 0
-    skipped = ""
+    stack: list[_Open] = []
+    many: Counter[str] = Counter()  # open elements by name
+    noisy: list[_Open] = []  # open elements whose lines are not plain
+    linked = at = articles = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                lines.append((text, max(0, len(text) - linked), article > 0))
+                found.append((text, max(0, len(text) - linked), articles > 0, tuple(noisy)))
             parts.clear()
         linked = 0
 
+    def pop(closed: bool = True) -> None:
+        nonlocal articles
+        x = stack.pop()
+        many[x.name] -= 1
+        if x.kind:
+            flush()
+            noisy.pop()
+            if x.main or not closed:
+                x.until = x.inner
+        articles -= x.article
+
+    def pop_to(i: int, closed: bool = True) -> None:
+        """Ends the element at ``i`` by its tag, those inside it without theirs."""
+        while len(stack) > i + 1:
+            pop(stack[-1].name in IMPLIED or stack[-1].name in ("p", "a"))
+        pop(closed)
+
     for m in TOKEN.finditer(html):
-        if m.start() > at and not skipped:
+        if m.start() > at:
             parts.append(html[at : m.start()])
-            if link:
+            if many["a"]:
                 linked += m.start() - at
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
-        closing = bool(m["end"])
-        if skipped:
-            if name in ARTICLE and (not closing or article):
-                skipped = ""  # an unclosed container ends here
-            else:
-                if name == skipped:
-                    skip_depth += -1 if closing else 1
-                    if not skip_depth:
-                        skipped = ""
-                continue
-        if name in BLOCKS:
+        block = name in BLOCKS
+        if block:
             flush()
-        if closing:
-            article -= name in ARTICLE and article > 0
-            link = 0 if name == "a" else link
+        if m["end"]:
+            if many[name]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name == name:
+                        pop_to(i)
+                        break
+                    if stack[i].name in EDGES and name not in TABLE or not block and stack[i].name in BLOCKS:
+                        break
+            continue
+        while many["title"] or many["head"] and name not in IN_HEAD:
+            pop()
+        if block and many["p"]:
+            i = len(stack) - 1
+            while i >= 0 and stack[i].name not in BLOCKS:
+                i -= 1
+            if i >= 0 and stack[i].name == "p":
+                pop_to(i)
+        if name in IMPLIED:
+            ends, until = IMPLIED[name]
+            last = None
+            if any(many[x] for x in ends):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name in until or stack[i].name in EDGES and name not in TABLE:
+                        break
+                    if stack[i].name in ends:
+                        last = i
+            if last is not None:
+                pop_to(last)
+        elif name == "a" and many["a"] and stack[-1].name == "a":
+            pop()
+        if name in VOID:
+            continue
+        kind = _kind(name, m["attrs"], articles > 0 or bool(noisy))
+        if kind and m["attrs"].endswith("/"):
             continue
-        noisy = name in DROPPED or name not in ARTICLE and name not in ("html", "body") and any(NOISE.search(x.lower()) for x in MARKS.findall(m["attrs"]))
-        if name in ARTICLE:
-            article += 1
-        elif name == "a":
-            link = 1
-        elif noisy and name not in VOID and not m["attrs"].endswith("/"):
+        if not (block or kind or name == "a"):
+            continue
+        article = name in ARTICLE and not kind
+        if article:
+            for x in noisy:
+                if x.kind != COMMENTS and (x.inner is None or name == "main" and not x.main):
+                    x.inner, x.main = len(found), name == "main"
+        if kind:
             flush()
-            skipped, skip_depth = name, 1
-    if not skipped:
-        parts.append(html[at:])
+        stack.append(x := _Open(name, kind, article))
+        many[name] += 1
+        articles += article
+        if kind:
+            noisy.append(x)
+    parts.append(html[at:])
+    if many["a"]:
+        linked += len(html) - at
     flush()
-    return lines
+    while stack:
+        pop(False)
+    return [(t, w, inside, max((x.kind for x in xs if x.until is None or i < x.until), default=PLAIN)) for i, (t, w, inside, xs) in enumerate(found)]
+
+
+def _plain(lines: list[tuple[str, int, bool, int]]) -> list[tuple[str, int, bool]]:
+    """Lines that are not dropped, after containers that must be the page itself are taken back."""
+    weight = lambda kind: sum(w for _, w, _, k in lines if k == kind)
+    taken = {PLAIN, FORM} if weight(FORM) > weight(PLAIN) else {PLAIN}
+    if not any(inside for _, _, inside, k in lines if k in taken):
+        lines = [(t, w, inside, PLAIN if inside and k in (FORM, NOISY) else k) for t, w, inside, k in lines]
+    if not any(w for _, w, _, k in lines if k in taken):
+        taken |= {FORM, NOISY}
+    return [(t, w, inside) for t, w, inside, k in lines if k in taken]
 
 
 def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """Lines between surge and dive points, joined by line feeds."""
-    lines = page_lines(html or "")
-    if any(inside for _, _, inside in lines):
-        weights = [max(threshold, w) if inside else 0 for _, w, inside in lines]
-        least = threshold
-    else:
-        weights = [w for _, w, _ in lines]
-        least = 0
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = least or min(threshold, max(sums, default=0) / 2)
-    kept, running = [], False
-    for i, (text, _, _) in enumerate(lines):
-        behind = sum(weights[max(0, i - window + 1) : i + 1])
-        running = sums[i] >= least and sums[i] > 0 or running and behind >= least
-        if running and weights[i]:
-            kept.append(text)
+    lines = _plain(page_lines(html or ""))
+    more = -(-threshold // window)
+    runs = [[(t, w + more if inside and w else w) for t, w, _ in run] for inside, run in groupby(lines, key=lambda x: x[2])]
+    declared = [inside for inside, _ in groupby(lines, key=lambda x: x[2])]
+    ahead = [[sum(w for _, w in run[i : i + window]) for i in range(len(run))] for run in runs]
+    least = min(threshold, max((x for sums in ahead for x in sums), default=0) / 2)
+    kept = []
+    for inside, run, sums in zip(declared, runs, ahead):
+        running = False
+        for i, (text, w) in enumerate(run):
+            behind = sum(x for _, x in run[max(0, i - window + 1) : i + 1])
+            running = sums[i] >= least and sums[i] > 0 or running and behind >= least
+            if running and (w or inside):
+                kept.append(text)
     return "\n".join(kept)
 
 

@@ -213,6 +213,35 @@ def test_html_text(spark):
     assert got[4].startswith("long text") and "a b c" not in got[4]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # An article only adds weight: text outside is judged by its own windows.
+        ("<article><p>Teaser.</p></article><div><p>LONG</p><p>LONG</p></div>", "LONG\nLONG"),
+        ("<div><p>LONG</p></div><section id=comments><article class=comment><p>LONG reply</p></article><article><p>LONG reply</p></article></section>", "LONG"),
+        ("<div><p>LONG</p></div><article class='comment odd'><p>LONG reply</p></article>", "LONG"),
+        ("<article><p>LONG</p><article class=comment-body><p>LONG reply</p></article><p>LONG end</p></article>", "LONG\nLONG end"),
+        ("<article><p>LONG</p><ul>" + "<li><a href=x>LONG link</a>" * 9 + "</ul></article>", "LONG\nLONG link\nLONG link"),
+        # A form that is the page stays; one beside the text does not.
+        ("<form action=x><div class=menu>Home</div><p>LONG</p><p>LONG</p></form><footer>end</footer>", "LONG\nLONG"),
+        ("<p>LONG and LONG</p><form><p>LONG</p></form>", "LONG and LONG"),
+        # A dropped element ends with its parent, or where HTML implies it.
+        ("<div><div class=ad>Buy</div><div><span class=share>Share</div><p>LONG</p></div>", "LONG"),
+        ("<ul><li class=menu>Home<li>LONG</ul>", "LONG"),
+        ("<p class=promo>Buy<p>LONG", "LONG"),
+        ("<div><div class=ad>Buy<p>now</div></div><p>LONG</p>", "LONG"),
+        ("<section><aside>LONG aside</section><p>LONG</p>", "LONG"),
+        ("<head><title>T<body><p>LONG", "LONG"),
+        ("<div class=header><nav>x</nav><article><p>LONG</p></article>", "LONG"),
+        ("<div class='page sidebar-right'><main><p>LONG</p></main><p>LONG side</p></div>", "LONG\nLONG side"),
+        ("<div class=banner><article><p>LONG</p></article></div><p>end</p>", "LONG"),
+    ],
+)
+def test_html_text_of_other_layouts(page, want):
+    long = "words of the main text " * 5
+    assert html_text.main_text(page.replace("LONG", long)) == want.replace("LONG", long.strip())
+
+
 def test_vector_search(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 64)).astype(np.float32)
