@@ -6,6 +6,7 @@ from studylake.checks.queries_c import _RANGES
 from studylake.checks.registry import check
 from studylake.checks.sqltext import cells_, quote
 from studylake.functions import fixed as X
+from studylake.functions.sequence import range_join
 from studylake.functions.text import any_of
 from studylake.operators import schedule as D
 from studylake.sources.readers import to_pages
@@ -267,9 +268,8 @@ def _flat(df):
 
 @check("d21_parse_panels", f"with {_PANEL} select doc_id, panel_no, name, is_standalone, array_to_string(tests, ';') as tests from panels", "mapper_line")
 def _(t):
-    return _flat(D.parse_panels(t.mapper_line.where("line_no >= 30")).where("panel_no is not null")).join(
-        D.detect_line_ranges(t.mapper_line).where("lab_start is not null").select("doc_id"), "doc_id", "left_semi"
-    )
+    labs = D.detect_line_ranges(t.mapper_line).where("lab_start is not null").select("doc_id", "lab_start", "lab_end")
+    return _flat(D.parse_panels(range_join(t.mapper_line, labs, ["doc_id"], "line_no", "lab_start", "lab_end").select(*t.mapper_line.columns)))
 
 
 @check("d22_clean_analyte_name", f"with l as (select doc_id, line_no, trim(text) as text from mapper_line where line_no > 37) select doc_id, line_no, {_CLEAN} as test from l", "mapper_line")

@@ -245,7 +245,7 @@ def _(t):
     union all select o_orderkey, 'LPV', 'December-' || (2027 + o_orderkey % 3) from orders""",
 )
 def _(t):
-    sections = S.parse_sections(t.design_line.where("line_no >= 30 and line_no < 40")).where("number = '45'")
+    sections = S.parse_sections(t.design_line).where("number = '45'")
     return sections.select("doc_id", F.explode(R.milestones_section(F.col("text"))).alias("milestone", "value"))
 
 
@@ -319,7 +319,7 @@ def _(t):
     case when o_orderkey % 3 < 2 and o_orderkey % 50 > 0 then (o_orderkey % 50) / 100 else 0.3::double end as screen_fail_rate, case when o_orderkey % 7 < 4 then (o_orderkey % 20 + 1) / 100 else 0.1::double end as early_discontinuation_rate from orders""",
 )
 def _(t):
-    sections = S.parse_sections(t.design_line.where("line_no >= 20 and line_no < 30")).where("number = '39'")
+    sections = S.parse_sections(t.design_line).where("number = '39'")
     return sections.select("doc_id", R.enrollment_section(F.col("text")).alias("e")).select("doc_id", "e.*")
 
 
@@ -351,9 +351,9 @@ _LAB = "select doc_id, line_no, trim(split_part(text, '|', 2)) as analyte, trim(
 
 
 def _analytes(t):
-    return t.protocol_line.where("line_no between 121 and 179").select(
-        "doc_id", "line_no", F.trim(F.split("text", r"\|")[1]).alias("analyte"), F.trim(F.split("text", r"\|")[2]).alias("comment")
-    )
+    """Rows of the laboratory tables, wherever a document has them."""
+    rows = S.pipe_rows(t.protocol_line).where(~F.col("is_header") & F.try_element_at("header", F.lit(1)).rlike(r"(?i)^clinical\s+laboratory\s+tests$"))
+    return rows.select("doc_id", "line_no", F.col("cells")[0].alias("analyte"), F.try_element_at("cells", F.lit(2)).alias("comment"))
 
 
 @check("f29_analytes_by_phrase", f"with l as ({_LAB}) select doc_id, analyte, min(line_no) as line_no from l where regexp_matches(lower(comment), 'not be reported|blinded') group by doc_id, analyte", "protocol_line")

@@ -69,3 +69,26 @@ def test_schema_leaves(spark):
         (1, "n", "n", "string", False, True, ["x", "y"], ""),
         (1, "r", "rows[].k", "integer", True, False, None, "rows"),
     ]
+
+
+def run_check(name, **tables):
+    from types import SimpleNamespace
+
+    from studylake.checks import load
+    from studylake.checks.registry import REGISTRY
+
+    load()
+    return REGISTRY[name].run(SimpleNamespace(**tables)).collect()
+
+
+def test_queries_find_their_sections_anywhere(spark):
+    filler = ["plain words"] * 200
+    design = lines_df(spark, [*filler, "39. Planned Enrollment", "Approximately 250 patients will be enrolled.", "45. Timeline", "FPV: 3-March-2026", "50. Other"])
+    assert [r.planned for r in run_check("f24_enrollment_section", design_line=design)] == [250]
+    assert [(r.milestone, r.value) for r in run_check("f15_milestones_section", design_line=design)] == [("FPV", "3-March-2026")]
+    rows = ["| Clinical Laboratory Tests | Comments |", "|---|---|", *[f"| Analyte {i} HIV | blinded |" for i in range(90)], "", "| Other | Comments |", "|---|---|", "| HIV | blinded |"]
+    protocol = lines_df(spark, [*filler, *rows])
+    assert sorted(r.line_no for r in run_check("f29_analytes_by_phrase", protocol_line=protocol)) == list(range(202, 292))
+    assert run_check("f32_reflex_by_presence", protocol_line=protocol)
+    panels = lines_df(spark, ["Appendix 2: Laboratory matters", "Lipids assayed by sponsor-designated laboratory", "Insulin"])
+    assert [(r.name, r.tests) for r in run_check("d21_parse_panels", mapper_line=panels)] == [("Lipids", "Insulin")]
