@@ -33,7 +33,7 @@ _EV = _SPACE + ", ev as (" + " union all ".join(
 
 @check("g1_keyword_windows")
 def _(t):
-    windows = S.keyword_windows(F.col("text"), ["the ", "and", "tion"], 40, 8, 1100)
+    windows = S.keyword_windows(F.col("text"), ["the ", "and", "tion"], 40)
     return t.documents.select("doc_id", F.posexplode(windows).alias("ord", "window"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from studylake.functions.fixed import ALIASES, COUNTRIES, COUNTRY_LANGUAGES
 from studylake.functions.rules import Rule, tier_value
 from studylake.functions.text import let, strip
+from studylake.operators.structure import to_next_heading
 
 _ALL = [(a, key) for key, names in ALIASES.items() for a in names]
 _LONGEST = sorted(_ALL, key=lambda p: -len(p[0]))
@@ -78,9 +79,10 @@ _IN_SCOPE = r"(?i)(?:will be in scope|countries in scope include|in scope for co
 _PLAN = r"(?i)Based on DSB countries in scope include"
 
 
-def _after(text: Column, n: int) -> Column:
+def _plan(text: Column) -> Column:
+    """The country plan, to the next heading."""
     at = F.regexp_instr(text, F.lit(_PLAN))
-    return F.when(at > 0, F.substring(text, at, F.lit(n))).otherwise("")
+    return F.when(at > 0, to_next_heading(text, at)).otherwise("")
 
 
 def _per_match(text: Column, pattern: str, build) -> Column:
@@ -129,7 +131,7 @@ def country_mentions(docs: DataFrame, text: str = "text") -> DataFrame:
     """Countries in scope, for consideration, and with target shares; every country named in the
     text where none of these phrases is used."""
     t = F.col(text)
-    chunk = _after(t, 3000)
+    chunk = _plan(t)
     staged = docs.select(
         "doc_id",
         t.alias("_t"),
@@ -167,7 +169,7 @@ def country_section(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
         _entries(exact_hits(F.regexp_extract(t, _IN_SCOPE, 0)), 2),
         _entries(exact_hits(F.regexp_extract(t, r"(?i)(?:Other\s+)?IBU[^.]*", 0)), 3, consideration=True),
-        _entries(exact_hits(_after(t, 2000)), 4),
+        _entries(exact_hits(_plan(t)), 4),
         _per_match(
             t,
             r"(?i)(\d+)\s*(?:sites?|patients?|subjects?)\s*(?:in|for)\s+(\w+(?:\s+\w+)?)",

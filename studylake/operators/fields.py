@@ -25,6 +25,7 @@ from studylake.functions.fixed import (
 )
 from studylake.functions.rules import Rule, tier_value, tiered_extract
 from studylake.functions.text import any_of, let, squeeze, strip
+from studylake.operators.structure import from_last_heading, to_next_heading
 
 # --- rules ------------------------------------------------------------------------------------
 # Patterns of each field, most specific first.
@@ -339,17 +340,15 @@ def design_flags(sections: DataFrame) -> DataFrame:
 
 
 def required_languages(text: Column) -> Column:
-    """Array of language names near a phrase on translations."""
+    """Array of language names in the section of a phrase on translations, or after a short label to the next heading."""
     clean = F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")
 
     def read(t: Column) -> Column:
         phrase = r"(?i)(?:Translations|Language)[^.]*(?:list|required|needed)[^.]*"
         short = r"(?i)(?:translations will be provided in|translate into|languages?:)\s*"
-        at, n = F.regexp_instr(t, F.lit(phrase)), F.length(F.regexp_extract(t, phrase, 0))
-        left = F.greatest(at - 200, F.lit(1))
-        near = F.substring(t, left, at + n + 1500 - left)
-        at2, n2 = F.regexp_instr(t, F.lit(short)), F.length(F.regexp_extract(t, short, 0))
-        block = F.when(at > 0, near).when(at2 > 0, F.substring(t, at2, n2 + 800)).otherwise("")
+        at, at2 = F.regexp_instr(t, F.lit(phrase)), F.regexp_instr(t, F.lit(short))
+        near = F.concat(from_last_heading(t, at), to_next_heading(t, at))
+        block = F.when(at > 0, near).when(at2 > 0, to_next_heading(t, at2)).otherwise("")
         found = F.transform(
             F.regexp_extract_all(block, F.lit(rf"(?i)\b({'|'.join(LANGUAGES)})\b"), F.lit(1)), lambda w: F.initcap(w)
         )
@@ -368,7 +367,7 @@ def milestones_text(text: Column) -> Column:
     low = F.lower(text)
     start = F.locate("document key milestone estimates", low)
     start = F.when(start > 0, start).otherwise(F.locate("timeline", low))
-    chunk = F.when(start > 0, F.substring(text, start, F.lit(2000)))
+    chunk = F.when(start > 0, to_next_heading(text, start))
     pairs = []
     for key in MILESTONES:
         value = r"\s*([^\n•]+)"

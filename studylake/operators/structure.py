@@ -207,6 +207,21 @@ def section_outline(lines: DataFrame) -> DataFrame:
     )
 
 
+# In a text as a whole: marked headings and numbered ones; a plain number of one digit is rather a list item.
+TEXT_HEADING = r"(?m)^[ \t]*(?:#{1,6}[ \t]*[^#\s]|(?:\d{2,}|\d+(?:\.\d+)+)\.[ \t]+\p{L})"
+
+
+def to_next_heading(text: Column, at: Column) -> Column:
+    """``text`` from position ``at`` to the next heading, else to its end."""
+    stop = lambda rest: F.regexp_instr(rest, F.lit(TEXT_HEADING))
+    return let(F.substring(text, at, F.length(text)), lambda rest: F.when(stop(rest) > 1, F.substring(rest, F.lit(1), stop(rest) - 1)).otherwise(rest))
+
+
+def from_last_heading(text: Column, at: Column) -> Column:
+    """``text`` before position ``at`` from the last heading on, else from its start."""
+    return F.element_at(F.split(F.substring(text, F.lit(1), at - 1), TEXT_HEADING), -1)
+
+
 # --- page and line ranges ----------------------------------------------------------------------
 
 

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from studylake.functions.text import strip_json_suffix
-from studylake.operators import evidence, fields, resolve, schedule, structure
+from studylake.operators import countries, evidence, fields, resolve, schedule, structure
 
 
 def lines_df(spark, lines):
@@ -92,3 +92,27 @@ def test_queries_find_their_sections_anywhere(spark):
     assert run_check("f32_reflex_by_presence", protocol_line=protocol)
     panels = lines_df(spark, ["Appendix 2: Laboratory matters", "Lipids assayed by sponsor-designated laboratory", "Insulin"])
     assert [(r.name, r.tests) for r in run_check("d21_parse_panels", mapper_line=panels)] == [("Lipids", "Insulin")]
+
+
+def test_blocks_end_at_headings_only(spark):
+    filler = "plain words of the plan\n" * 300
+    plan = "Based on DSB countries in scope include\n" + filler + "- Japan at target 30%\n\n## 40. Other\nItaly\n"
+    docs = spark.createDataFrame([(1, plan)], "doc_id int, text string")
+    for found in (countries.country_mentions(docs), countries.country_section(docs)):
+        assert [(r.name, r.pct) for r in found.collect()] == [("Japan", 0.3)]
+    text = "Timeline\n" + filler + "FPV: 3-March-2026\n"
+    assert value(spark, "fpv: unknown\n" + text, fields.milestones_text)["FPV"] == "3-March-2026"
+    for phrase in ("Translations list: ", "Translate into "):
+        assert value(spark, f"# 4. Before\nThai\n# 5. Texts\n{phrase}\n{filler}German\n# 6. After\nSpanish", fields.required_languages) == ["German"]
+
+
+def test_evidence_is_not_clipped(spark):
+    text = "before " * 60 + "biomarker assessments in tumor samples" + " after" * 100
+    row = evidence.evidence_catalog(spark.createDataFrame([(1, text)], "doc_id int, section string")).where(F.col("label") == evidence.PRESENT).first()
+    assert len(row.evidence) > 700 and not row.evidence.endswith("...")
+
+
+def test_keyword_windows_are_all_given(spark):
+    text = "".join(f"number {i} of the words and so on. " * 3 for i in range(60))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert len(run_check("g1_keyword_windows", documents=docs)) > 100
