@@ -4,8 +4,8 @@ Vectors are brought to one length by an added component (the largest norm's rest
 A rotation learned on a bounded sample (principal axes, then iterative quantization) turns them into ``BITS`` sign bits.
 A code is split into ``PARTS`` substrings, each with its own index. Codes within Hamming radius r agree with the query's in some
 substring up to r // PARTS bits, so probing the substrings' values up to that distance retrieves every code within r; where the
-ball of probes has more values than the index, the values of the index are compared instead, which retrieves the same. What is
-within r is ranked by the inner product of the original vectors in double precision.
+ball of probes is over 1/16 of the index, the values of the index are compared instead and spread over all codes of the block,
+which retrieves the same as a plain scan does, at its cost. What is within r is ranked by the inner product of the original vectors in double precision.
 
 r is learned, too: on the sample it holds ``RECALL`` of the true neighbours. Full tables have nearer neighbours than a sample,
 so recall rises with size. A query that finds fewer than k is searched again with a radius that holds all codes.
@@ -33,6 +33,10 @@ BITS, PARTS = 64, 4
 RECALL = 0.98
 SAMPLE = 20_000  # rows that rotation and radius are fitted on, by hash order of their ids
 BLOCK, QUERY_BLOCK = 16_384, 2_048
+PROBE = 16  # a probe costs as much as so many compared values
+BALL = np.arange(1 << 16, dtype=np.uint16)
+BALL = BALL[np.argsort(np.bitwise_count(BALL), kind="stable")]  # substrings by their number of bits
+BALL_SIZES = np.cumsum(np.bincount(np.bitwise_count(BALL), minlength=17))  # how many have up to so many
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -91,19 +95,34 @@ def learn_radius(x: np.ndarray, code: np.ndarray, asked: np.ndarray, k: int, rec
 
 
 class MultiIndex:
-    """Substring indexes of a block of codes."""
+    """Substring indexes of a block of codes: places sorted by a substring's value, and where each value's places begin."""
 
     def __init__(self, code: np.ndarray, parts: int):
         self.code, self.parts = code, parts
         self.pieces = code.view(np.uint16).reshape(len(code), BITS // 16)[:, :parts]
+        self.places = [np.argsort(self.pieces[:, j], kind="stable") for j in range(parts)]
         self.values, self.where = zip(*(np.unique(self.pieces[:, j], return_inverse=True) for j in range(parts)), strict=True)
+        self.begins = [np.concatenate([[0], np.cumsum(np.bincount(self.pieces[:, j], minlength=1 << 16))]) for j in range(parts)]
+
+    def probes(self, part: int, value: np.ndarray, each: int) -> np.ndarray | None:
+        """Values within ``each`` bits of ``value``; None where they are so many that comparing the index's values costs less."""
+        size = BALL_SIZES[min(each, 16)]
+        return value ^ BALL[:size] if PROBE * size <= len(self.values[part]) else None
 
     def within(self, query: np.ndarray, radius: int) -> np.ndarray:
         """Places of all codes within ``radius``."""
         each, q = radius // self.parts, query.view(np.uint16)
         probed = np.zeros(len(self.code), bool)
         for j in range(self.parts):
-            probed |= (np.bitwise_count(self.values[j] ^ q[j]) <= each)[self.where[j]]
+            values = self.probes(j, q[j], each)
+            if values is None:
+                probed |= (np.bitwise_count(self.values[j] ^ q[j]) <= each)[self.where[j]]
+                continue
+            values = values.astype(np.int64)
+            begins = self.begins[j][values]
+            n = self.begins[j][values + 1] - begins
+            ends = np.cumsum(n)
+            probed[self.places[j][np.arange(n.sum()) + np.repeat(begins - ends + n, n)]] = True
         places = np.flatnonzero(probed)
         return places[np.bitwise_count(self.code[places] ^ query[0]) <= radius]
 

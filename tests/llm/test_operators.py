@@ -265,6 +265,18 @@ def test_vector_search(spark):
     assert vector_search.nearest(table.limit(0), table).count() == 0
 
 
+def test_index_is_probed():
+    """All codes within the radius, from the probed values alone where the ball is smaller than the index."""
+    rng = np.random.default_rng(3)
+    code = rng.integers(1 << 63, size=3000, dtype=np.uint64)
+    code[:50] = code[0] ^ (np.uint64(1) << rng.integers(64, size=50, dtype=np.uint64))
+    multi = vector_search.MultiIndex(code, 4)
+    for radius in (0, 3, 9, 22, 40, 64):
+        for i in (0, 7, 999):
+            assert (multi.within(code[i : i + 1], radius) == np.flatnonzero(np.bitwise_count(code ^ code[i]) <= radius)).all()
+    assert len(multi.probes(0, multi.pieces[0, 0], 1)) == 17 and multi.probes(0, multi.pieces[0, 0], 9) is None
+
+
 def test_quality(spark, docs, empty):
     rows = [(i, " ".join(["junk"] * 80) if i % 3 == 0 else prose(i, 80)) for i in range(300)]
     many = spark.createDataFrame(rows, "doc_id long, text string")
