@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studylake.llm import decontaminate, html_text, line_dedup, ngram_join, personal_data, quality, sentence_pieces, token_files, url_filter, vector_search
+from studylake.llm import conversation_repair, decontaminate, html_text, importance_resampling, line_dedup, ngram_join, personal_data, quality
+from studylake.llm import sentence_pieces, substring_dedup, token_files, twins, url_filter, vector_search
 from studylake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +135,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_personal_data")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(table(spark, sf_dir, "documents"))
+
+
+@query("op11_conversation_repair", twins.REPAIR_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+@query("op12_importance_resampling", twins.RESAMPLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_substring_dedup", twins.WORDS_50_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = substring_dedup.drop_repeated(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
