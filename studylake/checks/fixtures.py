@@ -295,6 +295,9 @@ select o_orderkey as doc_id, ln as line_no, txt as text from (
  union all select o_orderkey, 36, case when o_orderkey % 2 = 0 then 'Magnesium  assayed by sponsor designated laboratory' else 'Zinc assayed by sponsor-designated laboratory' end from orders
  union all select o_orderkey, 37, 'Lipids assayed by sponsor-designated laboratory' from orders
  union all select l_orderkey, 37 + l_linenumber, case l_partkey % 5 when 0 then 'Cholesterol If fasted' when 1 then 'Insulin' when 2 then 'The total' when 3 then '12 hours' else concat('Apo', chr(45), 'protein B, serum') end from item
+ union all select o_orderkey, 50, case o_orderkey % 3 when 0 then 'Appendix 3: Other matters' when 1 then '10.3. Laboratory-free part' else '11. Next part' end from orders
+ union all select o_orderkey, 51, 'Zirconium' from orders
+ union all select o_orderkey, 52, 'Appendix 4' from orders
 ) t
 """
 

@@ -50,7 +50,7 @@ def _(t):
     return R.existing_keys(t.spark, f"{folder}/enrollment_keys", "alias")
 
 
-@check("a6_append_new", "select distinct alias, 1 as n from enrollment", "enrollment")
+@check("a6_append_new", "select alias, case when bool_or(plan_kind = 'Planned') then 'Planned' else max(plan_kind) end as plan_kind, 1 as n from enrollment group by alias", "enrollment")
 def _(t):
     folder = f"{shared_folder(t.spark)}/{uuid4().hex}"
     target = f"{folder}/extract"
@@ -59,7 +59,7 @@ def _(t):
     K.append_new(t.spark, t.enrollment.select("alias", "plan_kind"), target)
     K.append_new(t.spark, t.enrollment.select("alias", "plan_kind"), target)
     stored = t.spark.read.parquet(target)
-    return stored.groupBy("alias").agg(F.count("*").alias("n"))
+    return stored.groupBy("alias").agg(F.max("plan_kind").alias("plan_kind"), F.count("*").alias("n"))
 
 
 _MD = """replace(replace(x, '|', '\\|'), chr(10), ' ')"""

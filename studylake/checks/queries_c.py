@@ -116,10 +116,10 @@ def _(t):
     return S.find_page_range(t.protocol_page, SCHEDULE_START, SCHEDULE_END)
 
 
-_RANGES = """f as (select doc_id, min(case when contains(upper(text), 'LABORATORY') and contains(upper(text), 'SAMPLE') then line_no end) as schedule_start,
+_RANGES = f"""f as (select doc_id, min(case when contains(upper(text), 'LABORATORY') and contains(upper(text), 'SAMPLE') then line_no end) as schedule_start,
   coalesce(min(case when contains(upper(text), 'APPENDIX') and contains(upper(text), 'LABORATORY') then line_no end), min(case when contains(text, 'CLINICAL LABORATORY TESTS') then line_no end)) as lab_start, max(line_no) + 1 as n from mapper_line group by doc_id),
 rg as (select f.doc_id, schedule_start, (select min(line_no) from mapper_line m where m.doc_id = f.doc_id and line_no > schedule_start and (contains(upper(text), 'PHARMACOKINETICS') or contains(upper(text), 'PK SAMPLES'))) as schedule_end,
-  lab_start, case when lab_start is not null then n end as lab_end from f)"""
+  lab_start, case when lab_start is not null then coalesce((select min(line_no) from mapper_line m where m.doc_id = f.doc_id and line_no > lab_start and regexp_matches(trim(text), {quote(S.LAB_STOP)}) and not contains(upper(text), 'LABORATORY') and not regexp_matches(text, '\\.{{4,}}')), n) end as lab_end from f)"""
 
 
 @check("c11_detect_line_ranges", f"with {_RANGES} select * from rg", "mapper_line")

@@ -253,7 +253,7 @@ def _(t):
     return tests.select("doc_id", "name", "line_no", "is_panel", F.array_join(F.transform("visits", lambda v: v.cast("string")), ",").alias("visits"))
 
 
-_CLEAN = r"""case when text = '' or regexp_matches(text, '^(If |Performed|-)') or regexp_matches(text, '^\d+\s+\w') then null when regexp_matches(text, '^[A-Z][a-zA-Z\-\s]+$') and length(text) > 2 then text
+_CLEAN = r"""case when text = '' or regexp_matches(text, '^(If |Performed|-)') or regexp_matches(text, '^\d+\s+\w') or regexp_matches(text, '(?i)assayed\s+by\s+\w+[-\s]?designated\s+laboratory') or regexp_matches(upper(text), 'CONFIDENTIAL|APPROVED ON') then null when regexp_matches(text, '^[A-Z][a-zA-Z\-\s]+$') and length(text) > 2 then text
  when regexp_matches(text, '^[A-Z][a-zA-Z\-.]+(\s|$)') and length(split_part(text, ' ', 1)) > 2 and split_part(text, ' ', 1) not in ('The', 'And', 'For', 'Not', 'See', 'With', 'That', 'This', 'Evaluated', 'Collected') then regexp_replace(trim(split_part(split_part(split_part(text, '(', 1), ',', 1), '  ', 1)), '\s+If\s+.*$', '') end"""
 _PANEL = rf"""{_SCHED}, ll as (select m.doc_id, line_no, trim(text) as text, regexp_matches(text, '(?i)assayed\s+by\s+\w+[-\s]?designated\s+laboratory') as mk from mapper_line m join rg on m.doc_id = rg.doc_id and line_no >= lab_start and line_no < lab_end),
 lw as (select *, mk and coalesce(lead(mk) over v, false) as alone, last_value(case when mk then line_no end ignore nulls) over v as panel_no, last_value(case when mk then trim(regexp_replace(split_part(text, 'assayed', 1), ':\s*$', '')) end ignore nulls) over v as name from ll window v as (partition by doc_id order by line_no)),
@@ -272,9 +272,9 @@ def _(t):
     return _flat(D.parse_panels(range_join(t.mapper_line, labs, ["doc_id"], "line_no", "lab_start", "lab_end").select(*t.mapper_line.columns)))
 
 
-@check("d22_clean_analyte_name", f"with l as (select doc_id, line_no, trim(text) as text from mapper_line where line_no > 37) select doc_id, line_no, {_CLEAN} as test from l", "mapper_line")
+@check("d22_clean_analyte_name", f"with l as (select doc_id, line_no, trim(text) as text from mapper_line) select doc_id, line_no, {_CLEAN} as test from l", "mapper_line")
 def _(t):
-    return t.mapper_line.where("line_no > 37").select("doc_id", "line_no", D.clean_analyte_name(F.col("text")).alias("test"))
+    return t.mapper_line.select("doc_id", "line_no", D.clean_analyte_name(F.col("text")).alias("test"))
 
 
 @check("d23_is_likely_panel", "select p_partkey, regexp_matches(lower(p_name || ' ' || p_type), 'hematology|chemistry|lipids|urinalysis|panel|serology|hormones|antibody|testing') as is_panel from part")

@@ -41,14 +41,17 @@ def _(t):
     return J.idle_sessions(t.events).select("user_id", F.col("started").cast("string"), F.col("ended").cast("string"), "events")
 
 
-@check("l2_stream_idle_sessions")
+_OPEN = _SESSIONS.replace("count(*) as events from s group by", "count(*) as events, max(ts) + interval 6 hours > (select max(ts) from events) as open from s group by")
+
+
+@check("l2_stream_idle_sessions", _OPEN)
 def _(t):
     folder = _folder(t)
     t.events.repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
-    sessions = J.idle_sessions(J.arriving(t.spark, f"{folder}/in", t.events.schema))
-    writer = sessions.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/state")
-    writer.option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out")
+    rows = J.arriving(t.spark, f"{folder}/in", t.events.schema, 1)
+    J.stream_sessions(rows, f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    sessions = J.stored_sessions(t.spark, f"{folder}/out")
+    return sessions.select("user_id", F.col("started").cast("string"), F.col("ended").cast("string"), "events", "open")
 
 
 @check("l3_stream_documents")

@@ -11,11 +11,13 @@ Positions must be non-negative integers, unique within ``keys``; they need not b
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studylake.functions.stage import stage
+
 BLOCK = 4096
 _B = "_block"
 
@@ -199,3 +201,74 @@ def range_join(
     blocked = rows.withColumn(_B, F.floor(F.col(order) / F.lit(block)))
     inside = (F.col(order) >= F.col(start)) & (F.col(order) < F.col(end))
     return blocked.join(spread, [*keys, _B]).where(inside).drop(_B)
+
+
+def successor(
+    starts: DataFrame,
+    stops: DataFrame,
+    keys: list[str],
+    start: str,
+    at: str,
+    kinds: Sequence[str] = (),
+    ends: Column | None = None,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``(keys…, start, at)``: for each start the first later stop that ``ends`` it; starts without one are absent.
+
+    ``ends`` compares columns of a start with the ``kinds`` of a stop. Stops are reduced before
+    anything is joined: blocks after the start's own are searched by their first stop of each kind,
+    an aggregate that combines map-side, and only the start's own block is searched stop by stop, joined on
+    ``(keys, block)``. Stops of a document are thus never brought together.
+    """
+    ends = F.lit(True) if ends is None else ends
+    own = starts.withColumn(_B, F.floor(F.col(start) / F.lit(block)))
+    there = F.floor(F.col(at) / F.lit(block))
+    firsts = stops.groupBy(*keys, there.alias("_there"), *kinds).agg(F.min(at).alias(at))
+    far = own.join(firsts, keys).where((F.col("_there") > F.col(_B)) & ends)
+    near = own.join(stops.select(*keys, at, *kinds, there.alias(_B)), [*keys, _B]).where((F.col(at) > F.col(start)) & ends)
+    hits = far.select(*keys, start, at).unionByName(near.select(*keys, start, at))
+    return hits.groupBy(*keys, start).agg(F.min(at).alias(at))
+
+
+def automaton(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    letter: Column,
+    states: int,
+    step: Callable[[Column, Column], Column],
+    flag: Callable[[Column, Column], Column],
+    out: str,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``(keys…, order, out)``: rows at which ``flag(state, letter)`` holds, where an automaton of a few states (0 at the start)
+    reads a document's letters in order and ``step(state, letter)`` is its next state.
+
+    A block of letters is a function from the state before it to the state after it. Only documents
+    of several blocks need it: their blocks' functions, ``states`` small numbers each, are applied one after the
+    other, and then every block is read from its own state. At most ``block`` letters are in one row.
+    """
+    row = F.struct(F.col(order).alias("at"), letter.alias("letter"))
+    blocks = stage(df.groupBy(*keys, F.floor(F.col(order) / F.lit(block)).alias(_B)).agg(F.sort_array(F.collect_list(row)).alias("_rows")))
+    several = blocks.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
+    after = lambda state: F.aggregate("_rows", state, lambda s, r: step(s, r["letter"]))
+    to = F.array(*[after(F.lit(s)) for s in range(states)])
+    parts = blocks.join(several, keys, "left_semi").select(*keys, F.struct(F.col(_B), to.alias("to")).alias("_part"))
+    listed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+    begun = F.aggregate(
+        "_parts", F.array(F.lit(0)), lambda seen, p: F.concat(seen, F.array(F.get(p["to"], F.element_at(seen, -1))))
+    )
+    entered = listed.select(*keys, F.explode(F.arrays_zip(F.col("_parts").alias("p"), begun.alias("s"))).alias("_e")).where("_e.p is not null")
+    entered = entered.select(*keys, F.col(f"_e.p.{_B}").alias(_B), F.col("_e.s").alias("_state"))
+    start = F.struct(F.coalesce("_state", F.lit(0)).alias("state"), F.lit("").alias("flags"))
+    read = F.aggregate(
+        "_rows",
+        start,
+        lambda acc, r: F.struct(
+            step(acc["state"], r["letter"]).alias("state"),
+            F.concat(acc["flags"], F.when(flag(acc["state"], r["letter"]), "1").otherwise("0")).alias("flags"),
+        ),
+    )
+    flags = blocks.join(entered, [*keys, _B], "left").select(*keys, "_rows", F.split(read["flags"], "").alias("_f"))
+    marked = flags.select(*keys, F.explode(F.filter(F.arrays_zip("_rows", "_f"), lambda z: z["_f"] == "1")).alias("_z"))
+    return marked.select(*keys, F.col("_z._rows.at").alias(order), F.lit(True).alias(out))

@@ -340,11 +340,15 @@ def apply_selection(matched: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def prefix_label_join(labels: DataFrame, entries: DataFrame) -> DataFrame:
-    """``(file_id, row_label, key, value)``: entries of the file whose key starts the row label;
-    the longest key counts. A file has few keys, and the join is on the file."""
-    both = labels.select("file_id", "row_label").distinct().join(entries, "file_id").where(F.col("row_label").startswith(F.col("key")))
-    best = F.max_by(F.struct("key", "value"), F.struct(F.length("key"), F.col("key")))
-    return both.groupBy("file_id", "row_label").agg(best.alias("b")).select("file_id", "row_label", "b.*")
+    """``(file_id, row_label, key, value)``: entries of the file whose key starts the row label; the longest key counts, of
+    equal keys the largest value. A label is cut only to the lengths that the file's keys have, and its
+    beginnings meet the keys by equality, so labels and keys are never paired."""
+    one = entries.groupBy("file_id", "key").agg(F.max("value").alias("value"))
+    lengths = one.groupBy("file_id").agg(F.collect_set(F.length("key")).alias("_n"))
+    cut = F.filter("_n", lambda n: n <= F.length("row_label"))
+    starts = labels.select("file_id", "row_label").distinct().join(lengths, "file_id").select("file_id", "row_label", F.explode(cut).alias("_n"))
+    met = starts.withColumn("key", F.substring(F.col("row_label"), F.lit(1), F.col("_n"))).join(one, ["file_id", "key"])
+    return met.groupBy("file_id", "row_label").agg(F.max_by(F.struct("key", "value"), "_n").alias("b")).select("file_id", "row_label", "b.*")
 
 
 def locate_table(tables: DataFrame, word: str, min_rows: int = 1, min_cols: int = 1, prefer: str = "rows", title_rows: int = 4) -> DataFrame:

@@ -21,7 +21,7 @@ from studylake.functions.fixed import (
     PANEL_WORDS,
     VISIT_TOKEN,
 )
-from studylake.functions.sequence import carry, neighbours, range_join
+from studylake.functions.sequence import automaton, carry, neighbours, range_join
 from studylake.functions.stage import stage
 from studylake.functions.text import any_of, let, squeeze, strip, unescape
 from studylake.operators.structure import DOC, detect_line_ranges, split_row
@@ -237,8 +237,8 @@ def with_headers(rows: DataFrame) -> DataFrame:
 def drop_dividers(rows: DataFrame) -> DataFrame:
     """Adds ``divider``: the row is a divider or one of up to three rows its label wraps over.
 
-    Candidates are rows without any mark; only unbroken runs of them need an ordered pass, which
-    folds a few flags per row.
+    Candidates are rows without any mark; how many rows a divider still takes is the state of an
+    automaton over one letter a row.
     """
     cont = F.col("blank_raw") & is_continuation(F.col("label_raw"))
     base = rows.withColumn("_headed", F.col("header").isNotNull()).withColumn("label_raw", strip(F.coalesce(F.try_element_at("raw", F.lit(1)), F.lit("")))).withColumn(
@@ -264,29 +264,20 @@ def drop_dividers(rows: DataFrame) -> DataFrame:
         & (F.col("label") != "")
         & is_category_header(whole, F.lit(False))
     )
-    marked = near.select(
-        "doc_id", "line_no", F.coalesce(opens, F.lit(False)).alias("_opens"), used.alias("_used"), F.col("_cont")
-    )
-    marked = stage(marked)
-    # Runs with a divider in them: the opening row and the rows that may continue it.
-    runs = carry(
-        marked, DOC, "line_no", {"_run": ("last", F.when(~F.col("_cont"), F.col("line_no")), "upto")}
-    ).withColumn("_run", F.coalesce("_run", F.lit(-1)))
-    member = runs.where(F.col("_opens") | F.col("_cont")).groupBy("doc_id", "_run").agg(
-        F.max("_opens").alias("_any"), F.sort_array(F.collect_list(F.struct("line_no", "_opens", "_used"))).alias("_m")
-    )
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<bigint>").alias("hit"))
-
-    def step(acc: Column, row: Column) -> Column:
-        inside = acc["left"] > 0
-        opened = ~inside & row["_opens"]
-        return F.struct(
-            F.when(inside, acc["left"] - 1).when(opened, row["_used"]).otherwise(0).alias("left"),
-            F.when(inside | opened, F.array_append(acc["hit"], row["line_no"].cast("bigint"))).otherwise(acc["hit"]).alias("hit"),
-        )
+    # Letters: 0-3 a divider that takes so many rows, 4-7 the same on a row that may itself continue one,
+    # "c" a row that only may continue, "r" any other. The state is the number of rows still to take.
+    opened, cont = F.coalesce(opens, F.lit(False)), F.col("_cont")
+    letter = F.when(opened, (used + F.when(cont, 4).otherwise(0)).cast("string")).when(cont, "c").otherwise("r")
+    taken = lambda c: F.when(c < "4", c.cast("int")).otherwise(c.cast("int") - 4)
+
+    def step(left: Column, c: Column) -> Column:
+        return F.when(c == "r", 0).when((left > 0) & (c >= "4"), left - 1).when(c == "c", 0).otherwise(taken(c))
+
+    def hit(left: Column, c: Column) -> Column:
+        return ((left > 0) & (c >= "4") & (c != "r")) | ((c != "c") & (c != "r"))
 
-    hits = member.where("_any").select("doc_id", F.explode(F.aggregate("_m", start, step)["hit"]).alias("line_no"))
-    hits = hits.withColumn("divider", F.lit(True))
+    marked = near.select("doc_id", "line_no", letter.alias("_letter"))
+    hits = automaton(marked, DOC, "line_no", F.col("_letter"), 4, step, hit, "divider")
     return rows.join(hits, ["doc_id", "line_no"], "left").select(
         *rows.columns, F.coalesce("divider", F.lit(False)).alias("divider")
     )
@@ -471,15 +462,13 @@ def parse_schedule_lines(lines: DataFrame) -> DataFrame:
     rows = lines.select("doc_id", "line_no", "text", parts.alias("_p"))
     visit_line = F.upper("text").contains("VISIT NUMBER")
     numbers = F.transform(F.filter("_p", lambda p: p.rlike(r"^\d+$")), lambda p: p.cast("int"))
-    visits = (
-        rows.where(visit_line)
-        .groupBy("doc_id")
-        .agg(
-            F.max("line_no").alias("_at"),
-            F.flatten(
-                F.transform(F.sort_array(F.collect_list(F.struct("line_no", numbers.alias("n")))), lambda s: s["n"])
-            ).alias("_visits"),
-        )
+    # One row per document, spread over its blocks; a schedule has few lines of visit numbers.
+    visits = rows.groupBy("doc_id").agg(
+        F.flatten(
+            F.transform(F.sort_array(F.collect_list(F.when(visit_line, F.struct("line_no", numbers.alias("n"))))), lambda s: s["n"])
+        ).alias("_visits"),
+        F.min("line_no").alias("_from"),
+        (F.max("line_no") + 1).alias("_to"),
     )
     name = F.col("_p")[0]
     header = (
@@ -489,16 +478,16 @@ def parse_schedule_lines(lines: DataFrame) -> DataFrame:
         F.transform(F.slice("_p", F.lit(2), F.size("_p")), lambda p, i: F.when(p.rlike(r"\bX\b"), i + 1)),
         lambda i: i.isNotNull(),
     )
-    body = (
+    named = (
         rows.where(F.size("_p") >= 2)
         .where(~name.rlike(header) & ~name.contains("Laboratory tests and sample") & (F.length(name) > 2))
         .select("doc_id", "line_no", name.alias("name"), marks.alias("_x"))
         .where(F.size("_x") > 0)
-        .join(visits, "doc_id", "left")
     )
+    body = range_join(named, visits, DOC, "line_no", "_from", "_to")
     at = F.array_distinct(
         F.filter(
-            F.transform("_x", lambda i: F.try_element_at(F.coalesce("_visits", F.array().cast("array<int>")), i.cast("int"))),
+            F.transform("_x", lambda i: F.try_element_at("_visits", i.cast("int"))),
             lambda v: v.isNotNull(),
         )
     )
@@ -618,17 +607,16 @@ def consolidated_schedule(tests: DataFrame, panels: DataFrame) -> DataFrame:
 
 
 def schedule_parts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Schedule tests and panels of documents, each from its own range of lines."""
+    """Schedule tests and panels of documents, each from its own range of lines. One pass tags the lines
+    with the range they lie in; both results are narrow and stored, as everything after reads them several times."""
     ranges = detect_line_ranges(lines)
-    body = ranges.where(F.col("schedule_end").isNotNull())
-    tests = parse_schedule_lines(
-        range_join(lines, body.select("doc_id", "schedule_start", "schedule_end"), DOC, "line_no", "schedule_start", "schedule_end").select(*lines.columns)
-    )
-    labs = ranges.where(F.col("lab_start").isNotNull())
-    panels = parse_panels(
-        range_join(lines, labs.select("doc_id", "lab_start", "lab_end"), DOC, "line_no", "lab_start", "lab_end").select(*lines.columns)
-    )
-    return tests, resolve_standalone(panels, tests)
+    span = lambda part, start, end: F.when(F.col(end).isNotNull(), F.struct(F.lit(part).alias("part"), F.col(start).alias("from"), F.col(end).alias("to")))
+    parts = F.array_compact(F.array(span("schedule", "schedule_start", "schedule_end"), span("lab", "lab_start", "lab_end")))
+    spans = ranges.select("doc_id", F.inline(parts))
+    tagged = stage(range_join(lines, spans, DOC, "line_no", "from", "to").select(*lines.columns, "part"))
+    of = lambda part: tagged.where(F.col("part") == part).drop("part")
+    tests = stage(parse_schedule_lines(of("schedule")))
+    return tests, stage(resolve_standalone(parse_panels(of("lab")), tests))
 
 
 def schedule_json(tests: DataFrame, panels: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studylake.functions.fixed import CHANGE_LOG, PAGE_NOISE, QUESTION_SECTIONS
-from studylake.functions.sequence import carry, neighbours, range_join
+from studylake.functions.sequence import carry, neighbours, range_join, successor
 from studylake.functions.stage import stage
 from studylake.functions.text import any_of, clip, let, normalize_ws, squeeze, strip
 
@@ -81,15 +81,10 @@ def section_bounds(lines: DataFrame, *targets: str) -> DataFrame:
     ends_it = F.when(F.col("_hashes") > 0, F.col("_hd").between(1, F.col("_level"))).otherwise(
         F.col("_pd") <= F.greatest("_level", F.lit(1))
     )
-    ends = (
-        starts.join(stops, "doc_id")
-        .where((F.col("line_no") > F.col("start_line")) & ends_it)
-        .groupBy("doc_id")
-        .agg(F.min("line_no").alias("end_line"))
-    )
+    ends = successor(starts, stops.withColumnRenamed("line_no", "end_line"), DOC, "start_line", "end_line", ("_hd", "_pd"), ends_it)
     last = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("_eof"))
     return (
-        starts.join(ends, "doc_id", "left")
+        starts.join(ends, ["doc_id", "start_line"], "left")
         .join(last, "doc_id")
         .select("doc_id", "start_line", F.coalesce("end_line", "_eof").alias("end_line"))
     )
@@ -241,23 +236,17 @@ def find_page_range(pages: DataFrame, start: str, end: str) -> DataFrame:
         F.min(F.when(F.col("_s"), F.col("page"))).alias("start_page"), F.max("page").alias("_last")
     )
     found = first.where(F.col("start_page").isNotNull())
-    stop = (
-        found.join(flags.where("_e").select("doc_id", "page"), "doc_id")
-        .where(F.col("page") > F.col("start_page"))
-        .groupBy("doc_id")
-        .agg((F.min("page") - 1).alias("_end"))
-    )
-    return found.join(stop, "doc_id", "left").select(
-        "doc_id",
-        "start_page",
-        F.when(F.col("_end") >= F.col("start_page"), F.col("_end")).otherwise(F.col("_last")).alias("end_page"),
-    )
+    stop = successor(found, flags.where("_e").select("doc_id", "page"), DOC, "start_page", "page")
+    return found.join(stop, ["doc_id", "start_page"], "left").select("doc_id", "start_page", F.coalesce(F.col("page") - 1, "_last").alias("end_page"))
 
 
 def detect_line_ranges(lines: DataFrame) -> DataFrame:
-    """``(doc_id, schedule_start, schedule_end, lab_start, lab_end)``; ends are exclusive."""
-    up = F.upper("text")
+    """``(doc_id, schedule_start, schedule_end, lab_start, lab_end)``; ends are exclusive. The
+    laboratory range stops where the next appendix or a numbered or marked heading of one opens, contents
+    lines aside."""
+    up, line = F.upper("text"), strip(F.col("text"))
     stop = up.contains("PHARMACOKINETICS") | up.contains("PK SAMPLES")
+    opens = line.rlike(LAB_STOP) & ~up.contains("LABORATORY") & ~is_toc_line(line)
     at = lambda cond: F.min(F.when(cond, F.col("line_no")))
     firsts = lines.groupBy("doc_id").agg(
         at(up.contains("LABORATORY") & up.contains("SAMPLE")).alias("schedule_start"),
@@ -266,19 +255,15 @@ def detect_line_ranges(lines: DataFrame) -> DataFrame:
         ).alias("lab_start"),
         (F.max("line_no") + 1).alias("_n"),
     )
-    stops = (
-        firsts.select("doc_id", "schedule_start")
-        .join(lines.where(stop).select("doc_id", "line_no"), "doc_id")
-        .where(F.col("line_no") > F.col("schedule_start"))
-        .groupBy("doc_id")
-        .agg(F.min("line_no").alias("schedule_end"))
-    )
-    return firsts.join(stops, "doc_id", "left").select(
+    schedules, labs = (firsts.where(F.col(c).isNotNull()).select("doc_id", c) for c in ("schedule_start", "lab_start"))
+    stops = successor(schedules, lines.where(stop).select("doc_id", F.col("line_no").alias("schedule_end")), DOC, "schedule_start", "schedule_end")
+    next_part = successor(labs, lines.where(opens).select("doc_id", F.col("line_no").alias("_next")), DOC, "lab_start", "_next")
+    return firsts.join(stops, ["doc_id", "schedule_start"], "left").join(next_part, ["doc_id", "lab_start"], "left").select(
         "doc_id",
         "schedule_start",
         "schedule_end",
         "lab_start",
-        F.when(F.col("lab_start").isNotNull(), F.col("_n")).alias("lab_end"),
+        F.when(F.col("lab_start").isNotNull(), F.coalesce("_next", "_n")).alias("lab_end"),
     )
 
 
@@ -288,6 +273,7 @@ APPENDIX_TITLES = [
     r"Clinical\s+Laboratory\s+Tests\s*\n\s*(?:The\s+tests\s+detailed|The\s+following)",
     r"Appendix\s*\d+\s*:?\s*Clinical\s+Laboratory",
 ]
+LAB_STOP = r"(?i)^(?:#{1,6}\s*)?(?:Appendix\s+\w+\b|\d+(?:\.\d+)+\.?\s+\p{L}|\d{2,}\.\s+\p{L})|^References?$"
 APPENDIX_STOP = r"\n\s*(?:Appendix\s+[3-9]|\d+\.\d+\s+|References?\s*\n)"
 
 
@@ -510,18 +496,10 @@ def parse_two_col_text(lines: DataFrame) -> DataFrame:
     text = F.rtrim(F.col("text"), F.lit(" \t\n\r\f\u000b"))
     title = text.rlike(r"(?i)^\s*Clinical Laboratory Tests") & text.contains("Comments")
     stop = text.rlike(r"^(?:\d{1,2}\.\d{1,2}\.|10\.)\s")
-    starts = lines.where(title).groupBy("doc_id").agg(F.min("line_no").alias("_start"))
-    stops = (
-        lines.where(stop)
-        .select("doc_id", F.col("line_no").alias("_at"))
-        .join(starts, "doc_id")
-        .where("_at > _start")
-        .groupBy("doc_id")
-        .agg(F.min("_at").alias("_stop"))
-    )
-    last = lines.groupBy("doc_id").agg((F.max("line_no") + 1).alias("_eof"))
-    bounds = starts.join(stops, "doc_id", "left").join(last, "doc_id")
-    bounds = bounds.select("doc_id", "_start", F.coalesce("_stop", "_eof").alias("_end"))
+    starts = lines.groupBy("doc_id").agg(F.min(F.when(title, F.col("line_no"))).alias("_start"), (F.max("line_no") + 1).alias("_eof"))
+    starts = starts.where(F.col("_start").isNotNull())
+    stops = successor(starts, lines.where(stop).select("doc_id", F.col("line_no").alias("_stop")), DOC, "_start", "_stop")
+    bounds = starts.join(stops, ["doc_id", "_start"], "left").select("doc_id", "_start", F.coalesce("_stop", "_eof").alias("_end"))
     open_rows = range_join(
         lines.withColumn("text", text).withColumn("_t", title), bounds, DOC, "line_no", "_start", "_end"
     )
@@ -544,10 +522,11 @@ def parse_aligned_matrix(lines: DataFrame) -> DataFrame:
     are set by the first ``Visit Number`` line. Repeated labels keep their first line."""
     text = F.col("text")
     visit_line = text.rlike(r"(?i)^\s*Visit\s+Number")
+    head = F.when(visit_line, F.struct("line_no", "text"))
     first = (
-        lines.where(visit_line)
-        .groupBy("doc_id")
-        .agg(F.min("line_no").alias("_at"), F.min_by("text", "line_no").alias("_head"))
+        lines.groupBy("doc_id")
+        .agg(F.min(head).alias("_h"), F.max("line_no").alias("_last"))
+        .select("doc_id", F.col("_h.line_no").alias("_at"), F.col("_h.text").alias("_head"), "_last")
         .where(strip(F.col("_head")).rlike(r"^Visit\s+Number\s"))
     )
     rest = F.regexp_replace(F.col("_head"), r"^.*?Number", "")
@@ -561,7 +540,7 @@ def parse_aligned_matrix(lines: DataFrame) -> DataFrame:
             (lead + F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, q: a + F.length(q))).alias("pos"),
         ),
     )
-    heads = first.select("doc_id", "_at", F.filter(starts, lambda s: s["visit"] != "").alias("_visits")).where(
+    heads = first.select("doc_id", (F.col("_at") + 1).alias("_from"), (F.col("_last") + 1).alias("_to"), F.filter(starts, lambda s: s["visit"] != "").alias("_visits")).where(
         F.size("_visits") > 0
     )
     skip = (
@@ -573,7 +552,7 @@ def parse_aligned_matrix(lines: DataFrame) -> DataFrame:
         | text.contains("CONFIDENTIAL")
         | strip(text).rlike(r"^\d*$")
     )
-    body = lines.where(~skip).join(heads, "doc_id").where(F.col("line_no") > F.col("_at"))
+    body = range_join(lines.where(~skip), heads.where("_from < _to"), DOC, "line_no", "_from", "_to")
     first_pos = F.col("_visits")[0]["pos"]
     last = F.element_at("_visits", -1)
     labelled = body.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +95,12 @@ def assemble_studies(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def new_rows(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored; of several rows with one key the largest is kept, so that a retry keeps the same."""
-    one = rows.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*rows.columns)).alias("__row")).select("__row.*")
+def new_rows(rows: DataFrame, stored: DataFrame, key: str, first_by: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key is not stored. Of several rows with one key the first by ``first_by`` is kept (ties: the
+    smallest row), without an order the largest row, so that a retry keeps the same."""
+    row = F.struct(*rows.columns)
+    kept = F.min(F.struct(F.struct(*first_by).alias("o"), row.alias("r")))["r"] if first_by else F.max(row)
+    one = rows.groupBy(F.col(key).alias("__key")).agg(kept.alias("__row")).select("__row.*")
     return one.join(stored.select(key), key, "left_anti").select(rows.columns)
 
 

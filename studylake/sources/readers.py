@@ -111,13 +111,21 @@ def read_field_catalog(spark: SparkSession, path: str) -> DataFrame:
     return lists[0].unionByName(lists[1]).unionByName(lists[2])
 
 
-def existing_keys(spark: SparkSession, path: str, key: str, schema: str = "string") -> DataFrame:
-    """Non-blank keys already stored; none if the table does not exist yet. A stored table without the key is an error."""
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``; None if there is none yet."""
     try:
-        table = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or no file in it
             raise
+        return None
+
+
+def existing_keys(spark: SparkSession, path: str, key: str, schema: str = "string", within: Column | None = None) -> DataFrame:
+    """Non-blank keys already stored, on request only those ``within`` some partitions; none if the table does not exist
+    yet. A stored table without the key is an error."""
+    table = stored_table(spark, path)
+    if table is None:
         return spark.createDataFrame([], f"{key} {schema}")
-    stored = table.select(F.col(key))
+    stored = (table if within is None else table.where(within)).select(F.col(key))
     return stored.where(F.col(key).isNotNull() & (F.col(key) != "")).distinct()

@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studylake.operators.studies import new_rows
-from studylake.sources.readers import existing_keys
+from studylake.sources.readers import existing_keys, stored_table
+
+
+BUCKETS = 256
+BUCKET = "key_bucket"
+
+
+def key_bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(buckets)).cast("int")
 
 
-def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str = "alias", run_date: Column | None = None) -> None:
+def append_new(
+    spark: SparkSession,
+    rows: DataFrame,
+    path: str,
+    key: str = "alias",
+    run_date: Column | None = None,
+    first_by: Sequence[str] = (),
+    buckets: int = BUCKETS,
+) -> None:
     """Appends rows with unseen keys, stamped with the run date. A second run adds nothing and
-    stored rows are never rewritten. Non-blank keys only."""
-    stored = existing_keys(spark, path, key, rows.schema[key].dataType.simpleString())
-    fresh = new_rows(rows.where(F.col(key).isNotNull() & (F.col(key) != "")), stored, key)
-    fresh.withColumn("extracted_on", run_date if run_date is not None else F.current_date()).write.mode("append").parquet(path)
+    stored rows are never rewritten. Non-blank keys only. Of several rows of one key the first by ``first_by``
+    is kept (see :func:`new_rows`), so that a retry keeps the same.
+
+    The table is its own key index: it is partitioned by a hash of the key, and a run reads the key
+    column of only those partitions its keys fall into, at most ``buckets`` numbers on the driver. A
+    table that was stored without partitions stays so, and its keys are read whole. ``buckets`` must stay the same for a table.
+    """
+    kind, table = rows.schema[key].dataType.simpleString(), stored_table(spark, path)
+    usable = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    stamp = run_date if run_date is not None else F.current_date()
+    if table is not None and BUCKET not in table.columns:
+        new_rows(usable, existing_keys(spark, path, key, kind), key, first_by).withColumn("extracted_on", stamp).write.mode("append").parquet(path)
+        return
+    usable = usable.withColumn(BUCKET, key_bucket(F.col(key), buckets))
+    touched = [r[0] for r in usable.select(BUCKET).distinct().collect()]
+    stored = existing_keys(spark, path, key, kind, F.col(BUCKET).isin(touched))
+    fresh = new_rows(usable, stored, key, first_by).withColumn("extracted_on", stamp)
+    fresh.repartition(BUCKET).write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
 def escape_html(col: Column) -> Column:
@@ -65,20 +97,21 @@ def export_table(rows: DataFrame, fmt: str) -> DataFrame:
     return grouped.select("doc_id", "table_no", content.alias("content"))
 
 
-def report_lines(findings: DataFrame) -> DataFrame:
-    """``(doc_id, ord, line)`` of the findings table of a report; values cut to 80 characters."""
+def report_lines(findings: DataFrame, width: int | None = None) -> DataFrame:
+    """``(doc_id, ord, line)`` of the findings table of a report; on request values are cut to ``width`` characters."""
     cell = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("|"), F.lit("/"))
+    value = cell("value") if width is None else F.substring(cell("value"), 1, width)
     line = F.concat(
-        F.lit("| "), cell("field"), F.lit(" | "), F.substring(cell("value"), 1, 80), F.lit(" | "), cell("source"),
+        F.lit("| "), cell("field"), F.lit(" | "), value, F.lit(" | "), cell("source"),
         F.lit(" | "), F.col("status"), F.lit(" |"),
     )
     return findings.select("doc_id", "ord", line.alias("line"))
 
 
-def write_report(findings: DataFrame, coverage: DataFrame) -> DataFrame:
+def write_report(findings: DataFrame, coverage: DataFrame, width: int | None = None) -> DataFrame:
     """``(doc_id, report)``: coverage line and findings table. The number of tracked fields per
     document is fixed by the catalog, so a report is small."""
-    rows = report_lines(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("_r"))
+    rows = report_lines(findings, width).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("_r"))
     head = F.format_string(
         "**Coverage:** %d filled · %d computed · %d need review (of %d tracked items)", "filled", "computed", "review", "total"
     )

@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -52,18 +53,34 @@ def test_stream_equals_batch_and_survives_restart(spark, tmp_path):
     assert stored.count() == 7 and E.new_rows(df, stored, "alias").count() == 0
 
 
-def test_idle_sessions_stream_matches_batch(spark, tmp_path):
+def test_sessions_by_slices(spark, tmp_path):
+    """Batch and stream against a plain loop, with events on the very edge of the gap, late files and one busy user."""
     src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    events = spark.range(200).select(
-        (F.col("id") % 5).alias("user_id"), F.timestamp_seconds(F.lit(1700000000) + F.col("id") * 1800 + F.col("id") % 11 * 9000).alias("ts")
-    )
-    events.write.parquet(src)
-    late = "40 days"  # nothing is late here
-    stream = J.idle_sessions(J.arriving(spark, src, events.schema), late)
-    q = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", state).option("path", out)
-    q.trigger(availableNow=True).start().awaitTermination()
-    got = {tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect()}
-    assert got <= {tuple(r) for r in J.idle_sessions(events).collect()}
+    rng, rows = random.Random(5), []
+    for user in range(6):
+        at = 1_700_000_000
+        for _ in range(400 if user == 0 else 30):
+            at += rng.choice([1, 600, 21_599, 21_600, 21_601, 90_000])
+            rows.append((user, at))
+    rng.shuffle(rows)
+    want = set()
+    for user in range(6):
+        run: list[int] = []
+        for at in [*sorted(a for u, a in rows if u == user), 1 << 40]:
+            if run and at - run[-1] >= 21_600:
+                want.add((user, run[0], run[-1] + 21_600, len(run)))
+                run = []
+            run.append(at)
+    events = spark.createDataFrame(rows, "user_id int, at bigint").select("user_id", F.timestamp_seconds("at").alias("ts"))
+    plain = lambda df: {tuple(r) for r in df.select("user_id", F.unix_seconds("started"), F.unix_seconds("ended"), "events").collect()}
+    assert plain(J.idle_sessions(events)) == want
+    events.repartition(5).write.parquet(src)
+    for _ in range(2):
+        rows_in = J.arriving(spark, src, events.schema, 1)
+        J.stream_sessions(rows_in, out, state).trigger(availableNow=True).start().awaitTermination()
+    sessions = J.stored_sessions(spark, out)
+    newest = max(a for _, a in rows)
+    assert plain(sessions) == want and plain(sessions.where("open")) == {w for w in want if w[2] > newest}
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from studylake.functions.sequence import carry, neighbours, range_join
+from studylake.functions.sequence import automaton, carry, neighbours, range_join, successor
 
 BLOCK = 4
 
@@ -80,3 +80,36 @@ def test_range_join(spark):
     got = range_join(df, ranges, ["doc_id"], "n", "s", "e", BLOCK).select("doc_id", "n", "s")
     want = sorted((d, n, s) for d, n, _, _ in data for rd, s, e in [(0, 2, 17), (1, 0, 5), (1, 4, 90), (3, 6, 7)] if rd == d and s <= n < e)
     assert sorted((r.doc_id, r.n, r.s) for r in got.collect()) == want
+
+
+def test_first_stop_after_a_start(spark):
+    """Against a plain search, over many small blocks; a start may have no stop, and stops before it do not count."""
+    rng = random.Random(2)
+    starts = [(d, rng.randrange(60), rng.randint(1, 3)) for d in range(12)]
+    stops = [(d, at, rng.randint(1, 4)) for d in range(12) for at in rng.sample(range(70), rng.randint(0, 25))]
+    a = spark.createDataFrame(starts, "doc_id int, start int, level int")
+    b = spark.createDataFrame(stops, "doc_id int, stop int, depth int")
+    for block in (1, 4, 16, 4096):
+        got = successor(a, b, ["doc_id"], "start", "stop", ["depth"], F.col("depth") <= F.col("level"), block).collect()
+        want = {(d, s): min(x for e, x, depth in stops if e == d and x > s and depth <= level) for d, s, level in starts if any(e == d and x > s and depth <= level for e, x, depth in stops)}
+        assert {(r.doc_id, r.start): r.stop for r in got} == want and len(got) == len(want)
+
+
+def test_automaton_over_blocks(spark):
+    """A divider takes the rows that it needs, over block borders and in a run of 100,000 rows."""
+    rng = random.Random(8)
+    docs = {d: "".join(rng.choice("ab0") for _ in range(n)) for d, n in enumerate([1, 5, 40, 90])}
+    docs[9] = "".join(rng.choice("ab") for _ in range(100_000))
+    step = lambda left, c: F.when(left > 0, left - 1).when(c == "a", 3).otherwise(0)
+    flag = lambda left, c: (left > 0) | (c == "a")
+    rows = spark.createDataFrame([(d, i, c) for d, s in docs.items() for i, c in enumerate(s)], "doc_id int, line_no int, c string")
+    want = set()
+    for d, s in docs.items():
+        left = 0
+        for i, c in enumerate(s):
+            if left or c == "a":
+                want.add((d, i))
+            left = left - 1 if left else 3 if c == "a" else 0
+    got = automaton(rows.where("doc_id < 9"), ["doc_id"], "line_no", F.col("c"), 4, step, flag, "hit", 7)
+    long = automaton(rows.where("doc_id = 9"), ["doc_id"], "line_no", F.col("c"), 4, step, flag, "hit")
+    assert {(r.doc_id, r.line_no) for part in (got, long) for r in part.collect()} == want
