@@ -58,8 +58,17 @@ def named(rows: DataFrame) -> DataFrame:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is in ``gone`` (one column); rows without doc_id stay."""
-    gone = named(gone.toDF("__gone").filter("__gone is not null").distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    gone = named(gone.toDF(name).filter(F.col(name).isNotNull()).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as keep it apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ Markup is stripped first: each block element's text becomes a line; comments, sc
 lines of menus, headers, footers, sidebars, notices, adverts and reader comments weigh nothing; link text
 does not count. Over the lines' weights a window of ``WINDOW`` lines is summed. A run of lines starts at
 the surge, where the window ahead reaches the threshold, and ends at the dive, where the window behind
-falls under it; all weighted lines between stay. The threshold is at most half of the page's fullest
+falls under it; all lines between stay. A dive made by short lines and not by links is none: it is filled. The threshold is at most half of the page's fullest
 window, so that a short page still has its text.
 
 A declared article only adds weight to its lines: lines outside are decided by the same windows, and a
@@ -16,13 +16,15 @@ with more text than all outside of it, a container round <main>, one with the pa
 that never closes from its first article on, and any but comments if nothing else has text.
 
 Row-local: one Arrow UDF, no shuffle. Defined cases: null or empty html gives an empty text; unclosed
-elements end with their container or where HTML implies it; unknown references stay as written; any length is read whole.
+elements end with their container or where HTML implies it; a line break is white space; unknown references stay as written; broken markup
+costs no more time than its length, and any length is read whole; a column of the name ``to`` is replaced, all others pass through.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from html import unescape
 from itertools import groupby
 
@@ -44,19 +46,23 @@ BLOCKS = set(
     " th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOISE = re.compile(
-    r"(?<![a-z0-9])(ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|"
-    r"header|masthead|footer|sidebar|notice|notices|cookie|cookies|consent|gdpr|popup|modal|comment|comments|disqus|replies|social|share|"
-    r"sharing|related|newsletter|subscribe|login|search|pager|pagination|contentinfo|complementary)(?![a-z0-9])"
+NOISE = set(
+    "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar notice"
+    " notices cookie cookies consent gdpr popup modal comment comments disqus replies social share sharing related newsletter subscribe login search pager"
+    " pagination contentinfo complementary".split()
 )
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
-    re.S | re.I,
+COMMENT = {"comment", "comments", "disqus", "replies"}
+LESSER = {"comment", "comments", "reply", "replies", "teaser", "related", "promo", "ad", "advert", "sponsored"}  # of an outer article
+# Parts that may stand beside a noise word in a compound; any other part ("article-header", "social-science") names a thing of its own.
+BESIDE = set(
+    "site page main global top bottom left right primary secondary inner outer list item items box bar slot unit links link buttons button icons wrapper wrap"
+    " container content section area block widget panel group row col column inline sticky overlay mobile desktop form field thread bottom head foot".split()
 )
+RAW = {"script", "style", "textarea"}
+NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+UNTIL = re.compile(r"[^>\"']*")
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-COMMENT = re.compile(r"(?<![a-z0-9])(comment|comments|disqus|replies)(?![a-z0-9])")
-LESSER = re.compile(r"(?<![^\s\"'])(comment|comments|reply|replies|teaser|related|promo|ad|advert|sponsored)(?![^\s\"'])")  # whole words of an outer article
 IN_HEAD = set("base link meta noscript script style template title".split())
 # A start tag ends these open elements, up to the nearest of those.
 CELLS = {"td", "th"}
@@ -81,15 +87,84 @@ class _Open:
         self.name, self.kind, self.article, self.inner, self.main, self.until = name, kind, article, None, False, None
 
 
-def _kind(name: str, attrs: str, inner: bool) -> int:
-    """inner: inside an article or a dropped element."""
+class _Token:
+    """A piece of markup; one without a name (comments, raw text, declarations) is only taken out."""
+
+    __slots__ = ("start", "stop", "name", "end", "attrs")
+
+    def __init__(self, start: int, stop: int, name: str = "", end: bool = False, attrs: str = ""):
+        self.start, self.stop, self.name, self.end, self.attrs = start, stop, name, end, attrs
+
+
+def tokens(html: str) -> Iterator[_Token]:
+    """Markup in page order, in linear time: what is once found to be missing behind a place is not searched again.
+
+    Comments and raw text that never close reach to the end. A "<" without ">" behind it is text. Where a quoted value never closes, this tag and
+    those behind it end at their first ">".
+    """
+    at, size = html.find("<"), len(html)
+    quoted = True  # whether ">" in quotes is no end of a tag
+    last = html.rfind(">")
+    open_ended: set[str] = set()  # raw elements that have no closing tag any more
+    while 0 <= at:
+        stop = at + 1
+        if html.startswith("<!--", at):
+            found = html.find("-->", at + 4)
+            stop = size if found < 0 else found + 3
+            yield _Token(at, stop)
+        elif at > last:
+            pass
+        elif html.startswith(("<!", "<?"), at):
+            stop = html.find(">", at) + 1
+            yield _Token(at, stop)
+        elif m := NAME.match(html, at):
+            name, close = m[2].lower(), bool(m[1])
+            if name in RAW and not close:
+                stop = html.find(">", at) + 1
+                found = None if name in open_ended else CLOSING[name].search(html, stop)
+                if not found:
+                    open_ended.add(name)
+                stop = found.end() if found else size
+                yield _Token(at, stop)
+            else:
+                i = m.end()
+                while quoted:
+                    i = UNTIL.match(html, i).end()
+                    if i >= size:
+                        quoted = False
+                    elif html[i] == ">":
+                        break
+                    else:
+                        i = html.find(html[i], i + 1) + 1
+                        quoted = i > 0
+                if not quoted:
+                    i = html.find(">", m.end())
+                if i >= 0:
+                    stop = i + 1
+                    yield _Token(at, stop, name, close, html[m.end() : i])
+        at = html.find("<", stop)
+
+
+def _noisy(words: list[str], inside: set[str]) -> bool:
+    """Whether one of the class words is noise: a noise word, alone or in a compound with words that may stand beside it."""
+    for word in words:
+        parts = re.split(r"[-_]+", word)
+        if not inside.isdisjoint(parts) and (not COMMENT.isdisjoint(parts) or all(p in inside or p in BESIDE for p in parts)):
+            return True
+    return False
+
+
+def _kind(name: str, attrs: str, article: bool, inner: bool) -> int:
+    """article: inside one; inner: inside an article or a dropped element."""
     if name in HIDDEN:
         return NEVER
     if name in ("html", "body", "main"):
         return PLAIN
-    marks = [x.lower() for x in MARKS.findall(attrs)]
-    if any((LESSER if name == "article" and not inner else NOISE).search(x) for x in marks):
-        return COMMENTS if any(COMMENT.search(x) for x in marks) else NOISY
+    marks = " ".join(MARKS.findall(attrs)).lower().replace('"', " ").replace("'", " ").split()
+    if _noisy(marks, LESSER if name == "article" and not inner else NOISE):
+        return COMMENTS if any(not COMMENT.isdisjoint(re.split(r"[-_]+", x)) for x in marks) else NOISY
+    if name == "header" and article:
+        return PLAIN  # the article's own, with its heading
     return FORM if name == "form" else NOISY if name in DROPPED else PLAIN
 
 
@@ -128,19 +203,20 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
             pop(stack[-1].name in IMPLIED or stack[-1].name in ("p", "a"))
         pop(closed)
 
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            parts.append(html[at : m.start()])
+    for token in tokens(html):
+        if token.start > at:
+            parts.append(html[at : token.start])
             if many["a"]:
-                linked += m.start() - at
-        at = m.end()
-        name = (m["name"] or "").lower()
+                linked += token.start - at
+        at, name = token.stop, token.name
         if not name:
             continue
+        if name == "br":
+            parts.append(" ")
         block = name in BLOCKS
         if block:
             flush()
-        if m["end"]:
+        if token.end:
             if many[name]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i].name == name:
@@ -172,8 +248,8 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
             pop()
         if name in VOID:
             continue
-        kind = _kind(name, m["attrs"], articles > 0 or bool(noisy))
-        if kind and m["attrs"].endswith("/"):
+        kind = _kind(name, token.attrs, articles > 0, articles > 0 or bool(noisy))
+        if kind and token.attrs.endswith("/"):
             continue
         if not (block or kind or name == "a"):
             continue
@@ -218,16 +294,35 @@ def main_text(html: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     ahead = [[sum(w for _, w in run[i : i + window]) for i in range(len(run))] for run in runs]
     least = min(threshold, max((x for sums in ahead for x in sums), default=0) / 2)
     kept = []
-    for inside, run, sums in zip(declared, runs, ahead):
-        running = False
-        for i, (text, w) in enumerate(run):
+    for inside, run, sums in zip(declared, runs, ahead, strict=True):
+        running, on = False, []
+        for i in range(len(run)):
             behind = sum(x for _, x in run[max(0, i - window + 1) : i + 1])
             running = sums[i] >= least and sums[i] > 0 or running and behind >= least
-            if running and (w or inside):
-                kept.append(text)
+            on.append(running)
+        kept += [text for (text, _), keep in zip(run, _whole(run, on, inside), strict=True) if keep]
     return "\n".join(kept)
 
 
+def _whole(run: list[tuple[str, int]], on: list[bool], inside: bool) -> list[bool]:
+    """Lines between surge and dive, after dives that are not made by links are taken back: from the first surge on, a stretch is cut only if
+    most of its text is links. Outside an article, lines of links alone at a stretch's end go with the dive."""
+    out, i = on[:], on.index(True) if True in on else len(on)
+    while i < len(run):
+        j = i
+        while j < len(run) and on[j] == on[i]:
+            j += 1
+        if not on[i]:
+            stretch = run[i:j]
+            out[i:j] = [2 * sum(w for _, w in stretch) >= sum(len(t) for t, _ in stretch)] * (j - i)
+        i = j
+    if not inside:
+        for i in range(len(run) - 1, -1, -1):
+            if out[i] and not run[i][1] and (i + 1 == len(run) or not out[i + 1]):
+                out[i] = False
+    return out
+
+
 @F.arrow_udf(T.StringType())
 def _main_text(html: pa.Array) -> pa.Array:
     return pa.array([main_text(x) for x in html.to_pylist()], pa.string())

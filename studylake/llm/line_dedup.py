@@ -17,7 +17,7 @@ Only built-in column functions are used.
 Defined cases: a null text gives a null text and no lines; a null host is a host of its own; blank lines
 are no boilerplate and stay; a page with the same line twice counts once and loses both; equal rows are
 separate pages. A text that is all boilerplate becomes empty, its row stays. All other columns pass
-through unchanged, whatever their names.
+through unchanged, whatever their names, but for a column ``line_dedup``, which is replaced. Outer white space is spaces.
 """
 
 from __future__ import annotations
@@ -25,11 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import store
+from studylake.llm.common import store, unused
 
 RATIO = 0.08
 FLOOR = 2  # pages: a line of one page is no boilerplate
-MIN_PAGES = 10  # only read by the SQL twin, which still has this floor; the operator does not use it
 
 
 def _line_key(line: Column) -> Column:
@@ -50,12 +49,15 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = FLO
     """``docs`` with boilerplate lines taken out of ``text``; all columns stay, n_lines and n_dropped (in a struct
     ``line_dedup``) are added."""
     found = store(boilerplate(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ratio, min_pages)).df
-    found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
-    joined = docs.join(found, F.col(host).eqNullSafe(F.col("__host")), "left")
-    bad = F.coalesce("__lines", F.array().cast(found.schema["__lines"].dataType))
+    here, there, own = unused(docs, "line_host"), unused(docs, "line_keys"), unused(docs, "line_kept")
+    found = found.select(F.col("host").alias(here), F.col("lines").alias(there))
+    joined = docs.join(found, F.col(host).eqNullSafe(F.col(here)), "left")
+    bad = F.coalesce(there, F.array().cast(found.schema[there].dataType))
     lines = F.split(F.col(text), "\n")
     kept = F.filter(lines, lambda x: ~F.array_contains(bad, _line_key(x)) | (F.trim(x) == ""))
-    out = joined.withColumn("__kept", kept)
-    counts = F.struct(F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"))
-    out = out.withColumn("line_dedup", F.when(F.col(text).isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))).otherwise(counts))
-    return out.withColumn(text, F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n"))).drop("__host", "__lines", "__kept")
+    out = joined.withColumn(own, kept)
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("long")  # noqa: E731 - null for a null text
+    counts = F.struct(count(F.size(lines)).alias("n_lines"), count(F.size(lines) - F.size(own)).alias("n_dropped"))
+    none = F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    out = out.withColumn("line_dedup", F.when(F.col(text).isNull(), none).otherwise(counts))
+    return out.withColumn(text, F.when(F.col(there).isNull(), F.col(text)).otherwise(F.array_join(own, "\n"))).drop(here, there, own)

@@ -58,7 +58,7 @@ def digits_of(s: str) -> str:
 def valid(kind: str, s: str) -> bool:
     d = digits_of(s)
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in s.split(".")))
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d)
     return 9 <= len(d) <= 15 if kind == "phone" else True
@@ -252,10 +252,17 @@ def viterbi(scores: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged neighbourhoods of digits and @ signs."""
+    """Merged neighbourhoods of digits and @ signs, over whole words."""
     out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
         lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        done = out[-1][1] if out else 0
+        if hi <= done:
+            continue
+        while lo > done and not text[lo - 1].isspace():
+            lo -= 1
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], hi
         else:
@@ -327,11 +334,11 @@ def sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo, hi in stretches(t):
                 for s in _starts(hi - lo):
                     part = t[lo + s : min(hi, lo + s + WINDOW)]
-                    key = -(xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass")) >> 1)
+                    y = np.pad(tags_of(spans, lo + s, len(part)), (0, WINDOW - len(part))).astype(np.uint8)
+                    key = -(xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass") + y.tobytes()) >> 1)  # one key, one window with its tags
                     if len(kept) == SAMPLE and key <= kept[0][0]:
                         continue
                     c = np.pad(classes(part), (0, WINDOW - len(part)), constant_values=PAD).astype(np.uint8)
-                    y = np.pad(tags_of(spans, lo + s, len(part)), (0, WINDOW - len(part))).astype(np.uint8)
                     (heapq.heappushpop if len(kept) == SAMPLE else heapq.heappush)(kept, (key, c.tobytes(), y.tobytes()))
     yield pa.RecordBatch.from_arrays([pa.array([-k[0] for k in kept], pa.int64()), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], pa.binary())], names=["key", "chars", "tags"])
 

@@ -42,7 +42,7 @@ with lines as (
 totals as (select source, count(*) as total from documents group by source),
 seen as (select source, line, count(distinct row_id) as n from lines where line <> '' group by source, line),
 bad as (select source, list(line) as lines from seen join totals using (source)
-  where n >= {line_dedup.MIN_PAGES} and n > {line_dedup.RATIO} * total group by source)
+  where n >= {line_dedup.FLOOR} and n > {line_dedup.RATIO} * total group by source)
 select doc_id, len(string_split(text, chr(10))) as n_lines,
   len(string_split(text, chr(10))) - len(kept) as n_dropped, sha256(array_to_string(kept, chr(10))) as text_sha256
 from (select doc_id, text, list_filter(string_split(text, chr(10)), lambda x: not list_contains(coalesce(lines, []), trim(x, ' '))) as kept
