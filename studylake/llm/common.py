@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +86,20 @@ def ascii_lower(text: Column) -> Column:
 def partitions_of(df: DataFrame) -> int:
     """Number of input partitions by the plan; no job runs."""
     return max(1, df.rdd.getNumPartitions())
+
+
+Rows = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(rows: Rows) -> Rows:
+    """``rows`` for ``mapInArrow``; a task gives the memory it has freed back to the system, so that a worker
+    process that later stages use again starts small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run

@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import store, without
+from studylake.llm.common import store, tidy, without
 from studylake.llm.shingles import K, mix, shingle_hashes, slices, text_shingles, words
 
 PERCENT = 80
 BITS = 24  # two bitmaps of 2 MB
+SLICE = 1 << 20  # bytes of text whose arrays are held at once, a longer text alone
 
 
 def size_partition(n: int) -> int:
@@ -69,13 +70,18 @@ def _shingle(w, i: int, k: int) -> bytes:
 
 
 def bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Which values the top ``bits`` bits of column h take. Its size is fixed, the driver gets at most 2^(bits - 6) rows."""
+    """Which values the top ``bits`` bits of column h take, eight to a byte. Its size is fixed, the driver gets at most 2^(bits - 6) rows."""
     word = F.shiftrightunsigned("h", 64 - bits + 6)
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")
     rows = hashes.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("m")).collect()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[[r.w for r in rows]] = [r.m for r in rows]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint8)
+
+
+def _has(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bits at these places."""
+    return (packed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & np.uint8(1)).view(bool)
 
 
 def candidate_rows(sketched, every, bits: int, k: int):
@@ -83,18 +89,17 @@ def candidate_rows(sketched, every, bits: int, k: int):
     shift = np.uint64(64 - bits)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        in_sketch, in_items = (np.unpackbits(x.value, bitorder="little").view(bool) for x in (sketched, every))
         for whole in batches:
-            for batch in slices(whole, "text"):
-                yield one(batch, in_sketch, in_items)
+            for batch in slices(whole, "text", SLICE):
+                yield one(batch, sketched.value, every.value)
 
     def one(batch: pa.RecordBatch, in_sketch: np.ndarray, in_items: np.ndarray) -> pa.RecordBatch:
         w = words(batch.column("text"))
         h = shingle_hashes(w.hash, k)
-        inside = in_items[h >> shift]
+        inside = _has(in_items, h >> shift)
         starts = np.flatnonzero(inside)
         sketch_hash = mix(h[starts])
-        hit = in_sketch[sketch_hash >> shift]
+        hit = _has(in_sketch, sketch_hash >> shift)
         text = np.searchsorted(w.first, starts, "right") - 1
         fits = starts + k <= w.first[text + 1] if len(starts) else hit
         docs, sketches, shingles = [], [], []
@@ -118,9 +123,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT, k
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(item_rows(percent, k), "item_id long, n long, sketch array<long>, hashes array<long>, shingles array<binary>")
     known = store(known).df
     sketch = known.select("item_id", F.explode("sketch").alias("h"))
-    maps = [spark.sparkContext.broadcast(np.packbits(bitmap(x, bits), bitorder="little")) for x in (sketch, known.select(F.explode("hashes").alias("h")))]
+    maps = [spark.sparkContext.broadcast(bitmap(x, bits)) for x in (sketch, known.select(F.explode("hashes").alias("h")))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.mapInArrow(candidate_rows(*maps, bits, k), "doc_id long, sketch array<long>, shingles array<binary>")
+    found = texts.mapInArrow(tidy(candidate_rows(*maps, bits, k)), "doc_id long, sketch array<long>, shingles array<binary>")
     found = store(found.withColumn("key", F.struct("doc_id", F.xxhash64("shingles").alias("a"), F.xxhash64(F.lit(1), "shingles").alias("b")))).df
     pairs = found.select("key", F.explode("sketch").alias("h")).join(sketch, "h").select("key", "item_id").distinct()
     both = pairs.join(found.select("key", F.col("shingles").alias("have")).dropDuplicates(["key"]), "key")

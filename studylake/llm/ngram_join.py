@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from studylake.llm.common import named, partitions_of, store, without
+from studylake.llm.common import named, partitions_of, store, tidy, without
 from studylake.llm.components import components
 from studylake.llm.shingles import K, slices, text_shingles, words
 
@@ -147,7 +147,7 @@ def set_members(k: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 sets = list(text_shingles(words(batch.column("text")), k))
                 same = [digest(u) == (a, b) for u, a, b in zip(sets, batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), strict=True)]
                 kept = [i for i, s in enumerate(same) if s]
@@ -274,7 +274,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     with the same set) per row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = 4 * partitions_of(docs)
-    sent = store(docs.mapInArrow(set_rows(ranges, k, percent), "doc_id long, n long, c1 long, c2 long, batch long, at long, looked long, known long, range int, data binary"))
+    sent = store(docs.mapInArrow(tidy(set_rows(ranges, k, percent)), "doc_id long, n long, c1 long, c2 long, batch long, at long, looked long, known long, range int, data binary"))
     rows = sent.df.filter("range is null").drop("range", "data")
     answers = sent.df.filter("range is not null").select("range", "batch", "data").groupBy("range").applyInArrow(lambda t: shared_counts(t), "batch long, at long, cnt long")
     answers = answers.groupBy("batch", "at").agg(F.sum("cnt").alias("cnt"))
@@ -285,7 +285,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     sent.drop()
 
     wanted = named(classes.df.filter("sharing").select(F.col("doc").alias("doc_id"), "c1", "c2"))
-    sets = store(docs.join(wanted, "doc_id").mapInArrow(set_members(k), "doc long, n long, members binary"))
+    sets = store(docs.join(wanted, "doc_id").mapInArrow(tidy(set_members(k)), "doc long, n long, members binary"))
     links = class_links(sets.df.dropDuplicates(["doc", "members"]), percent)
     # rows that share a doc_id tie their classes together
     tied = counted.df.filter("n > 0 and doc_id is not null").join(classes.df.select("c1", "c2", "doc"), ["c1", "c2"]).filter("doc_id <> doc")

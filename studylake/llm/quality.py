@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from studylake.llm.common import store, without
+from studylake.llm.common import store, tidy, without
 from studylake.llm.shingles import slices, words
 
 FEATURES, SUMS, BINS = 256, 16, 1000
@@ -73,7 +73,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 def statistic_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", 1 << 20):
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
@@ -175,7 +175,7 @@ def fit(labelled: DataFrame) -> Model | None:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) scored by what ``labels`` (doc_id, quality) teach: doc_id, held_out, score, predicted."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = store(docs.mapInArrow(statistic_rows, "doc_id long, x binary")).df
+    known = store(docs.mapInArrow(tidy(statistic_rows), "doc_id long, x binary")).df
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     marks = labels.filter("quality is not null").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     labelled = known.join(marks, "doc_id").withColumn("fold", fold).filter("fold <> 0").select("x", "y", "fold")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 K = 5
-CHUNK = 1 << 20  # bytes hashed at once: bounds temporary arrays for texts of any length
+CHUNK = 1 << 18  # bytes hashed at once: bounds temporary arrays for texts of any length
 
 _RANDOM = np.random.default_rng(20).integers(1 << 62, dtype=np.uint64, size=260) * np.uint64(4) + np.uint64(3)
 _LETTER = _RANDOM[:256].copy()
