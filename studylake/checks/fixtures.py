@@ -134,15 +134,15 @@ select o_orderkey as doc_id, ln as line_no, txt as text from (
 
 FIXTURES["fact_sheet"] = """
 select o_orderkey as doc_id, concat(
- case o_orderkey % 6 when 0 then concat('Protocol Number: H', cast(o_orderkey % 9 as string), 'X-MC-AB', cast(o_orderkey % 900 as string)) when 1 then concat('Trial ID: TR-', cast(o_orderkey as string), 'X')
-  when 2 then concat('Clinical Protocol AB1-CD2-', cast(o_orderkey as string)) when 3 then concat('Study No ', 'ST', cast(o_orderkey + 1000 as string)) when 4 then concat('Protocol: Q', cast(o_orderkey + 100 as string)) else 'No code here' end, chr(10),
+ case o_orderkey % 6 when 0 then concat('Protocol Number: H', cast(o_orderkey % 9 as string), 'X-MC-AB', cast(o_orderkey % 900 as string)) when 1 then concat('Trial ID: T R-', cast(o_orderkey as string), 'X')
+  when 2 then concat('Clinical Protocol AB1-CD2-', cast(o_orderkey as string)) when 3 then concat('Study No ', 'ST', cast(o_orderkey + 1000 as string)) when 4 then concat('Protocol: Q', cast(o_orderkey + 100 as string)) when 5 then concat('Protocol Number: H', cast(o_orderkey % 9 as string), 'X-M C-A B', cast(o_orderkey % 900 as string)) else 'No code here' end, chr(10),
  case o_orderkey % 7 when 0 then concat('Compound: alphastat (LY', cast(o_orderkey + 1000000 as string), ')') when 1 then concat('Compound: LY', cast(o_orderkey + 1000000 as string)) when 2 then 'Compound: gammaline forte; tablets'
   when 3 then 'Investigational Product: deltamab  injection' when 4 then concat('Also LY', cast(o_orderkey + 2000000 as string), ' was given') when 5 then 'A Study of Zetamide in adults' else 'A Study of Patients in adults' end, chr(10),
- case o_orderkey % 5 when 0 then 'Phase: 2b' when 1 then 'A Phase 3, Randomized design' when 2 then 'Phase III Trial' when 3 then 'In Phase IV' else 'phase 2' end, chr(10),
+ case o_orderkey % 5 when 0 then case when o_orderkey % 2 = 0 then 'Phase: 2b' else 'P h a s e: 2b' end when 1 then 'A Phase 3, Randomized design' when 2 then 'Phase III Trial' when 3 then 'In Phase IV' else 'phase 2' end, chr(10),
  case o_orderkey % 4 when 0 then concat('Therapeutic Area: ', o_orderpriority, ' (part of plan).') when 1 then concat('Condition: ', o_orderpriority, ' pain.') when 2 then concat('Primary Diagnosis: type ', cast(o_orderkey % 10 as string), ' diabetes') else 'Area unknown' end, chr(10),
  case o_orderkey % 11 when 0 then 'Indication: chronic migraine' when 1 then 'Indication (): severe  asthma.' when 2 then concat('Protocol Title: Long term safety in ', 'adults with gout', '.') else 'Nothing indicated' end, chr(10),
  case o_orderkey % 8 when 0 then concat('Approximately ', cast(cast(floor(o_totalprice/10) as int) as string), ' patients will be enrolled.') when 1 then concat('The sample size is ', cast(o_orderkey % 700 as string), '.') when 2 then concat('N = ', cast(o_orderkey % 900 + 100 as string))
-  when 3 then concat(cast(o_orderkey % 900 + 100 as string), ' subjects will be randomized') when 4 then 'Approximately 1,240 participants' when 5 then 'Up to 455-570 participants, maximum 600' when 6 then concat('Enrollment of 1999 patients and ', cast(o_orderkey % 80 as string), ' sites') else 'No numbers' end, chr(10),
+  when 3 then concat(cast(o_orderkey % 900 + 100 as string), ' subjects will be randomized') when 4 then 'A p p r o x i m a t e l y 1,240 participants' when 5 then 'Up to 455-570 participants, maximum 600' when 6 then concat('Enrollment of 1999 patients and ', cast(o_orderkey % 80 as string), ' sites') else 'No numbers' end, chr(10),
  case o_orderkey % 9 when 0 then 'Participants must be at least 18 years of age' when 1 then 'aged 12 to 17 years' when 2 then concat(cast(o_orderkey % 50 + 10 as string), ' years of age or older') when 3 then 'Age at screening: 21' when 4 then 'Inclusion Criteria: adults of at least 40 years' else 'any age' end, chr(10),
  case o_orderkey % 10 when 0 then 'Is immunogenicity testing needed? Yes' when 1 then 'Immunogenicity: No' when 2 then 'immunogenicity assessment will be performed' else 'none' end, chr(10),
  case o_orderkey % 12 when 0 then 'We will collect PGx Yes' when 1 then 'Genetics samples collected: No' when 2 then 'no genetics planned' when 3 then 'Pharmacogenomic work' else 'none' end, chr(10),

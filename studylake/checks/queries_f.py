@@ -4,15 +4,27 @@ import re
 
 from pyspark.sql import functions as F
 
-from studylake.checks.registry import check
-from studylake.checks.sqltext import extract_, match_, quote, squeeze_, strip_, tiers_
+from studylake.checks import registry
+from studylake.checks.sqltext import extract_, match_, quote, repaired_, squeeze_, strip_, tiers_
 from studylake.functions import dates as DT
 from studylake.functions import fixed as X
 from studylake.functions.rules import Rule, first_tier, hit_rates, rule_hits
+from studylake.functions.text import repaired
 from studylake.operators import countries as C
 from studylake.operators import fields as R
 from studylake.operators import structure as S
 
+
+
+def check(name: str, sql: str | None = None, *tables: str):
+    """As in the registry; texts are repaired before their fields are read."""
+    for table in ("fact_sheet", "country_text", "milestone_text"):
+        if sql and table in tables:
+            source = f"from (select * replace ({repaired_('text')} as text) from {table})"
+            sql = re.sub(rf"\bfrom {table}\b( [a-z]\b)?", lambda m, source=source, table=table: source + (m[1] or f" {table}"), sql)
+    return registry.check(name, sql, *tables)
+
+
 _NUMBER = [Rule(r.pattern.replace(r"(?!\d)", "")) for r in R.PROTOCOL_NUMBER]
 
 
@@ -25,7 +37,7 @@ def _num(x: str, patterns, low=None, high=None) -> str:
 
 
 def _col(t, fn, name):
-    return t.fact_sheet.select("doc_id", fn(F.col("text")).alias(name))
+    return repaired(t.fact_sheet).select("doc_id", fn(F.col("text")).alias(name))
 
 
 @check(
@@ -37,7 +49,7 @@ def _col(t, fn, name):
     "fact_sheet",
 )
 def _(t):
-    return first_tier(rule_hits(t.fact_sheet, "doc_id", "text", {"protocol_number": _NUMBER, "phase": R.PHASE}), "doc_id")
+    return first_tier(rule_hits(repaired(t.fact_sheet), "doc_id", "text", {"protocol_number": _NUMBER, "phase": R.PHASE}), "doc_id")
 
 
 @check(
@@ -49,7 +61,7 @@ def _(t):
     "fact_sheet",
 )
 def _(t):
-    return hit_rates(rule_hits(t.fact_sheet, "doc_id", "text", {"protocol_number": _NUMBER, "phase": R.PHASE}))
+    return hit_rates(rule_hits(repaired(t.fact_sheet), "doc_id", "text", {"protocol_number": _NUMBER, "phase": R.PHASE}))
 
 
 @check("f2_protocol_number", f"select doc_id, {tiers_('text', _NUMBER)} as protocol_number from fact_sheet", "fact_sheet")
@@ -104,7 +116,7 @@ _AREA = "case " + " ".join(f"when contains(lower(text), {quote(w)}) then {quote(
 
 @check("f7_area_by_keyword", f"select doc_id, {_AREA} as area from (select doc_id, text from documents union all select doc_id + 1000000, text from fact_sheet) d", "fact_sheet")
 def _(t):
-    docs = t.documents.select("doc_id", "text").union(t.fact_sheet.select(F.col("doc_id") + 1000000, "text"))
+    docs = t.documents.select("doc_id", "text").union(repaired(t.fact_sheet).select(F.col("doc_id") + 1000000, "text"))
     return docs.select("doc_id", R.area_by_keyword(F.col("text")).alias("area"))
 
 
@@ -114,7 +126,7 @@ def _(t):
     "fact_sheet",
 )
 def _(t):
-    return R.area_hits(t.fact_sheet)
+    return R.area_hits(repaired(t.fact_sheet))
 
 
 @check(
@@ -163,7 +175,7 @@ select doc_id, name, abbreviation, min_by(pct, step) filter (where pct is not nu
 
 @check("f11_country_mentions", f"with {_F11}", "country_text")
 def _(t):
-    return C.country_mentions(t.country_text)
+    return C.country_mentions(repaired(t.country_text))
 
 
 _F13 = rf"""d as (select doc_id, text, substring({_PLAN}, 1, 2000) as chunk from SRC),
@@ -181,7 +193,7 @@ sect as (select doc_id, name, abbreviation, max(pct) as pct, bool_or(cons) as co
 
 @check("f13_country_section", f"with {_AL}, {_INFO}, {_F13.replace('SRC', 'country_text')} select * from sect", "country_text")
 def _(t):
-    return C.country_section(t.country_text)
+    return C.country_section(repaired(t.country_text))
 
 
 _F12 = rf"""with {_AL}, {_INFO}, ln as (select doc_id, unnest(string_split(text, chr(10))) as line from country_text),
@@ -195,7 +207,7 @@ select doc_id, name, abbreviation, null::double as pct, status from hs join info
 
 @check("f12_country_check_row", _F12, "country_text")
 def _(t):
-    return C.country_check_row(t.country_text)
+    return C.country_check_row(repaired(t.country_text))
 
 
 @check(
@@ -206,7 +218,7 @@ def _(t):
     "country_text",
 )
 def _(t):
-    return t.country_text.select("doc_id", F.coalesce(C.initial_country(F.col("text")), F.lit("US")).alias("country"))
+    return repaired(t.country_text).select("doc_id", F.coalesce(C.initial_country(F.col("text")), F.lit("US")).alias("country"))
 
 
 @check(
@@ -236,7 +248,7 @@ def _milestones_sql() -> str:
 
 @check("f14_milestones_text", _milestones_sql(), "milestone_text")
 def _(t):
-    return t.milestone_text.select("doc_id", F.explode(R.milestones_text(F.col("text"))).alias("milestone", "value"))
+    return repaired(t.milestone_text).select("doc_id", F.explode(R.milestones_text(F.col("text"))).alias("milestone", "value"))
 
 
 @check(
@@ -269,13 +281,13 @@ _DOCS = "(select doc_id, text from documents union all select doc_id + 1000000,
 
 @check("f18_is_oncology", f"select doc_id, regexp_matches(lower(text), {quote('|'.join(X.ONCOLOGY))}) as is_oncology from {_DOCS}", "fact_sheet")
 def _(t):
-    docs = t.documents.select("doc_id", "text").union(t.fact_sheet.select(F.col("doc_id") + 1000000, "text"))
+    docs = t.documents.select("doc_id", "text").union(repaired(t.fact_sheet).select(F.col("doc_id") + 1000000, "text"))
     return docs.select("doc_id", R.is_oncology(F.col("text")).alias("is_oncology"))
 
 
 @check("f19_has_checkpoint_inhibitor", f"select doc_id, regexp_matches(text, {quote('(?i)' + '|'.join(X.CHECKPOINT_INHIBITORS))}) as has_inhibitor from {_DOCS}", "fact_sheet")
 def _(t):
-    docs = t.documents.select("doc_id", "text").union(t.fact_sheet.select(F.col("doc_id") + 1000000, "text"))
+    docs = t.documents.select("doc_id", "text").union(repaired(t.fact_sheet).select(F.col("doc_id") + 1000000, "text"))
     return docs.select("doc_id", R.has_checkpoint_inhibitor(F.col("text")).alias("has_inhibitor"))
 
 
@@ -300,7 +312,7 @@ def _(t):
     "fact_sheet",
 )
 def _(t):
-    return t.fact_sheet.select("doc_id", R.screen_fail_rate(F.col("text")).alias("rate"), R.screen_fail_rate_strict(F.col("text")).alias("strict_rate"))
+    return repaired(t.fact_sheet).select("doc_id", R.screen_fail_rate(F.col("text")).alias("rate"), R.screen_fail_rate_strict(F.col("text")).alias("strict_rate"))
 
 
 @check(
@@ -369,7 +381,7 @@ def _(t):
 )
 def _(t):
     groups = R.not_reported_groups(F.col("text"), F.lit(None).cast("string"), R.immunogenicity(F.col("text")))
-    return t.fact_sheet.select("doc_id", F.array_join(groups, ", ").alias("assays"))
+    return repaired(t.fact_sheet).select("doc_id", F.array_join(groups, ", ").alias("assays"))
 
 
 @check(

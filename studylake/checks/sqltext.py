@@ -61,3 +61,10 @@ def tiers_(x: str, rules: Sequence[Rule]) -> str:
     """A case over plain rules (no guard or clean-up)."""
     arms = " ".join(f"when {match_(x, r.pattern)} then {strip_(extract_(x, r.pattern, r.group))}" for r in rules)
     return f"case {arms} end"
+
+
+def repaired_(x: str) -> str:
+    """Codes and words whose letters are set apart, closed up. Two passes close what overlaps; runs of letters are closed one by one."""
+    pair = f"regexp_replace(regexp_replace({x}, '([A-Z0-9]) ([A-Z0-9])', '\\1\\2', 'g'), '([A-Z0-9]) ([A-Z0-9])', '\\1\\2', 'g')"
+    codes = f"case when regexp_matches({x}, '[A-Z0-9](?: [A-Z0-9])+-[A-Z0-9]') then {pair} else {x} end"
+    return f"list_reduce(list_prepend({codes}, regexp_extract_all({codes}, '\\b[A-Za-z](?: [A-Za-z]){{3,}}\\b')), lambda t, run: replace(t, run, replace(run, ' ', '')))"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studylake.functions.stage import stage
+from studylake.functions.text import repaired
 from studylake.operators import fields as R
 from studylake.operators import resolve as H
 from studylake.operators import schedule as D
@@ -27,9 +28,9 @@ TRACKED = {
 
 
 def text_facts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Scalar facts of whole texts; row-local."""
+    """Scalar facts of whole texts, repaired first; row-local."""
     t = F.col(text)
-    facts = docs.select(
+    facts = repaired(docs, text).select(
         "doc_id",
         R.protocol_number(t).alias("alias"),
         R.phase(t).alias("phase"),
