@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from studylake.checks.registry import check
 from studylake.checks.sqltext import cells_, quote, squeeze_, strip_
 from studylake.functions.fixed import CHANGE_LOG, QUESTION_SECTIONS, SCHEDULE_END, SCHEDULE_START
+from studylake.functions.text import repaired
 from studylake.operators import structure as S
 
 _LINES = """lines as (select doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'n': i - 1, 't': x})) as u from documents)"""
@@ -135,12 +136,13 @@ def _(t):
     k, text = F.col("o_orderkey"), F.lit("Intro\n")
     text = F.concat(
         text,
-        F.when(k % 3 == 2, "Appendix: none").otherwise(F.concat(F.lit("Appendix "), k % 9, F.lit(": Clinical Laboratory Tests"))),
+        F.when(k % 3 == 2, "Appendix: none").otherwise(F.concat(F.lit("Appendix "), k % 9, F.lit(": C l i n i c a l Laboratory Tests"))),
         F.lit("\n CONFIDENTIAL\nHemoglobin "),
         F.col("o_custkey"),
         F.when(k % 3 == 0, "\nAppendix 3 next\nMore").otherwise("\n12\n Zinc "),
     )
-    return t.orders.select(k.alias("doc_id"), F.array_join(S.appendix_block(text), "\n").alias("lines"))
+    docs = repaired(t.orders.select(k.alias("doc_id"), text.alias("text")))
+    return docs.select("doc_id", F.array_join(S.appendix_block(F.col("text")), "\n").alias("lines"))
 
 
 @check(

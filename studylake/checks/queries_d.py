@@ -47,7 +47,7 @@ def _(t):
 
 @check(
     "d3_drop_nonlab",
-    f"select c.* from visit_cell c where exists (select 1 from visit_cell v where v.doc_id = c.doc_id and v.row_no = c.row_no and v.col_no = 0 and not {_non_lab('trim(v.text)')})",
+    f"select doc_id, row_no, col_no, text from (select *, bool_or(col_no = 0 and not {_non_lab('trim(text)')}) over (partition by doc_id, row_no) as keep from visit_cell) v where keep",
     "visit_cell",
 )
 def _(t):
@@ -56,7 +56,7 @@ def _(t):
 
 @check(
     "d4_drop_nonlab_keep_first",
-    f"with k as (select doc_id, row_no from visit_cell where col_no = 0 and not {_DROP}) select c.* from visit_cell c join k on c.doc_id = k.doc_id and c.row_no = k.row_no",
+    f"select doc_id, row_no, col_no, text from (select *, bool_or(col_no = 0 and not {_DROP}) over (partition by doc_id, row_no) as keep from visit_cell) v where keep",
     "visit_cell",
 )
 def _(t):
@@ -134,7 +134,20 @@ def _(t):
     return rows.select("doc_id", "line_no", F.array_join("cells", ";").alias("row"))
 
 
-@check("d10_drop_dividers_lookahead")
+_CONT = "({0} <> '' and (regexp_matches({0}, '^\\p{{Ll}}') or length({0}) < 20))"
+_DIVIDERS = rf"""{_HEAD}, dv0 as (select mx.*, hd.line_no is not null as is_header, row_number() over (partition by mx.doc_id order by mx.line_no) as rn, trim(raw[1]) as lr from mx left join hd on hd.doc_id = mx.doc_id and hd.line_no = mx.line_no),
+dv1 as (select *, bool_or(is_header) over (partition by doc_id order by line_no) as headed, kind <> 'separator' and len(fr) = 0 and {_CONT.format('lr')} as cont from dv0),
+dv2 as (select *, lead(lr) over v as l1, lead(lr, 2) over v as l2, lead(lr, 3) over v as l3, coalesce(lead(cont) over v, false) as c1, coalesce(lead(cont, 2) over v, false) as c2, coalesce(lead(cont, 3) over v, false) as c3 from dv1 window v as (partition by doc_id order by line_no)),
+dv3 as (select *, case when c1 and c2 and c3 then 3 when c1 and c2 then 2 when c1 then 1 else 0 end as takes from dv2),
+dv4 as (select *, trim(label || case when takes >= 1 then ' ' || l1 else '' end || case when takes >= 2 then ' ' || l2 else '' end || case when takes >= 3 then ' ' || l3 else '' end) as whole from dv3),
+dv5 as (select *, kind = 'other' and not is_header and headed and len(filled) = 0 and label <> '' and ((contains(regexp_replace(whole, '\s*\([^)]*\)\s*$', ''), ' ') and regexp_matches(regexp_replace(whole, '\s*\([^)]*\)\s*$', ''), {quote(X.DIVIDER_ENDING)}))
+ or (upper(whole) = whole and lower(whole) <> whole and contains(whole, ' ') and length(whole) between 4 and 50 and not {_non_lab('whole')})) as opens from dv4),
+st as (select distinct doc_id, cast(0 as bigint) as rn, 0 as remaining, false as divider from dv5 union all
+ select d.doc_id, d.rn, case when d.cont and st.remaining > 0 then st.remaining - 1 when d.opens then d.takes else 0 end, d.opens or (d.cont and st.remaining > 0) from st join dv5 d on d.doc_id = st.doc_id and d.rn = st.rn + 1),
+dv as (select dv5.*, st.divider from dv5 join st on st.doc_id = dv5.doc_id and st.rn = dv5.rn)"""
+
+
+@check("d10_drop_dividers_lookahead", f"with recursive {_DIVIDERS} select doc_id, line_no, label from dv where divider", "matrix_line")
 def _(t):
     rows = D.drop_dividers(D.with_headers(D.matrix_rows(t.matrix_line)))
     return rows.where("divider").select("doc_id", "line_no", "label")
@@ -166,7 +179,23 @@ def _(t):
     return out.select("doc_id", F.col("table_key").alias("table_ord"), "row_ord", "label", F.array_join("marks", ";").alias("marks"), "comment")
 
 
-@check("d13_assign_table_key")
+_TABLES = rf"""{_DIVIDERS}, ti as (select doc_id, line_no, is_header, last_value(case when kind = 'title' and not divider then label end ignore nulls) over (partition by doc_id order by line_no) as title from dv),
+hn as (select hd.doc_id, hd.line_no, dv.kind = 'day' as day, list_transform(hd.names, lambda v: case when ti.title is null then v else ti.title || ': ' || v end) as visits from hd join dv on dv.doc_id = hd.doc_id and dv.line_no = hd.line_no join ti on ti.doc_id = hd.doc_id and ti.line_no = hd.line_no),
+to_ as (select doc_id, visits, min(line_no) as table_ord from hn group by all),
+rw as (select dv.*, count(*) over (partition by dv.doc_id, array_to_string(list_filter(raw, lambda x: x <> ''), chr(1))) as times,
+ coalesce(last_value(case when hn.day then hn.visits end ignore nulls) over v, first_value(case when not hn.day then hn.visits end ignore nulls) over v) as visits from dv left join hn on hn.doc_id = dv.doc_id and hn.line_no = dv.line_no window v as (partition by dv.doc_id order by dv.line_no)),
+da as (select doc_id, line_no, label, visits, list_transform(range(len(visits)), lambda i: trim(coalesce(cells[i + 2], ''))) as marks, array_to_string(list_filter(list_transform(cells[len(visits) + 2:], lambda x: trim(x)), lambda x: x <> ''), ' ') as comment
+ from rw where kind = 'other' and not is_header and visits is not null and not divider and times < 3 and label <> '' and not (regexp_matches(label, {quote(X.PAGE_CAPTION)})
+  or (regexp_matches(label, '^[A-Za-z0-9]{{2,8}}$') and len(filled) > 0 and len(list_filter(filled, lambda x: not regexp_matches(lower(regexp_replace(x, '[/\s]+$', '')), {quote(_CAP)}))) = 0))),
+gr as (select *, coalesce(last_value(case when not (len(list_filter(marks, lambda m: m <> '')) = 0 and {_CONT.format('label')}) then line_no end ignore nulls) over v, min(line_no) over v) as row_ord from da window v as (partition by doc_id, visits order by line_no)),
+mg as (select doc_id, visits, row_ord, string_agg(label, ' ' order by line_no) as label, min_by(marks, line_no) as marks, array_to_string(list_filter(list(comment order by line_no), lambda x: x <> ''), ' ') as comment from gr group by doc_id, visits, row_ord)"""
+
+
+@check(
+    "d13_assign_table_key",
+    f"with recursive {_TABLES} select mg.doc_id, table_ord, row_ord, label, array_to_string(mg.visits, ';') as visits, array_to_string(marks, ';') as marks, comment from mg join to_ on to_.doc_id = mg.doc_id and to_.visits = mg.visits",
+    "matrix_line",
+)
 def _(t):
     rows = D.schedule_rows(t.matrix_line)
     return rows.select("doc_id", "table_ord", "row_ord", "label", F.array_join("visits", ";").alias("visits"), F.array_join("marks", ";").alias("marks"), "comment")
@@ -318,10 +347,9 @@ def _(t):
 
 def _combine(name: str, drop: str, key: str = "trim(coalesce(cs[0], '')) <> ''") -> str:
     return f"""with k as (select doc_id, {name} as name, table_ord, row_no, col_no, text from page_cell where text is not null),
-    sh as (select doc_id, name, max(col_no) + 1 as w, min(table_ord) as t from k group by all),
-    rw as (select doc_id, name, table_ord, row_no, map_from_entries(list((col_no, text))) as cs from k group by doc_id, name, table_ord, row_no),
-    b as (select r.doc_id, r.name, r.table_ord, r.row_no, r.cs, w, h.cs as hc from rw r join sh on r.doc_id = sh.doc_id and r.name = sh.name join rw h on h.doc_id = r.doc_id and h.name = r.name and h.row_no = 0 and h.table_ord = sh.t where r.row_no > 0),
-    f as (select *, coalesce(cs[0], '') as text from b), u as (select *, unnest(range(w)) as col_no from f where {key} and not ({drop}))
+    rw as (select doc_id, name, table_ord, row_no, max(col_no) + 1 as n, map_from_entries(list((col_no, text))) as cs from k group by doc_id, name, table_ord, row_no),
+    b as (select *, max(n) over v as w, arg_min(cs, table_ord) filter (where row_no = 0) over v as hc from rw window v as (partition by doc_id, name)),
+    f as (select *, coalesce(cs[0], '') as text from b where row_no > 0), u as (select *, unnest(range(w)) as col_no from f where {key} and not ({drop}))
     select doc_id, name, table_ord, row_no, col_no, coalesce(nullif(hc[cast(col_no as int)], ''), 'Column ' || (col_no + 1)) as "column", coalesce(cs[cast(col_no as int)], '') as text from u"""
 
 

@@ -25,6 +25,7 @@ def check(name: str, sql: str | None = None, *tables: str):
     return registry.check(name, sql, *tables)
 
 
+# The SQL has no look-ahead; no text has a digit where the rules forbid one.
 _NUMBER = [Rule(r.pattern.replace(r"(?!\d)", "")) for r in R.PROTOCOL_NUMBER]
 
 
@@ -49,7 +50,7 @@ def _col(t, fn, name):
     "fact_sheet",
 )
 def _(t):
-    return first_tier(rule_hits(repaired(t.fact_sheet), "doc_id", "text", {"protocol_number": _NUMBER, "phase": R.PHASE}), "doc_id")
+    return first_tier(rule_hits(repaired(t.fact_sheet), "doc_id", "text", {"protocol_number": R.PROTOCOL_NUMBER, "phase": R.PHASE}), "doc_id")
 
 
 @check(
@@ -61,7 +62,7 @@ def _(t):
     "fact_sheet",
 )
 def _(t):
-    return hit_rates(rule_hits(repaired(t.fact_sheet), "doc_id", "text", {"protocol_number": _NUMBER, "phase": R.PHASE}))
+    return hit_rates(rule_hits(repaired(t.fact_sheet), "doc_id", "text", {"protocol_number": R.PROTOCOL_NUMBER, "phase": R.PHASE}))
 
 
 @check("f2_protocol_number", f"select doc_id, {tiers_('text', _NUMBER)} as protocol_number from fact_sheet", "fact_sheet")
@@ -90,10 +91,10 @@ def _(t):
     k = F.col("o_orderkey")
     text = (
         F.when(k % 3 == 0, F.concat(F.lit("Protocol AB-1\n A Phase "), k % 4, F.lit("  study of item "), F.col("o_custkey"), F.lit(" in adults with\ngout Protocol Number: X")))
-        .when(k % 3 == 1, F.concat(F.lit("Intro\n LONG TERM SAFETY OF ITEM "), F.col("o_custkey"), F.lit(" IN ADULTS WITH GOUT Sponsor")))
+        .when(k % 3 == 1, F.concat(F.lit("Intro\n L O N G TERM SAFETY OF ITEM "), F.col("o_custkey"), F.lit(" IN ADULTS WITH GOUT Sponsor")))
         .otherwise(F.lit("Protocol Title: short Protocol Number: 1"))
     )
-    return t.orders.select(k.alias("doc_id"), R.title(text).alias("title"))
+    return repaired(t.orders.select(k.alias("doc_id"), text.alias("text"))).select("doc_id", R.title(F.col("text")).alias("title"))
 
 
 @check("f5_phase", f"select doc_id, trim(rtrim({tiers_('text', R.PHASE)}, ',')) as phase from fact_sheet", "fact_sheet")
@@ -144,7 +145,20 @@ def _(t):
     return _col(t, R.enrollment_first, "enrolled")
 
 
-@check("f10_enrollment_highest")
+def _line_numbers(pattern: str, group: int) -> str:
+    """Numbers of the lines by a pattern; what it must not touch is matched instead, on text whose other characters stand twice."""
+    plain = re.sub(r"\(\?<?!(\[[^\]]*\])\)", lambda m: f"(?:^|$|[^{m[1][1:]})", pattern)
+    line = "s" if plain == pattern else "regexp_replace(s, '([^A-Za-z0-9–-])', '\\1\\1', 'g')"
+    found = f"flatten(list_transform(lines, lambda s: regexp_extract_all({line}, {quote(plain)}, {group})))"
+    return f"list_filter(list_transform({found}, lambda n: try_cast(n as int)), lambda n: n between 10 and 100000 and n not between 1900 and 2100)"
+
+
+@check(
+    "f10_enrollment_highest",
+    f"with l as (select doc_id, list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, {quote(R.ENROLLMENT_LINE)})) as lines from fact_sheet) select doc_id, coalesce(list_max(flatten(["
+    + ", ".join(_line_numbers(p, g) for p, groups in R.ENROLLMENT_STRONG for g in groups) + f"])), list_max({_line_numbers(R.ENROLLMENT_WEAK, 1)})) as enrolled from l",
+    "fact_sheet",
+)
 def _(t):
     return _col(t, R.enrollment_highest, "enrolled")
 

@@ -5,10 +5,11 @@ import json
 from pyspark.sql import functions as F
 
 from studylake.checks.queries_f import _PARSE
-from studylake.checks.registry import check
+from studylake.checks.registry import REGISTRY, check
 from studylake.checks.sqltext import quote
 from studylake.functions import dates as DT
 from studylake.functions.fixed import COUNTRY_LANGUAGES, LABEL_DEFAULTS
+from studylake.functions.text import repaired
 from studylake.operators import countries as C
 from studylake.operators import fields as R
 from studylake.operators import resolve as H
@@ -77,10 +78,15 @@ def _(t):
     return _records(t).select("doc_id", path("PT.title").alias("title"), path("DESIGN.phase").alias("phase"), path("DESIGN.phase.deep").alias("missing"))
 
 
-@check("h5_defaults_applied")
+@check(
+    "h5_defaults_applied",
+    f"""select c.doc_id, case when {" or ".join(f"regexp_matches(text, {quote(p)})" for p in C.FIRST_VISIT)} then null else 'US' end as country_default, case when strict_rate is null then '30%' end as screen_fail_rate_default
+    from country_text c join ({REGISTRY["f22_screen_fail_rate"].sql}) f on f.doc_id = c.doc_id""",
+    "country_text",
+)
 def _(t):
-    docs = t.country_text.select("doc_id", C.initial_country(F.col("text")).alias("initial_country")).join(
-        t.fact_sheet.select("doc_id", R.screen_fail_rate_strict(F.col("text")).alias("screen_fail_rate")), "doc_id"
+    docs = repaired(t.country_text).select("doc_id", C.initial_country(F.col("text")).alias("initial_country")).join(
+        repaired(t.fact_sheet).select("doc_id", R.screen_fail_rate_strict(F.col("text")).alias("screen_fail_rate")), "doc_id"
     )
     return H.defaults_applied(docs)
 

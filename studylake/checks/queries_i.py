@@ -153,7 +153,8 @@ def _(t):
     return body.select("file_id", "role", "row_no", "col_no", I.is_placeholder(F.col("text")).alias("placeholder"))
 
 
-_PREV = f"""{_MATCH}, pr as (select s.file_id, s.role, trim(l.text) as row_label, column_key, trim(s.text) as value, {_PH.replace('text', 's.text')} as ph from specimen_cell s join mt on s.file_id = mt.file_id and s.role = split_part(column_key, ':', 1) and s.col_no = mt.col_index join specimen_cell l on l.file_id = s.file_id and l.role = s.role and l.row_no = s.row_no and l.col_no = 0 where s.row_no > 0 and trim(s.text) <> '' and trim(l.text) <> ''),
+_PREV = f"""{_MATCH}, body as (select *, max(case when col_no = 0 then trim(text) end) over (partition by file_id, role, row_no) as row_label from specimen_cell where row_no > 0),
+pr as (select s.file_id, s.role, row_label, column_key, trim(s.text) as value, {_PH.replace('text', 's.text')} as ph from body s join mt on s.file_id = mt.file_id and s.role = split_part(column_key, ':', 1) and s.col_no = mt.col_index where trim(s.text) <> '' and row_label <> ''),
 pc as (select mt.file_id, mt.column_key, coalesce(bool_or(not ph), false) as has_data from mt left join pr on mt.file_id = pr.file_id and mt.column_key = pr.column_key group by all)"""
 
 

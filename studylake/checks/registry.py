@@ -58,6 +58,8 @@ def with_tables(body: str, *names: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
