@@ -7,7 +7,7 @@ n - ceil(t n) of them in a partner. All steps are exact; none depends on a group
 2. Sharing filter. Of each set only the hashes under a threshold f(n) are looked at, a larger part for smaller sets.
    A set with a partner shares all but n - ceil(t n) of them with some other set. Batches send each hash once, packed by
    hash range; a hash that two sets of a batch have is known to be shared there and is sent as one mark. Range tasks
-   answer with counts. Most texts end here.
+   answer with counts, one row for a batch, which are added up by batch. Most texts end here.
 3. Index lists of the survivors. A list's key is (size band, hash). Members are ordered by frequency, then hash; only
    the prefix that must meet a partner is indexed, with its position.
 4. Answers from similar sets. Every member of a list is compared with the list's leader only. Members that link to it
@@ -122,7 +122,7 @@ def set_rows(ranges: int, k: int, percent: int):
 
 
 def shared_counts(parts: pa.Table) -> pa.Table:
-    """Of one hash range: how many of the hashes each set sent are in another set, too."""
+    """Of one hash range: how many of the hashes each set sent are in another set, too; one row a batch (data: sets, then counts)."""
     hashes, owners, batches = [], [], []
     for number, data in zip(parts.column("batch").to_pylist(), parts.column("data").to_pylist(), strict=True):
         n = len(data) // 12
@@ -136,10 +136,24 @@ def shared_counts(parts: pa.Table) -> pa.Table:
     marked = np.zeros(run[-1] + 1, bool)
     marked[run[owner == _MARK]] = True
     shared = ((np.bincount(run) > 1) | marked)[run] & (owner < _SILENT)
-    if not shared.any():
-        return pa.table({"batch": pa.array([], pa.int64()), "at": pa.array([], pa.int64()), "cnt": pa.array([], pa.int64())})
     keys, counts = np.unique(np.stack((number[shared], owner[shared].astype(np.int64))), axis=1, return_counts=True)
-    return pa.table({"batch": pa.array(keys[0]), "at": pa.array(keys[1]), "cnt": pa.array(counts)})
+    of = np.flatnonzero(np.concatenate(([True], keys[0, 1:] != keys[0, :-1]))) if len(counts) else np.empty(0, int)
+    parts_of = zip(np.split(keys[1], of[1:]), np.split(counts, of[1:]), strict=True) if len(counts) else ()
+    data = [at.astype("<u4").tobytes() + n.astype("<u4").tobytes() for at, n in parts_of]
+    return pa.table({"batch": pa.array(keys[0, of], pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def total_counts(parts: pa.Table) -> pa.Table:
+    """Of one batch: the counts of each of its sets over all ranges; sets without any are absent."""
+    at, n = [], []
+    for data in parts.column("data").to_pylist():
+        both = np.frombuffer(data, "<u4")
+        at.append(both[: len(both) // 2])
+        n.append(both[len(both) // 2 :])
+    total = np.bincount(np.concatenate(at), np.concatenate(n)).astype(np.int64)
+    found = np.flatnonzero(total)
+    batch = parts.column("batch")[0].as_py()
+    return pa.table({"batch": pa.array(np.full(len(found), batch)), "at": pa.array(found), "cnt": pa.array(total[found])})
 
 
 def set_members(k: int):
@@ -276,8 +290,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT, k: int = K) -> Data
     ranges = 4 * partitions_of(docs)
     sent = store(docs.mapInArrow(tidy(set_rows(ranges, k, percent)), "doc_id long, n long, c1 long, c2 long, batch long, at long, looked long, known long, range int, data binary"))
     rows = sent.df.filter("range is null").drop("range", "data")
-    answers = sent.df.filter("range is not null").select("range", "batch", "data").groupBy("range").applyInArrow(lambda t: shared_counts(t), "batch long, at long, cnt long")
-    answers = answers.groupBy("batch", "at").agg(F.sum("cnt").alias("cnt"))
+    answers = sent.df.filter("range is not null").select("range", "batch", "data").groupBy("range").applyInArrow(lambda t: shared_counts(t), "batch long, data binary")
+    answers = answers.groupBy("batch").applyInArrow(lambda t: total_counts(t), "batch long, at long, cnt long")
     sharing = F.col("known") + F.coalesce("cnt", F.lit(0)) >= F.greatest(F.lit(0), F.col("looked") - _missing(F.col("n"), percent))
     classes = rows.filter("n > 0 and doc_id is not null").join(answers, ["batch", "at"], "left")
     classes = store(classes.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.max(sharing).alias("sharing")))
