@@ -136,8 +136,8 @@ FIXTURES["fact_sheet"] = """
 select o_orderkey as doc_id, concat(
  case o_orderkey % 6 when 0 then concat('Protocol Number: H', cast(o_orderkey % 9 as string), 'X-MC-AB', cast(o_orderkey % 900 as string)) when 1 then concat('Trial ID: T R-', cast(o_orderkey as string), 'X')
   when 2 then concat('Clinical Protocol AB1-CD2-', cast(o_orderkey as string)) when 3 then concat('Study No ', 'ST', cast(o_orderkey + 1000 as string)) when 4 then concat('Protocol: Q', cast(o_orderkey + 100 as string)) when 5 then concat('Protocol Number: H', cast(o_orderkey % 9 as string), 'X-M C-A B', cast(o_orderkey % 900 as string)) else 'No code here' end, chr(10),
- case o_orderkey % 7 when 0 then concat('Compound: alphastat (LY', cast(o_orderkey + 1000000 as string), ')') when 1 then concat('Compound: LY', cast(o_orderkey + 1000000 as string)) when 2 then 'Compound: gammaline forte; tablets'
-  when 3 then 'Investigational Product: deltamab  injection' when 4 then concat('Also LY', cast(o_orderkey + 2000000 as string), ' was given') when 5 then 'A Study of Zetamide in adults' else 'A Study of Patients in adults' end, chr(10),
+ case o_orderkey % 7 when 0 then concat('Compound: alphastat (QX', cast(o_orderkey + 1000000 as string), ')') when 1 then concat('Compound: QX', cast(o_orderkey + 1000000 as string)) when 2 then 'Compound: gammaline forte; tablets'
+  when 3 then 'Investigational Product: deltamab  injection' when 4 then concat('Also QX', cast(o_orderkey + 2000000 as string), ' was given') when 5 then 'A Study of Zetamide in adults' else 'A Study of Patients in adults' end, chr(10),
  case o_orderkey % 5 when 0 then case when o_orderkey % 2 = 0 then 'Phase: 2b' else 'P h a s e: 2b' end when 1 then 'A Phase 3, Randomized design' when 2 then 'Phase III Trial' when 3 then 'In Phase IV' else 'phase 2' end, chr(10),
  case o_orderkey % 4 when 0 then concat('Therapeutic Area: ', o_orderpriority, ' (part of plan).') when 1 then concat('Condition: ', o_orderpriority, ' pain.') when 2 then concat('Primary Diagnosis: type ', cast(o_orderkey % 10 as string), ' diabetes') else 'Area unknown' end, chr(10),
  case o_orderkey % 11 when 0 then 'Indication: chronic migraine' when 1 then 'Indication (): severe  asthma.' when 2 then concat('Protocol Title: Long term safety in ', 'adults with gout', '.') else 'Nothing indicated' end, chr(10),
@@ -157,7 +157,7 @@ FIXTURES["country_text"] = """
 select o_orderkey as doc_id, concat(
  case o_orderkey % 4 when 0 then concat('For this trial ', a, ', Japan and USA will be in scope for country allocation. ') when 1 then concat('Some words on ', a, '. ') else '' end, chr(10),
  case o_orderkey % 3 when 0 then concat('Here consideration can be given to ', b, ' and Spain. ') else 'Nothing further. ' end, chr(10),
- case o_orderkey % 5 when 0 then concat('Based on DSB countries in scope include ', b, ' and US', chr(10), 'US at target 60%', chr(10), c, ' at target 10%', chr(10), 'Other IBU: Italy and Poland.') else 'No list. ' end, chr(10),
+ case o_orderkey % 5 when 0 then concat('Based on XYZ countries in scope include ', b, ' and US', chr(10), 'US at target 60%', chr(10), c, ' at target 10%', chr(10), 'Other XBU: Italy and Poland.') else 'No list. ' end, chr(10),
  case o_orderkey % 6 when 0 then concat('| Country Check | e.g. United States, Canada | note | ', a, ' and ', b, ' will be in scope |') when 1 then concat('| Country Check | e.g. Canada | note | ', b, ' for consideration |') when 2 then concat('Country check: ', c) else 'no row' end, chr(10),
  case o_orderkey % 7 when 0 then concat('12 sites in ', c, '.') when 1 then concat('The trial is sited all in the ', a, '.') when 2 then concat('A ', b, '-only design.') when 3 then concat('About 340 subjects will be enrolled across ', a, ' and ', c, '.') else 'End.' end, chr(10),
  case o_orderkey % 8 when 0 then concat('Country where initial FPV planned: ', b) when 1 then concat('First country for FPV: ', c, '; later others') when 2 then 'Initial FPV is planned in US.' else 'none' end) as text

@@ -70,11 +70,11 @@ def _(t):
     return _col(t, R.protocol_number, "protocol_number")
 
 
-_COMPOUND = rf"""select doc_id, coalesce(nullif(trim(regexp_extract(text, '(?i)Compound\s*:\s*([A-Za-z][A-Za-z0-9\s\-]+?)\s*\(\s*(?:LY\d{{6,8}}|[A-Z0-9]+)\s*\)', 1)), ''),
- nullif(regexp_extract(text, '(?i)Compound\s*:\s*(LY\d{{6,8}})\b', 1), ''),
+_COMPOUND = rf"""select doc_id, coalesce(nullif(trim(regexp_extract(text, '(?i)Compound\s*:\s*([A-Za-z][A-Za-z0-9\s\-]+?)\s*\(\s*(?:[A-Z0-9]+)\s*\)', 1)), ''),
+ nullif(regexp_extract(text, '(?i)Compound\s*:\s*([A-Z]{{2}} ?\d{{6,8}})\b', 1), ''),
  nullif(trim(regexp_replace({squeeze_("regexp_extract(text, 'Compound" + chr(92) + "s*:" + chr(92) + "s*([^;" + chr(92) + "n]{2,60})', 1)")}, '\s*\(.*', '')), ''),
  nullif({squeeze_("regexp_extract(text, 'Investigational" + chr(92) + "s+(?:Product|Agent|Drug)(?:" + chr(92) + "(s" + chr(92) + "))?:" + chr(92) + "s*([^;" + chr(92) + "n]+)', 1)")}, ''),
- nullif(regexp_extract(text, 'LY\d{{6,8}}', 0), ''),
+ nullif(regexp_extract(text, '\b[A-Z]{{2}} ?\d{{6,8}}', 0), ''),
  case when regexp_extract(text, '(?:Effect|Study|Trial|Comparison|Safety|Efficacy|Bioequivalence)(?:\s+of\s+)([A-Z][a-z]{{4,}}(?:\s*[A-Z][a-z]{{2,}})?)', 1) not in ('', 'Patients') then regexp_extract(text, '(?:Effect|Study|Trial|Comparison|Safety|Efficacy|Bioequivalence)(?:\s+of\s+)([A-Z][a-z]{{4,}}(?:\s*[A-Z][a-z]{{2,}})?)', 1) end) as compound from fact_sheet"""
 
 
@@ -177,11 +177,11 @@ def _frag(pattern: str, group: int = 0, source: str = "text") -> str:
     return extract_(source, pattern, group)
 
 
-_PLAN = "case when regexp_matches(text, '(?i)Based on DSB countries in scope include') then substring(text, instr(lower(text), 'based on dsb countries in scope include'), 3000) else '' end"
+_PLAN = f"case when regexp_matches(text, {quote(C._PLAN)}) then substring(text, instr(text, regexp_extract(text, {quote(C._PLAN)}, 0))) else '' end"
 _F11 = rf"""{_AL}, {_INFO}, d as (select doc_id, text, {_PLAN} as chunk from country_text),
 seg as (select doc_id, unnest(regexp_extract_all(chunk, '(?i)([^\n]*?target\s*(\d+)%)', 1)) as line, unnest(regexp_extract_all(chunk, '(?i)([^\n]*?target\s*(\d+)%)', 2)) as n from d),
 fr as (select doc_id, {_frag(C._IN_SCOPE)} as f, 1 as step, null::double as pct, false as cons from d union all select doc_id, {_frag('(?i)consideration can be given to ([^.;]+)', 1)}, 2, null, true from d
- union all select doc_id, line, 3, cast(n as double) / 100, false from seg union all select doc_id, chunk, 4, null, false from d union all select doc_id, {_frag('(?i)Other IBU[^.]*', 0, 'chunk')}, 5, null, true from d),
+ union all select doc_id, line, 3, cast(n as double) / 100, false from seg union all select doc_id, chunk, 4, null, false from d union all select doc_id, {_frag(C._UNITS, 0, 'chunk')}, 5, null, true from d),
 h as (select distinct doc_id, k as key, step, pct, cons from fr join als on regexp_matches(f, e)),
 a as (select * from h union all select distinct d.doc_id, k, 6, null, false from d join als on regexp_matches(text, e) where d.doc_id not in (select doc_id from h))
 select doc_id, name, abbreviation, min_by(pct, step) filter (where pct is not null) as pct, bool_or(cons) as consideration from a join info on a.key = info.key group by all"""
@@ -192,10 +192,10 @@ def _(t):
     return C.country_mentions(repaired(t.country_text))
 
 
-_F13 = rf"""d as (select doc_id, text, substring({_PLAN}, 1, 2000) as chunk from SRC),
+_F13 = rf"""d as (select doc_id, text, {_PLAN} as chunk from SRC),
 p1 as (select doc_id, unnest(regexp_extract_all(text, '(?i)(\w+(?:\s+\w+)?)\s+at\s+target\s+(\d+)%', 1)) as nm, unnest(regexp_extract_all(text, '(?i)(\w+(?:\s+\w+)?)\s+at\s+target\s+(\d+)%', 2)) as n from d),
 p5 as (select doc_id, unnest(regexp_extract_all(text, '(?i)(\d+)\s*(?:sites?|patients?|subjects?)\s*(?:in|for)\s+(\w+(?:\s+\w+)?)', 2)) as nm, unnest(regexp_extract_all(text, '(?i)(\d+)\s*(?:sites?|patients?|subjects?)\s*(?:in|for)\s+(\w+(?:\s+\w+)?)', 1)) as n from d),
-f as (select doc_id, {_frag(C._IN_SCOPE)} as f, false as cons from d union all select doc_id, {_frag('(?i)(?:Other )?IBU[^.]*')}, true from d union all select doc_id, chunk, false from d),
+f as (select doc_id, {_frag(C._IN_SCOPE)} as f, false as cons from d union all select doc_id, {_frag(C._UNITS)}, true from d union all select doc_id, chunk, false from d),
 h1 as (select doc_id, k as key, cast(n as double) / 100 as pct, false as cons, null::int as sites from p1 join als on lower(a) = lower(rtrim(trim(nm), '.'))
  union all select doc_id, k, null, cons, null from f join als on regexp_matches(f, e) union all select doc_id, k, null, false, cast(n as int) from p5 join als on lower(a) = lower(rtrim(trim(nm), '.'))),
 s6 as (select doc_id, unnest(list_concat(regexp_extract_all(text, '\b([A-Za-z][\w\s]{{0,25}}?)-only\b', 1), regexp_extract_all(text, '(?i)(?:will be|is)\s+(?:sited\s+)?(?:all\s+)?(?:only\s+)?in\s+(?:the\s+)?([A-Za-z][\w\s]{{0,25}}?)(?:[\.,;]|\s+and\b|$)', 1))) as nm from d where doc_id not in (select doc_id from h1)),
@@ -389,7 +389,7 @@ def _(t):
 
 @check(
     "f30_not_reported_groups",
-    r"""select doc_id, array_to_string(list_filter([case when regexp_matches(lower(text), '\bpk\b|pharmacokinetic') then 'PK' end, case when regexp_matches(lower(text), '\bly ?\d{3,}\b') then 'LY compound assay' end,
+    r"""select doc_id, array_to_string(list_filter([case when regexp_matches(lower(text), '\bpk\b|pharmacokinetic') then 'PK' end, case when regexp_matches(text, '\b[A-Z]{2} ?\d{6,8}\b') then 'compound assay' end,
      case when regexp_matches(lower(text), '\bada\b|anti[- ]drug antibod') then 'ADA' end, case when contains(text, 'needed? Yes') or contains(text, 'assessment will be performed') then 'Immunogenicity' end, case when contains(lower(text), 'biomarker') then 'Biomarkers' end], lambda x: x is not null), ', ') as assays from fact_sheet""",
     "fact_sheet",
 )

@@ -76,7 +76,8 @@ def _entries(keys: Column, step: int, pct: Column | None = None, consideration:
 
 
 _IN_SCOPE = r"(?i)(?:will be in scope|countries in scope include|in scope for country allocation)[^.]*\."
-_PLAN = r"(?i)Based on DSB countries in scope include"
+_PLAN = r"(?i)Based on \w+ countries in scope include"  # any committee
+_UNITS = r"(?:(?i:Other)\s+)?\b[A-Z]*BU\b[^.]*"  # other business units
 
 
 def _plan(text: Column) -> Column:
@@ -139,7 +140,7 @@ def country_mentions(docs: DataFrame, text: str = "text") -> DataFrame:
         exact_hits(F.regexp_extract(t, r"(?i)consideration can be given to ([^.;]+)", 1)).alias("_maybe"),
         chunk.alias("_chunk"),
         exact_hits(chunk).alias("_named"),
-        exact_hits(F.regexp_extract(chunk, r"(?i)Other IBU[^.]*", 0)).alias("_ibu"),
+        exact_hits(F.regexp_extract(chunk, _UNITS, 0)).alias("_units"),
     )
     shares = _per_match(
         F.col("_chunk"), r"(?i)([^\n]*?target\s*(\d+)%)", lambda line, n: _entries(exact_hits(line), 3, n.cast("double") / 100)
@@ -150,7 +151,7 @@ def country_mentions(docs: DataFrame, text: str = "text") -> DataFrame:
         shares,
         _entries(F.col("_named"), 4),
         # Countries named for consideration further down are those of the plan itself.
-        _entries(F.array_intersect("_ibu", F.array_union("_named", F.array_union("_scope", "_maybe"))), 5, consideration=True),
+        _entries(F.array_intersect("_units", F.array_union("_named", F.array_union("_scope", "_maybe"))), 5, consideration=True),
     )
     rows = staged.select("doc_id", "_t", phrases.alias("_e"))
     entries = F.when(F.size("_e") > 0, _numbered(F.col("_e"))).otherwise(_entries(exact_hits(F.col("_t")), 6))
@@ -168,7 +169,7 @@ def country_section(docs: DataFrame, text: str = "text") -> DataFrame:
             lambda name, n: _entries(_one(country_of_name(name)), 1, n.cast("double") / 100),
         ),
         _entries(exact_hits(F.regexp_extract(t, _IN_SCOPE, 0)), 2),
-        _entries(exact_hits(F.regexp_extract(t, r"(?i)(?:Other\s+)?IBU[^.]*", 0)), 3, consideration=True),
+        _entries(exact_hits(F.regexp_extract(t, _UNITS, 0)), 3, consideration=True),
         _entries(exact_hits(_plan(t)), 4),
         _per_match(
             t,

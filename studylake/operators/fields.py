@@ -148,6 +148,10 @@ def protocol_number(text: Column) -> Column:
     return tiered_extract(text, PROTOCOL_NUMBER)
 
 
+# A sponsor's code of a compound: two letters and a number.
+COMPOUND_CODE = r"[A-Z]{2} ?\d{6,8}"
+
+
 def compound(text: Column) -> Column:
     long_enough = lambda v: F.when(F.length(v) > 2, v)
     plain = squeeze(tier_value(text, Rule(r"Compound\s*:\s*([^;\n]{2,60})")))
@@ -167,12 +171,12 @@ def compound(text: Column) -> Column:
         ),
     )
     return F.coalesce(
-        tier_value(text, Rule(r"(?i)Compound\s*:\s*([A-Za-z][A-Za-z0-9\s\-]+?)\s*\(\s*(?:LY\d{6,8}|[A-Z0-9]+)\s*\)")),
-        tier_value(text, Rule(r"(?i)Compound\s*:\s*\w+\s*\(\s*(LY\d{6,8})\s*\)")),
-        tier_value(text, Rule(r"(?i)Compound\s*:\s*(LY\d{6,8})\b")),
+        tier_value(text, Rule(r"(?i)Compound\s*:\s*([A-Za-z][A-Za-z0-9\s\-]+?)\s*\(\s*(?:[A-Z0-9]+)\s*\)")),
+        tier_value(text, Rule(rf"(?i)Compound\s*:\s*\w+\s*\(\s*({COMPOUND_CODE})\s*\)")),
+        tier_value(text, Rule(rf"(?i)Compound\s*:\s*({COMPOUND_CODE})\b")),
         long_enough(strip(F.regexp_replace(plain, r"\s*\(.*", ""))),
         long_enough(squeeze(labelled)),
-        tier_value(text, Rule(r"LY\d{6,8}", 0)),
+        tier_value(text, Rule(rf"\b{COMPOUND_CODE}", 0)),
         F.when(~in_title.isin(*TITLE_STOP_WORDS) & (F.length(in_title) > 4), in_title),
     )
 
@@ -422,7 +426,7 @@ def not_reported_groups(text: Column, compound_name: Column, immuno: Column) ->
     low = F.lower(text)
     groups = F.array(
         F.when(low.rlike(r"\bpk\b|pharmacokinetic"), "PK"),
-        F.when(low.rlike(r"\bly ?\d{3,}\b"), F.coalesce(compound_name, F.lit("LY compound assay"))),
+        F.when(text.rlike(rf"\b{COMPOUND_CODE}\b"), F.coalesce(compound_name, F.lit("compound assay"))),
         F.when(low.rlike(r"\bada\b|anti[- ]drug antibod"), "ADA"),
         F.when(F.lower(immuno).startswith("yes"), "Immunogenicity"),
         F.when(low.contains("biomarker"), "Biomarkers"),

@@ -96,7 +96,7 @@ def test_queries_find_their_sections_anywhere(spark):
 
 def test_blocks_end_at_headings_only(spark):
     filler = "plain words of the plan\n" * 300
-    plan = "Based on DSB countries in scope include\n" + filler + "- Japan at target 30%\n\n## 40. Other\nItaly\n"
+    plan = "Based on XYZ countries in scope include\n" + filler + "- Japan at target 30%\n\n## 40. Other\nItaly\n"
     docs = spark.createDataFrame([(1, plan)], "doc_id int, text string")
     for found in (countries.country_mentions(docs), countries.country_section(docs)):
         assert [(r.name, r.pct) for r in found.collect()] == [("Japan", 0.3)]
