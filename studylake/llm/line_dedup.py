@@ -36,19 +36,24 @@ def _line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(trimmed).alias("a"), F.xxhash64(F.lit(1), trimmed).alias("b"))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = FLOOR) -> DataFrame:
-    """Boilerplate lines of ``pages`` (host, text): host, lines (their keys, in order)."""
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = FLOOR, by_text: bool = False) -> DataFrame:
+    """Boilerplate lines of ``pages`` (host, text): host, lines (their keys, in order). ``by_text``: pages of a host with equal
+    texts count as one, so that copies do not make each other's lines boilerplate; a line is then sent with a hash of its page."""
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _line_key))
-    seen = pages.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("total")).select(F.col("host").alias("h"), "total")
+    sent, rows = pages.select("host", F.explode(lines).alias("line")), pages.select("host")
+    if by_text:
+        page = F.xxhash64("text").alias("page")
+        sent, rows = pages.select("host", F.explode(lines).alias("line"), page).distinct(), pages.select("host", page).distinct()
+    seen = sent.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    totals = rows.groupBy("host").agg(F.count("*").alias("total")).select(F.col("host").alias("h"), "total")
     over = seen.join(totals, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("total"))
     return over.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = FLOOR, host: str = "source", text: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = FLOOR, host: str = "source", text: str = "text", by_text: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``; all columns stay, n_lines and n_dropped (in a struct
     ``line_dedup``) are added."""
-    found = store(boilerplate(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ratio, min_pages)).df
+    found = store(boilerplate(docs.select(F.col(host).alias("host"), F.col(text).alias("text")), ratio, min_pages, by_text)).df
     here, there, own = unused(docs, "line_host"), unused(docs, "line_keys"), unused(docs, "line_kept")
     found = found.select(F.col("host").alias(here), F.col("lines").alias(there))
     joined = docs.join(found, F.col(host).eqNullSafe(F.col(here)), "left")
