@@ -1,6 +1,9 @@
 """From raw documents to tokens: quality, boilerplate lines, near duplicates, benchmark items, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of documents.
+
+Defined cases: a document with a null or empty text stays through all stages and is its end id alone; one without doc_id stays, since no
+decision can name it; rows that share a doc_id stay or go together; without labels no document is rejected; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their sources' boilerplate lines; n_chars follows the text."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Documents without their sources' boilerplate lines; n_chars follows the text. Copies are still there, so equal texts of a
+    source count once: else two copies in a small source would take each other's lines."""
+    return line_dedup.drop_boilerplate(docs, by_text=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
