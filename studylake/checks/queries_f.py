@@ -349,13 +349,52 @@ def _(t):
     return sections.select("doc_id", R.enrollment_section(F.col("text")).alias("e")).select("doc_id", "e.*")
 
 
-@check("f25_qa_fields")
+_RANK = "case " + " ".join(f"when contains(lower(x), {quote(w)}) then {i}" for i, (w, _) in enumerate(X.AREA_KEYWORDS)) + " end"
+_NAMES = "(select string_agg(distinct k, '; ' order by k) from als where regexp_matches(r.d, e))"
+_YES = "case when low like 'yes%' or contains(low, {0}) then true when low like 'no%' {1} then false end"
+_QA = f"""{_AL}, r as (select o_orderkey as doc_id, l_linenumber as n, lower(trim(s)) as sec, lower(e) as el, d, lower(d) as low, concat_ws(' ', d, e) as x from qa),
+v as (select *, coalesce({_num('d', ['N\\s*=\\s*(\\d+)'])}, {_num('d', ['(?i)(?:Approximately|About|Total of)\\s+(\\d+)'])}) as planned,
+ {_num('d', ['(?i)discontinuation\\s+rate\\s+(?:of\\s+)?(?:approximately\\s+)?(\\d+)\\s*%'])} / 100 as gone, {_num('d', ['(?i)screen\\s*fail(?:ure)?\\s*(?:rate)?\\s*[:=]?\\s*(\\d+)\\s*%'])} / 100 as failed,
+ {_num('d', ['(?i)' + p for p in R.MIN_AGE])} as age, case sec when 'peds' then 0 when 'population' then 1 when 'inclusion' then 2 when 'eligibility' then 3 end as place,
+ case when regexp_matches(low, 'n/a|only participants over 18|adults only') then false when regexp_matches(low, 'yes|adolescent|pediatric') then true end as by_word,
+ {_YES.format("'will be collected'", "")} as immuno, {_YES.format("'collect'", "or low like 'n/a%'")} as genetic, nullif(regexp_extract(d, '(?i)Phase\\s+(\\d+[a-z]?)', 1), '') as phase, {_RANK} as kw, {_AREA.replace('text', 'x')} as area,
+ case when sec in ('country check', 'overview') then {_NAMES} end as names from r)
+select doc_id, min_by(planned, n) filter (sec in ('stats', 'objectives / stats') and planned is not null) as planned,
+ coalesce(max_by(failed, n) filter (sec in ('stats', 'objectives / stats') and failed is not null), 0.3::double) as screen_fail_rate, coalesce(max_by(gone, n) filter (sec in ('stats', 'objectives / stats') and gone is not null), 0.1::double) as early_discontinuation_rate,
+ min_by('protocol_approval=' || regexp_extract(d, 'Protocol Approval: (\\S+)', 1) || '; fpv=' || regexp_extract(d, 'First Patient Visit: (\\w+ \\d+)', 1), n) filter (sec = 'timeline') as milestones,
+ max_by(immuno, n) filter (sec = 'design' and contains(el, 'immunogenicity') and immuno is not null) as immunogenicity_needed, max_by(genetic, n) filter (sec = 'design' and regexp_matches(el, 'genetics|pgx') and genetic is not null) as genetics_collected,
+ coalesce((min_by(age, place * 100 + n) filter (age is not null and place is not null)) < 18, max_by(by_word, n) filter (sec = 'peds' and by_word is not null)) as includes_pediatric,
+ max_by(phase, n) filter (sec = 'title' and contains(el, 'phase') and phase is not null) as phase, min_by(area, kw * 100 + n) filter (sec in ('title', 'overview') and kw is not null) as area,
+ coalesce(max_by(names, n) filter (sec = 'country check' and names is not null), max_by(names, n) filter (sec = 'overview' and regexp_matches(el, 'regulatory|country') and names is not null), '') as countries from v group by doc_id"""
+
+
+@check("f25_qa_fields", f"with {_QA}", "qa")
 def _(t):
     from studylake.plans.design import qa_fields
 
     return qa_fields(S.question_rows(t.question_line))
 
 
+def _spellings() -> str:
+    word = lambda n: re.escape(n).replace(chr(92) + " ", " ")
+    rows = [(k, i, n, rf"\b{word(n)}\b", rf"{word(n)}[^.]*?(\d+)\s*%", rf"(?is)(.{{0,20}}{word(n)}.{{0,50}})") for k, names in X.ALIASES.items() for i, n in enumerate(names)]
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else quote(x) for x in row) + ")" for row in rows)
+
+
+@check(
+    "f25_qa_countries",
+    f"""with sp as (select * from (values {_spellings()}) v(k, i, a, whole, share, near)), h as (select o_orderkey as doc_id, k, i,
+     {{'pct': try_cast(nullif(regexp_extract(d, share, 1), '') as int) / 100, 'maybe': regexp_matches(lower(regexp_extract(d, near, 1)), 'consideration|low probability')}} as c
+     from qa join sp on contains(d, a) and regexp_matches(d, whole) where lower(trim(s)) = 'country check')
+    select doc_id, k as key, min_by(c, i).pct as pct, min_by(c, i).maybe as consideration from h group by doc_id, k""",
+    "qa",
+)
+def _(t):
+    from studylake.plans.design import qa_countries
+
+    return qa_countries(S.question_rows(t.question_line))
+
+
 @check("f26_design_record")
 def _(t):
     from studylake.plans.design import design_record

@@ -434,18 +434,14 @@ def not_reported_groups(text: Column, compound_name: Column, immuno: Column) ->
     return F.array_distinct(F.array_compact(groups))
 
 
-def reflex_by_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, test, value)``: the default where a keyword is in the text, else ``No``."""
+def reflex_by_text(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``(doc_id, test, value)``: the default where a keyword is in the document, else ``No``. ``texts`` are whole documents or their
+    lines, since no keyword goes over a line's end; what lines say combines map-side, and no document is put together."""
     low = F.lower(F.col(text))
-    pairs = [
-        F.struct(
-            F.lit(test).alias("test"),
-            (F.when(low.rlike("|".join(words)), default) if default else F.lit(None).cast("string")).alias("value"),
-        )
-        for test, (default, words) in REFLEX_BY_TEXT.items()
-    ]
-    rows = docs.select("doc_id", F.inline(F.array(*pairs)))
-    return rows.select("doc_id", "test", F.coalesce("value", F.lit("No")).alias("value"))
+    hits = {test: low.rlike("|".join(words)) for test, (default, words) in REFLEX_BY_TEXT.items() if default}
+    found = texts.groupBy("doc_id").agg(*[F.bool_or(hit).alias(test) for test, hit in hits.items()])
+    value = lambda test, default: F.when(F.col(f"`{test}`"), default).otherwise("No") if default else F.lit("No")
+    return found.select("doc_id", F.inline(F.array(*[F.struct(F.lit(t).alias("test"), value(t, d).alias("value")) for t, (d, _) in REFLEX_BY_TEXT.items()])))
 
 
 def reflex_by_presence(labels: DataFrame) -> DataFrame:
