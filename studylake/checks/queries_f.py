@@ -447,7 +447,7 @@ def _(t):
     "protocol_line",
 )
 def _(t):
-    return R.reflex_by_text(S.join_lines(t.protocol_line, ["doc_id"]))
+    return R.reflex_by_text(t.protocol_line)
 
 
 @check(
