@@ -78,9 +78,10 @@ def to_pages(blocks: DataFrame) -> DataFrame:
         F.col("html"),
         F.lit("Table").alias("text"),
     )
-    return blocks.groupBy("doc_id", "page").agg(
+    pages = blocks.withColumn("page", F.col("page").cast("int")).groupBy("doc_id", "page").agg(
         F.first("text").alias("text"), F.sort_array(F.collect_list(F.when(F.col("html").isNotNull(), block))).alias("blocks")
     )
+    return pages.select(*[F.col(f.name).cast(f.dataType) for f in PAGE.fields if f.name in pages.columns])
 
 
 CATALOG_LISTS = ("protocol_fields", "design_fields", "rfp_engine_fields")
