@@ -340,7 +340,16 @@ def _(t):
     return rows.select("doc_id", "category", "test", F.array_join(F.transform("visits", lambda v: v.cast("string")), ",").alias("visits"))
 
 
-@check("d27_schedule_json")
+@check(
+    "d27_schedule_json",
+    f"""with {_PANEL}, te as (select doc_id, list({{'name': name, 'is_panel': is_panel, 'visits': visits}} order by name, is_panel, visits) as l from tests group by doc_id),
+    pn as (select doc_id, list({{'name': name, 'is_standalone': is_standalone, 'tests': tests}} order by panel_no, name, is_standalone) as l from rp group by doc_id),
+    vt as (select doc_id, visit, list(distinct name order by name) as names from (select doc_id, name, unnest(visits) as visit from tests) u group by doc_id, visit),
+    vs as (select doc_id, list({{'visit_number': visit, 'tests': names}} order by visit) as l from vt group by doc_id), ds as (select doc_id from te union select doc_id from pn union select doc_id from vs)
+    select ds.doc_id, '{{"schedule_of_activities":{{' || coalesce('"tests":' || to_json(te.l), '') || '}},"lab_appendix":{{' || coalesce('"panels":' || to_json(pn.l), '') || '}}' || coalesce(',"master_schedule":' || to_json(vs.l), '') || '}}' as json
+    from ds left join te on te.doc_id = ds.doc_id left join pn on pn.doc_id = ds.doc_id left join vs on vs.doc_id = ds.doc_id""",
+    "mapper_line",
+)
 def _(t):
     return D.schedule_json(*D.schedule_parts(t.mapper_line))
 

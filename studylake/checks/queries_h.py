@@ -202,7 +202,7 @@ TRACKED = {
 def findings(t):
     """Facts of each sheet, as tracked findings: the flagship document job."""
     text = F.col("text")
-    facts = t.fact_sheet.select(
+    facts = repaired(t.fact_sheet).select(
         "doc_id",
         R.protocol_number(text).alias("alias"),
         R.phase(text).alias("phase"),
@@ -223,7 +223,22 @@ def _found(t):
     return t.candidate.select("doc_id", "field").distinct().join(best, ["doc_id", "field"], "left").withColumn("status", status)
 
 
-@check("h14_to_findings")
+def _findings_sql() -> str:
+    part = lambda name, columns, key="doc_id": f"(select {key}, {columns} from ({REGISTRY[name].sql}) q)"
+    facts = [
+        part("f2_protocol_number", "protocol_number as alias"), part("f5_phase", "phase"), part("f6_area_by_label", "area as label_area"),
+        part("f7_area_by_keyword", "area as word_area", "doc_id - 1000000 as doc_id"), part("f9_enrollment_first", "enrolled"), part("f22_screen_fail_rate", "strict_rate"), part("f17_min_age", "min_age"),
+    ]
+    exprs = {c: c for c in TRACKED} | {
+        "area": "coalesce(label_area, word_area)", "screened": "case when enrolled > 0 then cast(round_even(enrolled / (1 - coalesce(strict_rate, 0.3::double)), 0) as bigint) end",
+    }
+    rows = ", ".join(f"{{'ord': {i}, 'field': {quote(n)}, 'value': nullif(trim(cast({exprs[c]} as varchar)), ''), 'source': {quote(src)}}}" for i, (c, (n, src)) in enumerate(TRACKED.items()))
+    joins = " ".join(f"left join {f} p{i} using (doc_id)" for i, f in enumerate(facts))
+    return f"""select doc_id, r.ord as ord, r.field as field, r.value as value, r.source as source, case when r.value is null then 'review' when r.source like 'computed%' then 'computed' else 'filled' end as status
+    from (select doc_id, unnest([{rows}]) as r from (select doc_id from fact_sheet) b {joins}) x"""
+
+
+@check("h14_to_findings", _findings_sql(), "fact_sheet")
 def _(t):
     return findings(t)
 
