@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from studylake.checks import registry
+from studylake.checks.queries_c import _SECT
 from studylake.checks.sqltext import extract_, match_, quote, repaired_, squeeze_, strip_, tiers_
 from studylake.functions import dates as DT
 from studylake.functions import fixed as X
@@ -395,7 +396,20 @@ def _(t):
     return qa_countries(S.question_rows(t.question_line))
 
 
-@check("f26_design_record")
+def _record_sql() -> str:
+    part = lambda name: f"(select * from ({registry.REGISTRY[name].sql}) q)"
+    area = "coalesce(" + ", ".join(f"case when length({v}) > 3 then {v} end" for v in (f"rtrim({strip_(extract_('text', r.pattern, r.group))}, '.')" for r in R.AREA_DESIGN)) + ")"
+    return f"""with {_SECT}, {_AL}, {_INFO}, src as (select doc_id, text from full_sec where number = '38'), {_F13.replace('SRC', 'src')},
+    co as (select doc_id, string_agg(name, '; ' order by consideration, name) as countries from sect group by doc_id),
+    ms as (select doc_id, string_agg(milestone || '=' || value, '; ' order by milestone) as milestones from {part("f15_milestones_section")} m group by doc_id),
+    ar as (select doc_id, min_by(area, line_no) as area from (select doc_id, line_no, {area} as area from design_line where regexp_matches(text, '(?i)Therapeutic\\s+Area|TA:')) l where area is not null group by doc_id)
+    select d.doc_id, planned, coalesce(screen_fail_rate, 0.3::double) as screen_fail_rate, coalesce(early_discontinuation_rate, 0.1::double) as early_discontinuation_rate, milestones, immunogenicity_needed, genetics_collected, includes_pediatric,
+      cast(null as varchar) as phase, area, countries
+    from (select distinct doc_id from full_sec) d left join {part("f24_enrollment_section")} e on e.doc_id = d.doc_id left join {part("f23_design_flags")} f on f.doc_id = d.doc_id
+    left join co on co.doc_id = d.doc_id left join ms on ms.doc_id = d.doc_id left join ar on ar.doc_id = d.doc_id"""
+
+
+@check("f26_design_record", _record_sql(), "design_line")
 def _(t):
     from studylake.plans.design import design_record
 
