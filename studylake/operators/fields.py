@@ -148,37 +148,26 @@ def protocol_number(text: Column) -> Column:
     return tiered_extract(text, PROTOCOL_NUMBER)
 
 
-# A sponsor's code of a compound: two letters and a number.
+# How a compound is named, in the order of trust. A sponsor's code is two capital letters and a number.
 COMPOUND_CODE = r"[A-Z]{2} ?\d{6,8}"
+_NAMED = lambda v: F.length(v) > 2
+COMPOUND = [
+    Rule(r"(?i)Compound\s*:\s*([A-Za-z][A-Za-z0-9\s\-]+?)\s*\(\s*(?:[A-Z0-9]+)\s*\)"),
+    Rule(rf"(?i)Compound\s*:\s*\w+\s*\(\s*({COMPOUND_CODE})\s*\)"),
+    Rule(rf"(?i)Compound\s*:\s*({COMPOUND_CODE})\b"),
+    Rule(r"Compound\s*:\s*([^;\n]{2,60})", 1, lambda v: strip(F.regexp_replace(squeeze(v), r"\s*\(.*", "")), _NAMED),
+    Rule(r"Investigational\s+(?:Product|Agent|Drug)(?:\(s\))?:\s*([^;\n]+)", 1, squeeze, _NAMED),
+    Rule(r"(?:Drug|Agent|Product)(?:\s+under\s+investigation)?:\s*([^;\n]+)", 1, squeeze, _NAMED),
+    Rule(rf"\b{COMPOUND_CODE}", 0),
+    Rule(
+        r"(?:Effect|Study|Trial|Comparison|Safety|Efficacy|Bioequivalence)(?:\s+of\s+|\s+of\s+the\s+|\s+of\s+a\s+|\s+of\s+an\s+)([A-Z][a-z]{4,}(?:\s*[A-Z][a-z]{2,})?)",
+        guard=lambda v: ~v.isin(*TITLE_STOP_WORDS) & (F.length(v) > 4),
+    ),
+]
 
 
 def compound(text: Column) -> Column:
-    long_enough = lambda v: F.when(F.length(v) > 2, v)
-    plain = squeeze(tier_value(text, Rule(r"Compound\s*:\s*([^;\n]{2,60})")))
-    labelled = tiered_extract(
-        text,
-        [
-            Rule(r"Investigational\s+(?:Product|Agent|Drug)(?:\(s\))?:\s*([^;\n]+)"),
-            Rule(r"(?:Drug|Agent|Product)(?:\s+under\s+investigation)?:\s*([^;\n]+)"),
-        ],
-    )
-    opening = text
-    in_title = tier_value(
-        opening,
-        Rule(
-            r"(?:Effect|Study|Trial|Comparison|Safety|Efficacy|Bioequivalence)(?:\s+of\s+|\s+of\s+the\s+|\s+of\s+a\s+|\s+of\s+an\s+)"
-            r"([A-Z][a-z]{4,}(?:\s*[A-Z][a-z]{2,})?)"
-        ),
-    )
-    return F.coalesce(
-        tier_value(text, Rule(r"(?i)Compound\s*:\s*([A-Za-z][A-Za-z0-9\s\-]+?)\s*\(\s*(?:[A-Z0-9]+)\s*\)")),
-        tier_value(text, Rule(rf"(?i)Compound\s*:\s*\w+\s*\(\s*({COMPOUND_CODE})\s*\)")),
-        tier_value(text, Rule(rf"(?i)Compound\s*:\s*({COMPOUND_CODE})\b")),
-        long_enough(strip(F.regexp_replace(plain, r"\s*\(.*", ""))),
-        long_enough(squeeze(labelled)),
-        tier_value(text, Rule(rf"\b{COMPOUND_CODE}", 0)),
-        F.when(~in_title.isin(*TITLE_STOP_WORDS) & (F.length(in_title) > 4), in_title),
-    )
+    return tiered_extract(text, COMPOUND)
 
 
 def title(text: Column) -> Column:
