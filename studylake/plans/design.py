@@ -118,7 +118,7 @@ def design_record(lines: DataFrame) -> DataFrame:
     direct = _pick(sections, "39", "enrollment").select("doc_id", planned.alias("direct"))
     scanned = (
         top.select("doc_id", "start_line", planned.alias("e"))
-        .where("e.planned is not null")
+        .where("e.planned > 0")
         .groupBy("doc_id")
         .agg(F.min_by("e", "start_line").alias("scanned"))
     )

@@ -85,6 +85,8 @@ def test_queries_find_their_sections_anywhere(spark):
     filler = ["plain words"] * 200
     design = lines_df(spark, [*filler, "39. Planned Enrollment", "Approximately 250 patients will be enrolled.", "45. Timeline", "FPV: 3-March-2026", "50. Other"])
     assert [r.planned for r in run_check("f24_enrollment_section", design_line=design)] == [250]
+    bare = lines_df(spark, ["39. Planned Enrollment", "10000 patients are planned", "45. Timeline"])
+    assert [r.planned for r in run_check("f24_enrollment_section", design_line=bare)] == [0]  # four digits at most, as its SQL reads them
     assert [(r.milestone, r.value) for r in run_check("f15_milestones_section", design_line=design)] == [("FPV", "3-March-2026")]
     rows = ["| Clinical Laboratory Tests | Comments |", "|---|---|", *[f"| Analyte {i} HIV | blinded |" for i in range(90)], "", "| Other | Comments |", "|---|---|", "| HIV | blinded |"]
     protocol = lines_df(spark, [*filler, *rows])
