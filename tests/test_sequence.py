@@ -113,3 +113,28 @@ def test_automaton_over_blocks(spark):
     got = automaton(rows.where("doc_id < 9"), ["doc_id"], "line_no", F.col("c"), 4, step, flag, "hit", 7)
     long = automaton(rows.where("doc_id = 9"), ["doc_id"], "line_no", F.col("c"), 4, step, flag, "hit")
     assert {(r.doc_id, r.line_no) for part in (got, long) for r in part.collect()} == want
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_short_documents_need_one_exchange(spark):
+    from studylake.operators.structure import pipe_rows, section_lines
+
+    lines = spark.createDataFrame([(d, i, t) for d in range(3) for i, t in enumerate(["1. A", "| a | b |", "|---|---|", "| c | |", "text"])], "doc_id int, line_no int, text string")
+    assert exchanges(pipe_rows(lines)) == 1
+    assert exchanges(section_lines(lines)) == 1
+    assert [(r.line_no, r.is_header, r.cells) for r in pipe_rows(lines).where("doc_id = 1").orderBy("line_no").collect()] == [(1, True, ["a", "b"]), (3, False, ["c", ""])]
+
+
+def test_documents_of_one_block_and_longer_ones(spark):
+    """Documents of at most 40 positions as one block each, some as several blocks: the same values."""
+    df = spark.createDataFrame(rows("mixed"), "doc_id int, n int, v int, r boolean")
+    v = F.col("v")
+    specs = {f"{kind}_{frame}": (kind, v, frame) for kind in ("sum", "max", "first", "last") for frame in ("upto", "before", "after", "all")}
+    specs |= {f"{kind}_since": (kind, v, F.col("r")) for kind in ("sum", "min", "first", "last")}
+    short, mixed, long = (sorted(map(repr, carry(df, ["doc_id"], "n", specs, b).collect())) for b in (10**6, 30, BLOCK))
+    assert short == mixed == long
+    near = [sorted(map(repr, neighbours(df, ["doc_id"], "n", ["n", "v"], 2, 3, b).collect())) for b in (10**6, 30, BLOCK)]
+    assert near[0] == near[1] == near[2]
