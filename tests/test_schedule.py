@@ -77,3 +77,21 @@ def test_row_filters(spark):
         "Vital signs": (True, True), "Follow-up blood sample": (False, False), "Prolactin": (False, False), "ECG": (True, True),
         "Serum pregnancy test diary": (False, False),
     }
+
+
+def test_short_and_long_documents_alike(spark):
+    """The same documents far down a long one give the same rows."""
+    lines = lines_df(spark, {d: lines for d, (lines, _) in DOCUMENTS.items()})
+    far = lines.select("doc_id", (F.col("line_no") + 4094).alias("line_no"), "text")
+    read = lambda part, by: sorted((r.doc_id, r.table_ord - by, r.row_ord - by, r.label, *r.visits, *r.marks) for r in D.schedule_rows(part).collect())
+    assert read(lines, 0) == read(far, 4094)
+    named = lambda part, by: sorted((r.doc_id, r.line_no - by, r.divider, *(r.header.visits if r.header else [])) for r in D.named_rows(D.matrix_rows(part)).collect())
+    assert named(lines, 0) == named(far, 4094)
+
+
+def test_rows_are_split_once(spark):
+    """A filter on what is read out of a row does not read it again."""
+    lines = lines_df(spark, {d: lines for d, (lines, _) in DOCUMENTS.items()})
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(D.matrix_rows(lines).where("kind <> 'separator'").select("doc_id", "cells")).count("split(") == 1
+    assert D.drop_repeated(D.matrix_rows(lines))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
