@@ -4,8 +4,8 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from studylake.sources.readers import existing_keys
-from studylake.sources.sinks import BUCKET, append_new, key_bucket
+from studylake.sources.readers import existing_keys, read_content
+from studylake.sources.sinks import BUCKET, append_new, key_bucket, pack_content
 
 
 def test_append_keeps_largest_and_adds_nothing_twice(spark, tmp_path):
@@ -54,3 +54,13 @@ def test_append_to_a_table_without_buckets(spark, tmp_path):
     spark.createDataFrame([("a", 1)], "alias string, v int").write.parquet(path)
     append_new(spark, spark.createDataFrame([("a", 2), ("b", 3)], "alias string, v int"), path)
     assert sorted((r.alias, r.v) for r in spark.read.option("mergeSchema", "true").parquet(path).collect()) == [("a", 1), ("b", 3)]
+
+
+def test_contents_are_packed_into_few_files(spark, tmp_path):
+    texts = {f"doc_id={i}.md": "line one\r\nline two\n" * (i % 3) for i in range(200)}
+    rows = spark.createDataFrame(list(texts.items()), "path string, content string").coalesce(2)
+    pack_content(rows, str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) <= 2
+    assert {r.path: r.content for r in read_content(spark, str(tmp_path / "packed"), packed=True).collect()} == texts
+    (tmp_path / "one.md").write_text("a\nb\n")
+    assert [(r.format, r.content) for r in read_content(spark, str(tmp_path / "one.md")).collect()] == [("markdown", "a\nb\n")]
