@@ -28,3 +28,11 @@ def test_a_section_line_carries_its_heading_once(spark):
     df = S.parse_sections(lines)
     assert " AS _h#" not in plan(df)
     assert [(r.number, r.title, r.text) for r in df.sort("start_line").collect()] == [("45", "Timeline", "FPV: May\nLPV: | June"), ("46", "Next", "")]
+
+
+def test_rows_are_split_after_their_header_is_asked_for(spark):
+    rows = ["| Lab | Note |", "|---|---|", "| a | b | c |", "| \t| |", "|", "| d", "text", "| Other |", "| e |"]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(rows)], "doc_id long, line_no int, text string").repartition(1)
+    df = S.pipe_rows(lines).where(~F.col("is_header") & (F.col("header")[0] == "Lab"))
+    assert " AS _c#" not in plan(df)
+    assert [(r.line_no, r.cells) for r in df.sort("line_no").collect()] == [(2, ["a", "b"]), (5, ["d", ""])]
