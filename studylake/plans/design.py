@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from studylake.functions.fixed import AREA_KEYWORDS
 from studylake.functions.stage import stage
 from studylake.operators.countries import country_section, exact_hits
 from studylake.operators.fields import (
-    area_by_keyword,
     area_in_design,
     design_flags,
     enrollment_section,
@@ -19,22 +19,23 @@ from studylake.operators.fields import (
 )
 from studylake.operators.structure import parse_sections, question_rows
 
-_SECTION = F.lower(F.trim("sub_section"))
+def _first(value: str) -> Column:
+    return F.min_by(value, F.when(F.col(value).isNotNull(), F.col("line_no")))
 
 
-def _first(value: Column, asked: Column) -> Column:
-    return F.min_by(value, F.when(asked & value.isNotNull(), F.col("line_no")))
-
-
-def _last(value: Column, asked: Column) -> Column:
-    return F.max_by(value, F.when(asked & value.isNotNull(), F.col("line_no")))
+def _last(value: str) -> Column:
+    return F.max_by(value, F.when(F.col(value).isNotNull(), F.col("line_no")))
 
 
 def qa_fields(rows: DataFrame) -> DataFrame:
     """Fields of question tables, one row per document: enrollment and rates, milestones,
-    countries, flags, phase and area, each from the rows of its sub-section."""
-    section, detail, low = F.lower(F.trim("sub_section")), F.col("detail"), F.lower("detail")
-    element = F.lower("element")
+    countries, flags, phase and area, each from the rows of its sub-section.
+
+    A value is read once, and only from rows that are asked for it; the choice among rows compares line numbers."""
+    section = F.lower(F.trim("sub_section"))
+    words = F.when(section.isin("title", "overview"), F.lower(F.concat_ws(" ", "detail", "element")))
+    asked = rows.select("doc_id", "line_no", "detail", section.alias("section"), F.lower("detail").alias("low"), F.lower("element").alias("element"), words.alias("words"))
+    section, detail, low, element = (F.col(c) for c in ("section", "detail", "low", "element"))
     stats = section.isin("stats", "objectives / stats")
     design = section.isin("design", "design / ct material")
     planned = F.coalesce(first_number(detail, [r"N\s*=\s*(\d+)"]), first_number(detail, [r"(?i)(?:Approximately|About|Total of)\s+(\d+)"]))
@@ -42,38 +43,43 @@ def qa_fields(rows: DataFrame) -> DataFrame:
     fail = first_number(detail, [r"(?i)screen\s*fail(?:ure)?\s*(?:rate)?\s*[:=]?\s*(\d+)\s*%"]) / F.lit(100)
     immuno = F.when(low.startswith("yes") | low.contains("will be collected"), True).when(low.startswith("no"), False)
     genetic = F.when(low.startswith("yes") | low.contains("collect"), True).when(low.startswith("no") | low.startswith("n/a"), False)
-    age = min_age(detail)
     by_word = F.when(low.rlike("n/a|only participants over 18|adults only"), False).when(low.rlike("yes|adolescent|pediatric"), True)
     place = F.when(section == "peds", 0).when(section == "population", 1).when(section == "inclusion", 2).when(section == "eligibility", 3)
-    aged = F.min_by(age, F.when(age.isNotNull() & place.isNotNull(), F.struct(place, F.col("line_no"))))
-    words = F.when(section.isin("title", "overview"), F.concat_ws(" ", "detail", "element"))
-    dates = F.map_entries(milestones_qa(F.when(section == "timeline", detail)))
-    return rows.groupBy("doc_id").agg(
-        _first(planned, stats).alias("planned"),
-        F.coalesce(_last(fail, stats), F.lit(0.30)).alias("screen_fail_rate"),
-        F.coalesce(_last(drop, stats), F.lit(0.10)).alias("early_discontinuation_rate"),
-        F.min_by(F.array_join(F.transform(dates, lambda e: F.concat_ws("=", e["key"], e["value"])), "; "), F.when(section == "timeline", F.col("line_no"))).alias("milestones"),
-        _last(immuno, design & element.contains("immunogenicity")).alias("immunogenicity_needed"),
-        _last(genetic, design & element.rlike("genetics|pgx")).alias("genetics_collected"),
-        F.coalesce(aged < 18, _last(by_word, section == "peds")).alias("includes_pediatric"),
-        _last(F.when(detail.rlike(r"(?i)Phase\s+(\d+[a-z]?)"), F.regexp_extract(detail, r"(?i)Phase\s+(\d+[a-z]?)", 1)), (section == "title") & element.contains("phase")).alias("phase"),
+    phase = r"(?i)Phase\s+(\d+[a-z]?)"
+    dates = F.array_join(F.transform(F.map_entries(milestones_qa(detail)), lambda e: F.concat_ws("=", e["key"], e["value"])), "; ")
+    values = {
+        "planned": F.when(stats, planned),
+        "fail": F.when(stats, fail),
+        "drop": F.when(stats, drop),
+        "milestones": F.when(section == "timeline", dates),
+        "immuno": F.when(design & element.contains("immunogenicity"), immuno),
+        "genetic": F.when(design & element.rlike("genetics|pgx"), genetic),
+        "place": place,
+        "age": F.when(place.isNotNull(), min_age(detail)),
+        "by_word": F.when(section == "peds", by_word),
+        "phase": F.when((section == "title") & element.contains("phase") & detail.rlike(phase), F.regexp_extract(detail, phase, 1)),
+        "keyword": F.when(F.col("words").isNotNull(), F.coalesce(*[F.when(F.col("words").contains(w), i) for i, (w, _) in enumerate(AREA_KEYWORDS)])),
+        "checked": F.when(section == "country check", exact_hits(detail)),
+        "named": F.when((section == "overview") & element.rlike("regulatory|country"), exact_hits(detail)),
+    }
+    # each row's values are put together before they are compared: nothing below reads a text again
+    read = asked.select("doc_id", "line_no", "section", *[v.alias(c) for c, v in values.items()]).withColumn("named", F.when(F.size("named") > 0, F.col("named")))
+    none = F.array().cast("array<string>")
+    return read.groupBy("doc_id").agg(
+        _first("planned").alias("planned"),
+        F.coalesce(_last("fail"), F.lit(0.30)).alias("screen_fail_rate"),
+        F.coalesce(_last("drop"), F.lit(0.10)).alias("early_discontinuation_rate"),
+        F.min_by("milestones", F.when(F.col("section") == "timeline", F.col("line_no"))).alias("milestones"),
+        _last("immuno").alias("immunogenicity_needed"),
+        _last("genetic").alias("genetics_collected"),
+        F.coalesce(F.min_by("age", F.when(F.col("age").isNotNull(), F.struct("place", "line_no"))) < 18, _last("by_word")).alias("includes_pediatric"),
+        _last("phase").alias("phase"),
         # The first keyword in dictionary order over all title and overview rows.
-        F.min_by(area_by_keyword(words), F.when(area_by_keyword(words).isNotNull(), _keyword_rank(words))).alias("area"),
-        F.array_join(F.array_sort(F.coalesce(
-            F.nullif(_last(exact_hits(detail), section == "country check"), F.array().cast("array<string>")),
-            _last(F.when(F.size(exact_hits(detail)) > 0, exact_hits(detail)), (section == "overview") & element.rlike("regulatory|country")),
-            F.array().cast("array<string>"),
-        )), "; ").alias("countries"),
+        F.get(F.array(*[F.lit(area) for _, area in AREA_KEYWORDS]), F.min("keyword")).alias("area"),
+        F.array_join(F.array_sort(F.coalesce(F.nullif(_last("checked"), none), _last("named"), none)), "; ").alias("countries"),
     )
 
 
-def _keyword_rank(text: Column) -> Column:
-    from studylake.functions.fixed import AREA_KEYWORDS
-
-    low = F.lower(text)
-    return F.coalesce(*[F.when(low.contains(w), i) for i, (w, _) in enumerate(AREA_KEYWORDS)])
-
-
 def qa_countries(rows: DataFrame) -> DataFrame:
     """``(doc_id, key, pct, consideration)`` of the check row of question tables: the first share
     after the name within its sentence, and a word of doubt close to it."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from studylake.operators import fields as R
 from studylake.operators import structure as S
+from studylake.plans.design import qa_fields
 
 
 def plan(df):
@@ -36,3 +37,12 @@ def test_rows_are_split_after_their_header_is_asked_for(spark):
     df = S.pipe_rows(lines).where(~F.col("is_header") & (F.col("header")[0] == "Lab"))
     assert " AS _c#" not in plan(df)
     assert [(r.line_no, r.cells) for r in df.sort("line_no").collect()] == [(2, ["a", "b"]), (5, ["d", ""])]
+
+
+def test_answers_are_read_from_their_own_rows_only(spark):
+    rows = [(1, 1, "Country Check", "x", "Japan and Spain"), (1, 2, "Overview", "Regulatory scope", "France; lupus"), (1, 3, "Stats", "x", "N=40 and screen fail rate: 7%"), (1, 4, "Peds", "x", "aged 12 to 17 years"), (2, 1, "Overview", "country", "Brazil"), (2, 2, "Stats", "x", None)]
+    df = qa_fields(spark.createDataFrame(rows, "doc_id long, line_no int, sub_section string, element string, detail string").repartition(1))
+    assert plan(df).count("regexp_extract_all") == 2
+    found = {r.doc_id: r for r in df.collect()}
+    assert (found[1].planned, found[1].screen_fail_rate, found[1].includes_pediatric, found[1].countries) == (40, 0.07, True, "Japan; Spain")
+    assert (found[2].planned, found[2].screen_fail_rate, found[2].includes_pediatric, found[2].area, found[2].countries) == (None, 0.3, None, None, "Brazil")
