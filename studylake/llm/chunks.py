@@ -37,15 +37,22 @@ class ChunkTable:
         distinct: set[str] = set()
         for chunks in texts:
             distinct.update(chunks)
+        known = dict(zip(distinct, self.get(list(distinct)), strict=True))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in texts]
+
+    def get(self, distinct: list[str]) -> list[bytes]:
+        """The packed ids of each of these chunks, which differ."""
+        out = list(map(self.new.get, distinct))
+        asked = [i for i, ids in enumerate(out) if ids is None]
         missing = []
-        for c in distinct.difference(self.new):
-            ids = self.old.get(c)
+        for i in asked:
+            out[i] = ids = self.old.get(distinct[i])
             if ids is None:
-                missing.append(c)
+                missing.append(i)
             else:
-                self.new[c] = ids
-        self.new.update(zip(missing, self.segment(missing), strict=True))
-        out = [b"".join(map(self.new.__getitem__, chunks)) for chunks in texts]
+                self.new[distinct[i]] = ids
+        for i, ids in zip(missing, self.segment([distinct[i] for i in missing]), strict=True):
+            out[i] = self.new[distinct[i]] = ids
         if len(self.new) > self.limit:
             self.old, self.new = self.new, {}
         return out

@@ -17,6 +17,7 @@ documents that share a key follow each other, in the order of a hash of their te
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -28,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,39 +44,79 @@ HEAD = "<8sIQQII"
 RUN = re.compile(r"\s\s")
 BEFORE_WORD = re.compile(r"(?<=\S)(?= \S)")
 UNSURE = "\x00\x1c\x1d\x1e\x1f\x85\u180e"  # white space to Python or to the tokenizer only, and the cutting mark
+WORD = re.compile(r" ?\S+")
+LINES = 200  # words encoded as one text
 MARK_ALONE = re.compile(r"[.,](?<![^\W\d_].)[ \n]")  # a mark that does not follow a letter
 
 
 class Encoder:
     """A byte-level tokenizer with its chunk table. Its pre-tokens never continue over a space between two
-    other characters, so texts are cut there and each distinct chunk is encoded once."""
+    other characters, so texts are cut there and each distinct chunk is encoded once. Chunks are numbered and their
+    ids put together for whole groups of texts, without a Python step per chunk; new words go to the library by the line."""
 
     def __init__(self, file: str, width: int):
         from tokenizers import Tokenizer
 
-        self.library, self.kind = Tokenizer.from_file(file), "H" if width == 2 else "I"
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs in parallel
+        self.library, self.width, self.kind = Tokenizer.from_file(file), width, "H" if width == 2 else "I"
         self.apart = self.library.normalizer is None and type(self.library.pre_tokenizer).__name__ == "ByteLevel"
         self.table = ChunkTable(self._segment, 200_000)
-
-    def _segment(self, chunks: list[str]) -> Iterator[bytes]:
-        step = 20_000
-        for i in range(0, len(chunks), step):
-            for e in self.library.encode_batch_fast(chunks[i : i + step], add_special_tokens=False):
-                yield array(self.kind, e.ids).tobytes()
+        feed = self.library.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if self.apart and len(feed) == 1 else None
+
+    def _segment(self, chunks: list[str]) -> list[bytes]:
+        """The packed ids of each chunk. Words are encoded as lines of a text: a line feed between them is a pre-token and an id of
+        its own, which stands nowhere else."""
+        out: list[bytes] = [b""] * len(chunks)
+        words = [i for i, c in enumerate(chunks) if WORD.fullmatch(c)] if self.feed is not None else []
+        alone = set(range(len(chunks))).difference(words)
+        for i in range(0, len(words), LINES * 100):
+            lines = [words[j : j + LINES] for j in range(i, min(i + LINES * 100, len(words)), LINES)]
+            for of, e in zip(lines, self.library.encode_batch_fast(["\n".join(map(chunks.__getitem__, x)) for x in lines], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, f"<u{self.width}")
+                ends, data = (np.flatnonzero(ids == self.feed) * self.width).tolist(), ids.tobytes()
+                if len(ends) != len(of) - 1:
+                    alone.update(of)
+                    continue
+                for k, a, b in zip(of, [0, *(x + self.width for x in ends)], [*ends, len(data)], strict=True):
+                    out[k] = data[a:b]
+        rest = sorted(alone)
+        for i in range(0, len(rest), LINES * 100):
+            part = rest[i : i + LINES * 100]
+            for k, e in zip(part, self.library.encode_batch_fast([chunks[k] for k in part], add_special_tokens=False), strict=True):
+                out[k] = array(self.kind, e.ids).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return self.table.encode(texts, self._chunks)
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.apart:
-            return [text]
-        if not text or any(c in text for c in UNSURE):
-            return [text] if text else []
+        """The packed ids of each text; callers pass a few megabytes at a time."""
+        cut = [(i, marked) for i, t in enumerate(texts) if t and (marked := self._marked(t)) is not None]
+        whole = [i for i in set(range(len(texts))).difference(i for i, _ in cut) if texts[i]]
+        out = [b""] * len(texts)
+        for i, ids in zip(whole, self._segment([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        if cut:
+            chunks = pc.split_pattern(pa.array(["\x00".join(m for _, m in cut)], pa.large_string()), "\x00").flatten().dictionary_encode()
+            found = self.table.get(chunks.dictionary.to_pylist())
+            ids = np.frombuffer(b"".join(found), f"<u{self.width}")
+            sizes = np.array([len(x) for x in found], np.int64) // self.width
+            at, of = np.cumsum(sizes) - sizes, chunks.indices.to_numpy()
+            each = sizes[of]
+            ends = np.cumsum(each)
+            ids = ids[np.repeat(at[of] - (ends - each), each) + np.arange(ends[-1])]
+            last = ends[np.cumsum([m.count("\x00") + 1 for _, m in cut]) - 1].tolist()
+            for (i, _), a, b in zip(cut, [0, *last], last, strict=False):
+                out[i] = ids[a:b].tobytes()
+        return out
+
+    def _marked(self, text: str) -> str | None:
+        """``text`` with a mark between its chunks; none if it must stay whole."""
+        if not self.apart or any(c in text for c in UNSURE):
+            return None
         if text[0] == " " or text[-1] == " " or RUN.search(text):
-            return BEFORE_WORD.split(text)
+            return "\x00".join(BEFORE_WORD.split(text))
         if not MARK_ALONE.search(text):  # a mark between a letter and white space is a pre-token of its own
             text = text.replace(". ", "\x00. ").replace(", ", "\x00, ").replace(".\n", "\x00.\n")
-        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00")
+        return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
 
 
 @lru_cache(2)
