@@ -12,9 +12,11 @@ n - ceil(t n) of them in a partner. All steps are exact; none depends on a group
    the prefix that must meet a partner is indexed, with its position.
 4. Answers from similar sets. Every member of a list is compared with the list's leader only. Members that link to it
    have one answer as far as components go, so pairs inside a component are never compared again.
-5. Block skipping. Lists that hold one component are skipped whole. In the others only pairs of different components are
-   compared, if their sizes and their positions in the list leave them enough room. No pair that could link two components
-   is left out.
+5. Block skipping. Lists that hold one component are skipped whole. Texts of the others get a second index, of their whole sets:
+   step 3 sees a part of a set, in which a text of a crowd has only a part of the hashes that are its own, so that its prefix
+   reaches what the whole crowd shares; among all its hashes those of its own come first and mostly fill the prefix. Only pairs
+   of different components are compared, if their sizes and their positions in a list leave them enough room. No pair that
+   could link two components is left out: two texts that link meet in a list of step 3, and in a list of their whole sets.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; a row without doc_id gets its
 set's size and a null component and links with nothing; equal rows are equal sets; rows that share a doc_id are one node.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from studylake.llm.common import named, partitions_of, store, tidy, without
+from studylake.llm.common import Stored, named, partitions_of, store, tidy, without
 from studylake.llm.components import components
 from studylake.llm.shingles import K, slices, text_shingles, words
 
@@ -211,17 +213,18 @@ def index_entries(percent: int, whole: set[int]):
                     parts.append((np.full(m, key, np.int32), u[:m].view(np.int64), np.full(m, doc), np.full(m, n), np.full(m, m)))
                     size += m
                 if size > 200_000:
-                    yield together(parts)
+                    yield _together(parts, ["band", "h", "doc", "n", "looked"])
                     parts, size = [], 0
             if parts:
-                yield together(parts)
-
-    def together(parts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=["band", "h", "doc", "n", "looked"])
+                yield _together(parts, ["band", "h", "doc", "n", "looked"])
 
     return rows
 
 
+def _together(parts: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], names=names)
+
+
 @F.arrow_udf(T.LongType())
 def _common(a: pa.Array, b: pa.Array) -> pa.Array:
     pairs = zip(a, b, strict=True)
@@ -250,17 +253,44 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b")
 
 
+def whole_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All hashes of each set."""
+    for batch in batches:
+        parts, size = [], 0
+        for doc, n, root, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "n", "root", "members")), strict=True):
+            parts.append((np.frombuffer(data, np.int64), np.full(n, doc), np.full(n, n), np.full(n, root)))
+            size += n
+            if size > 200_000:
+                yield _together(parts, ["h", "doc", "n", "root"])
+                parts, size = [], 0
+        if parts:
+            yield _together(parts, ["h", "doc", "n", "root"])
+
+
+def whole_lists(sets: DataFrame, still: DataFrame, percent: int) -> Stored:
+    """Index lists over the whole sets of the texts ``still`` (doc, root)."""
+    entries = store(sets.join(still, "doc").mapInArrow(whole_entries, "h long, doc long, n long, root long"))
+    seen = entries.df.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    lists = store(_prefixes(entries.df.withColumn("looked", F.col("n")), seen, ["h"], [], percent))
+    entries.drop()
+    return lists
+
+
+def _prefixes(entries: DataFrame, seen: DataFrame, key: list[str], per: list[str], percent: int) -> DataFrame:
+    """Of each set the entries that must meet a partner, with their position (pos). Hashes are ordered by how many sets have
+    them (``seen``: key, df), then by hash; those that no other set has come first. ``per``: what orders are kept apart by."""
+    own = Window.partitionBy(*per, "doc")
+    found = entries.join(seen, key).withColumn("shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "h")))
+    pos = F.col("rank") + F.col("looked") - F.col("shared")
+    return found.withColumn("pos", pos).filter(F.col("pos") <= _missing(F.col("n"), percent) + 1).drop("df", "shared", "rank")
+
+
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links between different sets (doc, n, members), enough for all components: a, b."""
     whole = {r.band for r in sets.mapInArrow(thin_bands(percent), "band int").distinct().collect()}  # a few dozen bands at most
     entries = store(sets.mapInArrow(index_entries(percent, whole), "band int, h long, doc long, n long, looked long"))
     seen = entries.df.groupBy("band", "h").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("band", "doc")
-    prefix = _missing(F.col("n"), percent) + 1
-    found = entries.df.join(seen, ["band", "h"]).withColumn("shared", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "h")))
-    alone = F.col("looked") - F.col("shared")
-    # in order of frequency, the hashes that no other set has come first
-    lists = store(found.filter(F.col("rank") + alone <= prefix).select("band", "h", "doc", "n", (F.col("rank") + alone).alias("pos"), "looked"))
+    lists = store(_prefixes(entries.df, seen, ["band", "h"], ["band"], percent))
     entries.drop()
 
     leaders = lists.df.groupBy("band", "h").agg(F.min(F.struct("doc", "n", "pos", "looked")).alias("y")).select("band", "h", "y.*")
@@ -269,16 +299,19 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     first = store(verified(stars, sets, percent))
     roots = store(components(first.df))
 
-    rooted = lists.df.join(roots.df.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    rooted = store(rooted)
+    rooted = lists.df.join(roots.df.select(F.col("node").alias("doc"), "root"), "doc", "left")
+    rooted = store(rooted.select("band", "h", "doc", F.coalesce("root", "doc").alias("root")))
+    for s in (lists, roots):
+        s.drop()
     mixed = rooted.df.groupBy("band", "h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "h")
-    open_lists = store(rooted.df.join(mixed, ["band", "h"], "left_semi"))
-    x, y = open_lists.df.alias("x"), open_lists.df.alias("y")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
-    rest = x.join(y, same & (F.col("x.root") < F.col("y.root")) & _room(percent))
+    still = store(rooted.df.join(mixed, ["band", "h"], "left_semi").select("doc", "root").distinct())
+    rooted.drop()
+    lists = whole_lists(sets, still.df, percent)
+    x, y = lists.df.alias("x"), lists.df.alias("y")
+    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.root") < F.col("y.root")) & _room(percent))
     rest = rest.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
     second = store(verified(rest, sets, percent))
-    for s in (lists, roots, rooted, open_lists):
+    for s in (still, lists):
         s.drop()
     return first.df.unionByName(second.df)
 

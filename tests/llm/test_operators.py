@@ -92,6 +92,34 @@ def test_join_of_many_near_copies(spark):
     assert got == root
 
 
+def test_join_of_crowd_below_the_threshold(spark, monkeypatch):
+    """Texts that all share most of one unseen text, few of them linked: nearly all pairs are told apart without a comparison."""
+    rng, rows = random.Random(11), []
+    for c in range(3):
+        base = prose(60 + c, 500).split(" ")
+        for i in range(60):
+            words = base[:]
+            for at in rng.sample(range(len(words)), 17):
+                words[at] = f"w{rng.randint(0, 10**6)}"
+            rows.append((len(rows) + 1, " ".join(words)))
+            if i % 10 == 0:  # a partner, linked through the edits that both have
+                words[rng.randrange(len(words))] = "other"
+                words[rng.randrange(len(words))] = "another"
+                rows.append((len(rows) + 1, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+    jaccard = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    assert sum(0.5 < x < 0.8 for x in jaccard.values()) > 5000
+    root = {i: i for i in sets}
+    for (i, j), x in sorted(jaccard.items()):
+        if x >= 0.8:
+            root = {k: min(root[i], root[j]) if r in (root[i], root[j]) else r for k, r in root.items()}
+    compared, verified = [], ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *rest: (compared.append(pairs.count()), verified(pairs, *rest))[1])
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == root
+    assert sum(compared) < 12 * len(rows)
+
+
 def test_decontamination(spark, docs, empty):
     long = prose(3, 30_000).split(" ")
     items = [(1, " ".join(long[29_000:29_020])), (2, edited(" ".join(long[100:130]), 7)), (3, "two words"), (4, None), (5, ""), (6, prose(2, 90)), (7, prose(2, 90)), (None, prose(9, 20))]
