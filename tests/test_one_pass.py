@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from studylake.functions.sequence import by_length
 from studylake.operators import schedule as D
-from studylake.operators.structure import split_row
+from studylake.operators.structure import lines_in_ranges, split_row
 
 
 def lines_of(spark, texts):
@@ -71,3 +71,24 @@ def test_automaton_of_short_documents_equals_a_loop(spark):
         out = by_length(rows, ["doc_id"], "line_no", lambda part, s: s.automaton(part, F.col("c"), 4, step, flag, "hit", "r"), block)
         assert {(r.doc_id, r.line_no) for r in out.where("hit").collect()} == want
         assert out.count() == rows.count()
+
+
+MAPPER = [
+    "Laboratory tests and sample collections", "Visit Number  1  2  3", "Hematology  X    X", "Zinc  X  -", "PK samples  X  X", "Lipids  X", "Appendix 2: Laboratory matters",
+    "Hematology: assayed by sponsor-designated laboratory", "Hemoglobin", "Clinical notes", "Appendix 3: Other matters", "Zirconium",
+]
+
+
+def test_schedule_parts_read_short_documents_in_one_pass(spark):
+    texts = {1: MAPPER, 2: MAPPER[1:], 3: MAPPER[:7], 4: MAPPER[6:], 5: MAPPER[:3] + MAPPER[5:], 6: ["", "CLINICAL LABORATORY TESTS", "Zinc"], 7: MAPPER[:1] + MAPPER}
+    short = lines_of(spark, texts)
+    ranged = lines_in_ranges(short)
+    assert "Join" not in plan(ranged) and "Join" not in plan(D.parse_schedule_lines(short))
+    long = short.withColumn("line_no", F.col("line_no") + 5000)
+    of = lambda df, by: sorted((r.doc_id, r.line_no - by, r.part, r.text) for r in df.collect())
+    assert of(ranged, 0) == of(lines_in_ranges(long), 5000)
+    assert {(d, n) for d, n, part, _ in of(ranged, 0) if part == "schedule" and d < 4} == {(d, n) for d in (1, 3) for n in range(4)}
+    assert {n for d, n, part, _ in of(ranged, 0) if (d, part) == (1, "lab")} == {6, 7, 8, 9}
+    tests = lambda df, by: sorted((r.doc_id, r.name, r.line_no - by, r.is_panel, tuple(r.visits)) for r in D.schedule_parts(df)[0].collect())
+    assert tests(short, 0) == tests(long, 5000)
+    assert tests(short, 0)[:2] == [(1, "Hematology", 2, True, (1, 2)), (1, "Zinc", 3, False, (1,))]
